@@ -195,3 +195,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = classes.where("least is not null").groupBy("root").agg(F.min("least").alias("component_id"))
     classes = classes.join(least, "root", "left").select("fingerprint", "component_id")
     return prints.join(classes, "fingerprint", "left").select(id_col, "fingerprint", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 3, slab: int = 1024) -> DataFrame:
+    """``docs``, all columns, with one document of each component: the one with the smallest id.
+
+    An id is taken to name one document: of repeated rows with that id one stays.  Rows
+    with a null id cannot be told apart by id and are kept as they are.
+    """
+    found = near_duplicates(docs, id_col, text_col, shingle, radius, slab)
+    stays = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    named = docs.where(F.col(id_col).isNotNull()).join(stays, id_col, "left_semi").dropDuplicates([id_col])
+    return named.select(docs.columns).union(docs.where(F.col(id_col).isNull()))

@@ -30,6 +30,7 @@ _OPEN, _CLOSE = "\"“„«‹‘", "\"”“»›’"
 #: Words that report another's words; a fixed part of the method, in the languages of the corpus.
 REPORTING = frozenset("said says called quoted quote word term slur dit mot terme cité sagte nannte wort zitat dijo llamó palabra cita".split())
 WINDOW = 6
+MANY = 3
 
 
 def edits(term: str) -> int:
@@ -143,10 +144,10 @@ class _Found(dict):
 
 @dataclass
 class Model:
-    """``weights``: by (term number, edits), the evidence of one abusive match; ``scale``, ``offset``: evidence to log-odds."""
+    """``weights``: by (term number, edits, matches up to ``MANY``), the evidence of abusive matches; ``scale``, ``offset``: evidence to log-odds."""
 
     terms: list[tuple[str, bool]]
-    weights: dict[tuple[int, int], float] = field(default_factory=dict)
+    weights: dict[tuple[int, int, int], float] = field(default_factory=dict)
     scale: float = 1.0
     offset: float = -2.0
 
@@ -167,18 +168,26 @@ class Model:
             tight = before[-1:] in _OPEN and after[:1] in _CLOSE if before and after else False
             reported = not REPORTING.isdisjoint(tokens[max(0, i - WINDOW) : i])
             abuse = 1 - 0.8 * (0.7 * (quoted or tight) + 0.3 * reported if quoted or tight else 0.25 * reported)
-            number, cost = min(found[tokens[i]], key=lambda x: (x[1], -self.weights.get(x, 0.0), x[0]))
+            number, cost = min(found[tokens[i]], key=lambda x: (x[1], x[0]))
             out.append((number, cost, abuse))
         return out
 
-    def evidence(self, text: str, found: _Found) -> float:
-        best: dict[int, float] = {}
+    def levels(self, text: str, found: _Found) -> dict[tuple[int, int], tuple[int, float]]:
+        """By term and edits: how many matches are abusive, up to ``MANY``, and the most abusive one's abuse."""
+        out: dict[tuple[int, int], tuple[int, float]] = {}
         for number, cost, abuse in self.matches(text, found):
-            best[number] = max(best.get(number, 0.0), abuse * self.weights.get((number, cost), 0.0))
+            n, most = out.get((number, cost), (0, 0.0))
+            out[number, cost] = min(MANY, n + (abuse > 0.6)), max(most, abuse)
+        return out
+
+    def evidence(self, levels: dict[tuple[int, int], tuple[int, float]]) -> float:
+        best: dict[int, float] = {}
+        for (number, cost), (n, abuse) in levels.items():
+            best[number] = max(best.get(number, 0.0), abuse * self.weights.get((number, cost, max(n, 1)), 0.0))
         return sum(best.values())
 
     def score(self, text: str, found: _Found) -> float:
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.scale * self.evidence(text, found) + self.offset))))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.scale * self.evidence(self.levels(text, found)) + self.offset))))
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, str]]:
@@ -271,25 +280,31 @@ def _weighed(model: Model, rows: DataFrame, toxic: int, clean: int) -> Model:
         for batch in batches:
             label = batch.column(1).to_pylist()
             for i, text in _texts(batch):
-                hits = {(number, cost, abuse > 0.6) for number, cost, abuse in model.matches(text, found)}
-                docs[tuple(sorted(hits))][label[i]] += 1
-        rows = [(";".join(f"{n},{c},{int(a)}" for n, c, a in hits), x[0], x[1]) for hits, x in docs.items()]
+                hits = sorted((*k, n) for k, (n, _) in model.levels(text, found).items())
+                docs[tuple(hits)][label[i]] += 1
+        rows = [(";".join(f"{n},{c},{k}" for n, c, k in hits), x[0], x[1]) for hits, x in docs.items()]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)] if rows else [pa.array([], t) for t in (pa.string(), pa.int64(), pa.int64())], ["hits", "clean", "toxic"])
 
     sums = rows.mapInArrow(seen, "hits string, clean long, toxic long").groupBy("hits").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).collect()
     patterns = [([tuple(map(int, h.split(","))) for h in r.hits.split(";") if h], r.clean, r.toxic) for r in sums]
     patterns = _needed(model, patterns, clean / toxic)
-    by: dict[tuple[int, int], list[int]] = defaultdict(lambda: [0, 0])
+    by: dict[tuple[int, int, int], list[int]] = defaultdict(lambda: [0, 0])
     for hits, c, t in patterns:
-        for number, cost in {(n, e) for n, e, abuse in hits if abuse}:
-            by[number, cost][0] += c
-            by[number, cost][1] += t
+        for number, cost, level in hits:
+            for k in {level, -1} if level else ():  # -1: at any level
+                by[number, cost, k][0] += c
+                by[number, cost, k][1] += t
     for number, (term, _) in enumerate(model.terms):
         for cost in range(edits(term) + 1):
-            c, t = by[number, cost]
-            prior = 0.5 if cost == 0 else by[number, 0][1] * (0.05, 0.01)[cost - 1]  # misspellings expected
-            model.weights[number, cost] = max(0.0, math.log((t + prior + 1e-9) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1)))
-    x = np.array([sum({n: model.weights[n, e] * (1.0 if a else 0.4) for n, e, a in sorted(h, key=lambda y: model.weights[y[0], y[1]])}.values()) for h, _, _ in patterns])
+            c, t = by[number, cost, -1]
+            expected = 0.5 if cost == 0 else by[number, 0, -1][1] * (0.05, 0.01)[cost - 1]  # misspellings
+            c, t = c + 0.5, t + expected + 1e-9
+            least = 0.0
+            for level in range(1, MANY + 1):
+                some = (5 + by[number, cost, level][0]) / (c + 5), (5 * t / c + by[number, cost, level][1]) / (t + 5 * t / c)
+                odds = math.log(t / (toxic + 1)) - math.log(c / (clean + 1)) + math.log(some[1]) - math.log(some[0])
+                least = model.weights[number, cost, level] = max(least, odds)
+    x = np.array([model.evidence({(n, e): (k, 1.0 if k else 0.4) for n, e, k in hits}) for hits, _, _ in patterns])
     y = np.array([[t, c] for _, c, t in patterns], float)
     at = np.array([1.0, -3.0])  # also what the weak prior pulls to
 
