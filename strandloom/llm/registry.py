@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import bpe, decontaminate, simhash, toxicity
-from strandloom.llm.common import table
+from strandloom.llm import bpe, decontaminate, licenses, lm, omh, shards, simhash, toxicity, urlrep, warc
+from strandloom.llm.common import Scratch, table
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,16 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lm.score(table(spark, sf_dir, "documents"), good)
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.summary(licenses.scan(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(~toxicity.held_out()))
@@ -24,16 +34,49 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = Scratch(spark, "warc").path("archive")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    found = warc.summary(warc.read(spark, folder))
+    return found.withColumnRenamed("id", "page_id")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     found = bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shards.write(table(spark, sf_dir, "documents"), Scratch(spark, "shards").path("shards"), key=20260117)
+    return found.withColumnRenamed("ids", "doc_ids")
+
+
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    labels = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max((F.col("quality") == 0).cast("int")).alias("bad"))
+    outcomes = pages.select("page_id", urlrep.host(F.col("url")).alias("host")).join(labels, "page_id").select("host", "bad")
+    return urlrep.judge(pages, URL_RULES, outcomes)
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = omh.edited_fingerprints(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2(F.encode("edited_text", "utf-8"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
