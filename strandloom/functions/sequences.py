@@ -27,10 +27,14 @@ def substring(seq: Column, start: Column, stop: Column) -> Column:
 
 def translate(seq: Column) -> Column:
     """Amino acids of consecutive codons; a codon that is partial or unknown is X, a stop is ``*``."""
-    table = F.create_map(*[F.lit(x) for kv in CODONS.items() for x in kv])
-    upper = F.translate(F.upper(seq), "U", "T")
-    codons = F.transform(F.sequence(F.lit(0), F.floor((F.length(seq) - 1) / 3).cast("int")), lambda i: F.coalesce(F.try_element_at(table, F.substring(upper, i * 3 + 1, F.lit(3))), F.lit("X")))
-    return F.when(F.length(seq) > 0, F.array_join(codons, "")).otherwise(F.when(seq.isNotNull(), ""))
+    codons = F.regexp_extract_all(F.translate(F.upper(seq), "U", "T"), F.lit("(?s).{1,3}"), F.lit(0))
+
+    def amino(codon: Column) -> Column:
+        a, b, c = (F.instr(F.lit("TCAG"), F.substring(codon, i, 1)) for i in (1, 2, 3))
+        known = (F.length(codon) == 3) & (a > 0) & (b > 0) & (c > 0)
+        return F.when(known, F.substring(F.lit(_AMINO), a * 16 + b * 4 + c - 20, F.lit(1))).otherwise("X")
+
+    return F.array_join(F.transform(codons, amino), "")
 
 
 def _count(seq: Column, letters: str) -> Column:
