@@ -197,11 +197,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, "fingerprint", "left").select(id_col, "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 3, slab: int = 1024) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 5, slab: int = 1024) -> DataFrame:
     """``docs``, all columns, with one document of each component: the one with the smallest id.
 
     An id is taken to name one document: of repeated rows with that id one stays.  Rows
     with a null id cannot be told apart by id and are kept as they are.
+
+    The radius is wider than for exact linking of prints: near copies at a similarity of
+    0.8 in five-word shingles are expected to differ in about 10 bits.
     """
     found = near_duplicates(docs, id_col, text_col, shingle, radius, slab)
     stays = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()

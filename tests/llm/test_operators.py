@@ -82,14 +82,14 @@ def test_simhash_components(docs, none):
 
 
 def test_simhash_keeps_one_of_each_group(docs):
-    group = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, shingle=5).collect()}
+    group = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, shingle=5, radius=5).collect()}
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
     assert Counter(ids) == Counter({*[g for i, g in group.items() if i is not None], None})
 
 
-@pytest.mark.parametrize("radius", [1, 3, 5])
+@pytest.mark.parametrize("radius", [1, 3, 5, 6])
 def test_bit_sliced_comparison(radius):
     r = np.random.default_rng(radius)
     base = r.integers(0, 2**63, 40).astype(np.uint64)
