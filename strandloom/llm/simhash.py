@@ -14,7 +14,7 @@ fingerprints is dealt over slabs, and every pair of slabs is a group of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.common import Scratch
 from strandloom.llm.components import components
-from strandloom.llm.textkernel import NONSPACE, Words, simhash, slices, xxh64
+from strandloom.llm.textkernel import NONSPACE, Words, payloads, simhash, slices, xxh64
 
 _CHUNK = 1 << 17
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -135,48 +135,59 @@ def links(prints: DataFrame, radius: int = 3, slab: int = 1024) -> DataFrame:
     if not 1 <= radius <= 7:
         raise ValueError("radius must be 1 to 7")
     keyed = prints.select("fingerprint", F.explode(_keys(F.col("fingerprint"), radius)).alias("key"))
+
+    def compare(table: pa.Table, run: np.ndarray) -> pa.RecordBatch:
+        prints = table["fingerprint"].to_numpy().view(np.uint64)
+        root = _forest(len(prints), close_pairs(prints, run, radius))
+        linked = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([pa.array(prints[root[linked]].view(np.int64)), pa.array(prints[linked].view(np.int64))], ["a", "b"])
+
+    return _deal(keyed, "fingerprint", slab).mapInArrow(lambda batches: _runs(batches, compare), "a long, b long")
+
+
+def _deal(keyed: DataFrame, member: str, slab: int) -> DataFrame:
+    """The rows of every ``key`` that has several, each in a group (key, s, t) with any other of its key at least once.
+
+    A key of more than ``slab`` rows is dealt over slabs by the hash of ``member``.
+    """
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    slabs = F.ceil(F.col("n") / slab).cast("int")
-    mine = F.pmod(F.xxhash64("fingerprint"), F.col("slabs")).cast("int")
-    dealt = (
+    return (
         keyed.join(sizes, "key")
-        .withColumn("slabs", slabs)
-        .withColumn("mine", mine)
+        .withColumn("slabs", F.ceil(F.col("n") / slab).cast("int"))
+        .withColumn("mine", F.pmod(F.xxhash64(member), F.col("slabs")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slabs") - 1)))
-        .select("fingerprint", "key", F.least("mine", "other").alias("s"), F.greatest("mine", "other").alias("t"))
+        .select(*keyed.columns, F.least("mine", "other").alias("s"), F.greatest("mine", "other").alias("t"))
         .repartition("key", "s", "t")
         .sortWithinPartitions("key", "s", "t")
     )
 
-    def compare(table: pa.Table) -> pa.RecordBatch:
-        prints = table["fingerprint"].to_numpy().view(np.uint64)
+
+def _runs(batches: Iterator[pa.RecordBatch], compare: Callable[[pa.Table, np.ndarray], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``compare(rows, run)`` of stretches of whole groups (key, s, t); ``run`` numbers the groups of a stretch."""
+
+    def done(table: pa.Table) -> pa.RecordBatch:
         key, s, t = (table[c].to_numpy() for c in ("key", "s", "t"))
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (s[1:] != s[:-1]) | (t[1:] != t[:-1])
-        root = _forest(len(prints), close_pairs(prints, np.cumsum(new), radius))
-        linked = np.flatnonzero(root != np.arange(len(root)))
-        return pa.RecordBatch.from_arrays([pa.array(prints[root[linked]].view(np.int64)), pa.array(prints[linked].view(np.int64))], ["a", "b"])
+        return compare(table, np.cumsum(new))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows < 50_000:
-                continue
-            table = pa.Table.from_batches(held).combine_chunks()
-            key, s, t = (table[c].to_numpy() for c in ("key", "s", "t"))
-            last = (key == key[-1]) & (s == s[-1]) & (t == t[-1])
-            cut = int(np.argmax(last))
-            if cut:
-                yield compare(table.slice(0, cut))
-            held = table.slice(cut).to_batches()
-            rows = table.num_rows - cut
-        if rows:
-            yield compare(pa.Table.from_batches(held).combine_chunks())
-
-    return dealt.mapInArrow(run, "a long, b long")
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < 50_000:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        key, s, t = (table[c].to_numpy() for c in ("key", "s", "t"))
+        last = (key == key[-1]) & (s == s[-1]) & (t == t[-1])
+        cut = int(np.argmax(last))
+        if cut:
+            yield done(table.slice(0, cut))
+        held = table.slice(cut).to_batches()
+        rows = table.num_rows - cut
+    if rows:
+        yield done(pa.Table.from_batches(held).combine_chunks())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, slab: int = 1024) -> DataFrame:
@@ -197,16 +208,141 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, "fingerprint", "left").select(id_col, "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 5, slab: int = 1024) -> DataFrame:
-    """``docs``, all columns, with one document of each component: the one with the smallest id.
+def _distinct(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of each document, in order, and where each document's begin."""
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    order = np.lexsort((hashes, doc))
+    hashes, doc = hashes[order], doc[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
+    return hashes[new], np.searchsorted(doc[new], np.arange(len(first)))
+
+
+def _bands(hashes: np.ndarray, first: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, some): for each document with hashes (``some``), ``bands`` keys, each of ``rows`` minima under keyed mixes."""
+    some = np.flatnonzero(np.diff(first))
+    seeds = np.random.default_rng(20240607).integers(0, 1 << 63, (bands * rows, 2), np.uint64)
+    keys = np.zeros((len(some), bands), np.uint64)
+    if len(some):
+        for j, (mask, factor) in enumerate(seeds):
+            least = np.minimum.reduceat((hashes ^ mask) * (factor | np.uint64(1)), first[some])
+            at = keys[:, j // rows]
+            at ^= least + np.uint64(j // rows)
+            at *= np.uint64(0x9E3779B97F4A7C15)
+            at ^= at >> np.uint64(29)
+    return keys, some
+
+
+def _features(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
+    """(id, same, same2, fingerprint, bands) of ``docs(id, text)``.
+
+    ``same`` and ``same2`` are two hashes of the words of the text; the fingerprint is that
+    of its distinct shingles; texts without words have no band keys.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in slices(batch, "text"):
+                words = Words(texts, NONSPACE)
+                bytes_ = np.append(words.start, words.start[-1] + words.size[-1] + 1 if len(words.start) else 0)[words.first]
+                same = [xxh64(words.norm, bytes_[:-1], np.diff(bytes_), seed) for seed in (1, 2)]
+                start, size, first = words.shingles(shingle)
+                hashes, first = _distinct(xxh64(words.norm, start, size), first)
+                keys, some = _bands(hashes, first, bands, rows)
+                ends = np.zeros(len(texts) + 1, np.int32)
+                ends[some + 1] = bands
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(ends, dtype=np.int32)), pa.array(keys.view(np.int64).ravel()))
+                numbers = [pa.array(x.view(np.int64)) for x in (*same, simhash(hashes, first))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *numbers, lists], ["id", "same", "same2", "fingerprint", "bands"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"id {kind}, same long, same2 long, fingerprint long, bands array<long>")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts' sets of shingles have a Jaccard similarity of ``similarity`` or more."""
+    kind = texts.schema["id"].dataType.simpleString()
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("other")), "b").select("a", "b", "text", "other")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in slices(batch, "text"):
+                for low in range(0, len(texts), 512):
+                    part = batch.slice(at + low, min(512, len(texts) - low))
+                    sets = []
+                    for column in ("text", "other"):
+                        words = Words(payloads(part.column(column)), NONSPACE)
+                        start, size, first = words.shingles(shingle)
+                        sets.append(_distinct(xxh64(words.norm, start, size), first))
+                    n = np.diff(sets[0][1]) + np.diff(sets[1][1])
+                    hashes = np.concatenate((sets[0][0], sets[1][0]))
+                    doc = np.concatenate([np.repeat(np.arange(len(n)), np.diff(first)) for _, first in sets])
+                    order = np.lexsort((hashes, doc))
+                    twice = (hashes[order][1:] == hashes[order][:-1]) & (doc[order][1:] == doc[order][:-1])
+                    shared = np.bincount(doc[order][1:][twice], minlength=len(n))
+                    yield part.select(["a", "b"]).filter(pa.array(shared >= similarity * (n - shared) - 1e-9))
+
+    return both.mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 23, bands: int = 20, rows: int = 5, slab: int = 1024) -> DataFrame:
+    """(id, least) for every distinct id: the smallest id of its group of near-duplicates.
+
+    Texts are linked if the Jaccard similarity of their sets of ``shingle``-word shingles is
+    ``similarity`` or more; groups are what links connect.  Blocks of one fingerprint cannot
+    find these pairs (at 0.8 about 10 of 64 bits differ), so texts meet under ``bands`` keys,
+    each of ``rows`` least shingle hashes: a pair at 0.8 misses all 20 with a probability of
+    0.0004.  Fingerprints then drop pairs over ``radius`` bits (4.5 deviations above the
+    mean at 0.8), and the whole texts decide.
+
+    First each text is held against the first of its key, a number of pairs linear in the
+    texts.  Only keys that are then not in one group have their texts compared with each
+    other, bit-sliced, in slabs.  Equal texts fall together first.  Texts without words are
+    equal to each other.  Null ids are left out.
+    """
+    scratch = Scratch(docs.sparkSession, "similar")
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = scratch.save(_features(texts, shingle, bands, rows))
+    classes = scratch.save(found.groupBy("same", "same2").agg(F.min("id").alias("node")))
+    nodes = found.join(classes.withColumnRenamed("node", "id"), ["same", "same2", "id"], "left_semi").select(F.col("id").alias("node"), "fingerprint", "bands")
+    keyed = scratch.save(nodes.select("node", "fingerprint", F.explode("bands").alias("key")))
+
+    heads = keyed.groupBy("key").agg(F.min("node").alias("a"), F.min_by("fingerprint", "node").alias("print"), F.count("*").alias("n")).where("n > 1")
+    near = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("print"))) <= radius
+    pairs = scratch.save(keyed.join(heads, "key").where(near & (F.col("a") < F.col("node"))).select("a", F.col("node").alias("b")).distinct())
+    edges = scratch.save(_verified(pairs, texts, shingle, similarity))
+    roots = components(edges, scratch)
+
+    rooted = keyed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("t")).where("r <> t").select("key")
+    open_ = rooted.join(split, "key", "left_semi")
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def compare(table: pa.Table, run: np.ndarray) -> pa.RecordBatch:
+        root = table["root"].combine_chunks().dictionary_encode().indices.to_numpy()
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, j in close_pairs(table["fingerprint"].to_numpy().view(np.uint64), run, radius):
+            apart = root[i] != root[j]
+            a.append(i[apart])
+            b.append(j[apart])
+        node = table["node"]
+        return pa.RecordBatch.from_arrays([node.take(pa.array(np.concatenate(x))).combine_chunks() for x in (a, b)], ["a", "b"])
+
+    rest = _deal(open_, "node", slab).mapInArrow(lambda batches: _runs(batches, compare), f"a {kind}, b {kind}")
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    more = scratch.save(_verified(scratch.save(rest.join(pairs, ["a", "b"], "left_anti")), texts, shingle, similarity))
+    if not more.isEmpty():
+        roots = components(edges.union(more), scratch)
+    groups = classes.join(roots, "node", "left").select("same", "same2", F.coalesce("root", "node").alias("least"))
+    return found.join(groups, ["same", "same2"]).groupBy("id").agg(F.min("least").alias("least"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs``, all columns, with one document of each group of :func:`similar_groups` (``how``): the one with the smallest id.
 
     An id is taken to name one document: of repeated rows with that id one stays.  Rows
     with a null id cannot be told apart by id and are kept as they are.
-
-    The radius is wider than for exact linking of prints: near copies at a similarity of
-    0.8 in five-word shingles are expected to differ in about 10 bits.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, radius, slab)
-    stays = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    stays = similar_groups(docs, id_col, text_col, **how).where("id = least").select(F.col("id").alias(id_col))
     named = docs.where(F.col(id_col).isNotNull()).join(stays, id_col, "left_semi").dropDuplicates([id_col])
     return named.select(docs.columns).union(docs.where(F.col(id_col).isNull()))

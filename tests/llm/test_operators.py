@@ -81,12 +81,38 @@ def test_simhash_components(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
-def test_simhash_keeps_one_of_each_group(docs):
-    group = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, shingle=5, radius=5).collect()}
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert Counter(ids) == Counter({*[g for i, g in group.items() if i is not None], None})
+def shingles_of(text, k=5):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", lower(text)) if w]
+    return {" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def similar(a, b):
+    return len(a & b) >= 0.8 * len(a | b) if a or b else True
+
+
+def test_similar_texts_keep_one_of_each_group(docs, none):
+    """All pairs by brute force: five-word shingles, a similarity of 0.8."""
+    r = random.Random(11)
+    rows = [(x.doc_id, x.text) for x in docs.collect()]
+    base = [f"w{r.randrange(4000)}" for _ in range(300)]
+    for i in range(150):  # copies with up to 14 changed words: on both sides of 0.8
+        words = list(base)
+        for _ in range(r.randint(0, 14)):
+            words[r.randrange(300)] = f"c{r.randrange(4000)}"
+        rows.append((1000 + i, " ".join(words)))
+    rows += [(2000 + i, " ".join(base[:20] + [f"o{r.randrange(4000)}" for _ in range(60)])) for i in range(40)]  # only a passage is shared
+    spark = docs.sparkSession
+    named = sorted({(i, t) for i, t in rows if i is not None})
+    sets = [shingles_of(t) for _, t in named]
+    want = linked(sets, similar)
+    kept = sorted({named[i][0] for i in want})
+    frame = spark.createDataFrame([(i, t, "en", "s", 0, "x", "y", 1) for i, t in rows], DOCS).repartition(5)
+    found = {x.id: x.least for x in simhash.similar_groups(frame, slab=16).collect()}
+    assert found == {named[i][0]: named[j][0] for i, j in enumerate(want)}
+    out = simhash.keep_one(frame)
+    assert out.columns == docs.columns
+    assert Counter(x.doc_id for x in out.collect()) == Counter([*kept, None])
+    assert simhash.keep_one(none).count() == 0
 
 
 @pytest.mark.parametrize("radius", [1, 3, 5, 6])
