@@ -136,11 +136,11 @@ def links(prints: DataFrame, radius: int = 3, slab: int = 1024) -> DataFrame:
         raise ValueError("radius must be 1 to 7")
     keyed = prints.select("fingerprint", F.explode(_keys(F.col("fingerprint"), radius)).alias("key"))
 
-    def compare(table: pa.Table, run: np.ndarray) -> pa.RecordBatch:
+    def compare(table: pa.Table, run: np.ndarray) -> Iterator[pa.RecordBatch]:
         prints = table["fingerprint"].to_numpy().view(np.uint64)
         root = _forest(len(prints), close_pairs(prints, run, radius))
         linked = np.flatnonzero(root != np.arange(len(root)))
-        return pa.RecordBatch.from_arrays([pa.array(prints[root[linked]].view(np.int64)), pa.array(prints[linked].view(np.int64))], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(prints[root[linked]].view(np.int64)), pa.array(prints[linked].view(np.int64))], ["a", "b"])
 
     return _deal(keyed, "fingerprint", slab).mapInArrow(lambda batches: _runs(batches, compare), "a long, b long")
 
@@ -162,10 +162,10 @@ def _deal(keyed: DataFrame, member: str, slab: int) -> DataFrame:
     )
 
 
-def _runs(batches: Iterator[pa.RecordBatch], compare: Callable[[pa.Table, np.ndarray], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _runs(batches: Iterator[pa.RecordBatch], compare: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
     """``compare(rows, run)`` of stretches of whole groups (key, s, t); ``run`` numbers the groups of a stretch."""
 
-    def done(table: pa.Table) -> pa.RecordBatch:
+    def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
         key, s, t = (table[c].to_numpy() for c in ("key", "s", "t"))
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (s[1:] != s[:-1]) | (t[1:] != t[:-1])
@@ -183,11 +183,11 @@ def _runs(batches: Iterator[pa.RecordBatch], compare: Callable[[pa.Table, np.nda
         last = (key == key[-1]) & (s == s[-1]) & (t == t[-1])
         cut = int(np.argmax(last))
         if cut:
-            yield done(table.slice(0, cut))
+            yield from done(table.slice(0, cut))
         held = table.slice(cut).to_batches()
         rows = table.num_rows - cut
     if rows:
-        yield done(pa.Table.from_batches(held).combine_chunks())
+        yield from done(pa.Table.from_batches(held).combine_chunks())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, slab: int = 1024) -> DataFrame:
@@ -285,6 +285,45 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: floa
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _across(keyed: DataFrame, roots: DataFrame, radius: int, slab: int, nearest: int | None) -> DataFrame:
+    """(a, b), ``a < b``: distinct pairs of one key within ``radius``, of different roots.
+
+    The root that most of a key's rows have is asked from outside only: every pair of
+    different roots has an end that is not of it.  With ``nearest``, each such row has in
+    each of its groups that many pairs, of the least distances; their number is linear.
+    """
+    kind = keyed.schema["node"].dataType.simpleString()
+    rooted = keyed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    per = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
+    split = per.groupBy("key").agg(F.max_by("root", "n").alias("main"), F.count("*").alias("several")).where("several > 1").select("key", "main")
+    open_ = rooted.join(split, "key").withColumn("outside", F.col("root") != F.col("main")).drop("main")
+
+    def compare(table: pa.Table, run: np.ndarray) -> Iterator[pa.RecordBatch]:
+        prints = table["fingerprint"].to_numpy().view(np.uint64)
+        root = table["root"].combine_chunks().dictionary_encode().indices.to_numpy()
+        outside = table["outside"].to_numpy()
+
+        def pairs(asked: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([table["node"].take(pa.array(x)).combine_chunks() for x in asked], ["a", "b"])
+
+        kept = np.zeros((2, 0), np.int64)
+        for i, j in close_pairs(prints, run, radius):
+            apart = root[i] != root[j]
+            both = np.stack((i[apart], j[apart]))
+            asked = np.concatenate((both[:, outside[both[0]]], both[::-1, outside[both[1]]]), axis=1)
+            if nearest is None:
+                yield pairs(asked)
+                continue
+            kept = np.concatenate((kept, asked), axis=1)
+            far = np.bitwise_count(prints[kept[0]] ^ prints[kept[1]])
+            kept = kept[:, np.lexsort((kept[1], far, kept[0]))]
+            kept = kept[:, np.arange(kept.shape[1]) - np.searchsorted(kept[0], kept[0]) < nearest]
+        yield pairs(kept)
+
+    found = _deal(open_, "node", slab).mapInArrow(lambda batches: _runs(batches, compare), f"a {kind}, b {kind}")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 23, bands: int = 20, rows: int = 5, slab: int = 1024) -> DataFrame:
     """(id, least) for every distinct id: the smallest id of its group of near-duplicates.
 
@@ -296,8 +335,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     mean at 0.8), and the whole texts decide.
 
     First each text is held against the first of its key, a number of pairs linear in the
-    texts.  Only keys that are then not in one group have their texts compared with each
-    other, bit-sliced, in slabs.  Equal texts fall together first.  Texts without words are
+    texts.  Keys that are then not in one group have their texts compared bit-sliced, in
+    slabs: the nearest few of each are verified first, and of what is still apart then, all.  Equal texts fall together first.  Texts without words are
     equal to each other.  Null ids are left out.
     """
     scratch = Scratch(docs.sparkSession, "similar")
@@ -310,29 +349,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     heads = keyed.groupBy("key").agg(F.min("node").alias("a"), F.min_by("fingerprint", "node").alias("print"), F.count("*").alias("n")).where("n > 1")
     near = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("print"))) <= radius
     pairs = scratch.save(keyed.join(heads, "key").where(near & (F.col("a") < F.col("node"))).select("a", F.col("node").alias("b")).distinct())
-    edges = scratch.save(_verified(pairs, texts, shingle, similarity))
+    tried, edges = pairs, scratch.save(_verified(pairs, texts, shingle, similarity))
     roots = components(edges, scratch)
-
-    rooted = keyed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("t")).where("r <> t").select("key")
-    open_ = rooted.join(split, "key", "left_semi")
-    kind = texts.schema["id"].dataType.simpleString()
-
-    def compare(table: pa.Table, run: np.ndarray) -> pa.RecordBatch:
-        root = table["root"].combine_chunks().dictionary_encode().indices.to_numpy()
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i, j in close_pairs(table["fingerprint"].to_numpy().view(np.uint64), run, radius):
-            apart = root[i] != root[j]
-            a.append(i[apart])
-            b.append(j[apart])
-        node = table["node"]
-        return pa.RecordBatch.from_arrays([node.take(pa.array(np.concatenate(x))).combine_chunks() for x in (a, b)], ["a", "b"])
-
-    rest = _deal(open_, "node", slab).mapInArrow(lambda batches: _runs(batches, compare), f"a {kind}, b {kind}")
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    more = scratch.save(_verified(scratch.save(rest.join(pairs, ["a", "b"], "left_anti")), texts, shingle, similarity))
-    if not more.isEmpty():
-        roots = components(edges.union(more), scratch)
+    for nearest in (4, None):
+        asked = scratch.save(_across(keyed, roots, radius, slab, nearest).join(tried, ["a", "b"], "left_anti"))
+        tried, more = tried.union(asked), scratch.save(_verified(asked, texts, shingle, similarity))
+        if more.isEmpty():
+            continue
+        edges = edges.union(more)
+        roots = components(edges, scratch)
     groups = classes.join(roots, "node", "left").select("same", "same2", F.coalesce("root", "node").alias("least"))
     return found.join(groups, ["same", "same2"]).groupBy("id").agg(F.min("least").alias("least"))
 
