@@ -14,10 +14,12 @@ fingerprints is dealt over slabs, and every pair of slabs is a group of its own.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -156,7 +158,7 @@ def _deal(keyed: DataFrame, member: str, slab: int) -> DataFrame:
         .withColumn("slabs", F.ceil(F.col("n") / slab).cast("int"))
         .withColumn("mine", F.pmod(F.xxhash64(member), F.col("slabs")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slabs") - 1)))
-        .select(*keyed.columns, F.least("mine", "other").alias("s"), F.greatest("mine", "other").alias("t"))
+        .select(*keyed.columns, "mine", F.least("mine", "other").alias("s"), F.greatest("mine", "other").alias("t"))
         .repartition("key", "s", "t")
         .sortWithinPartitions("key", "s", "t")
     )
@@ -218,26 +220,33 @@ def _distinct(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
     return hashes[new], np.searchsorted(doc[new], np.arange(len(first)))
 
 
-def _bands(hashes: np.ndarray, first: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, some): for each document with hashes (``some``), ``bands`` keys, each of ``rows`` minima under keyed mixes."""
+def _minima(hashes: np.ndarray, first: np.ndarray, bands: int, rows: int, sketch: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, sketches, some): for each document with hashes (``some``), ``bands`` keys and a sketch.
+
+    Both are made of the least hashes under keyed mixes: a key of ``rows`` of them, a
+    sketch of one byte of each of the first ``sketch``.
+    """
     some = np.flatnonzero(np.diff(first))
-    seeds = np.random.default_rng(20240607).integers(0, 1 << 63, (bands * rows, 2), np.uint64)
-    keys = np.zeros((len(some), bands), np.uint64)
+    seeds = np.random.default_rng(20240607).integers(0, 1 << 63, (max(bands * rows, sketch), 2), np.uint64)
+    keys, sketches = np.zeros((len(some), bands), np.uint64), np.zeros((len(some), sketch), np.uint8)
     if len(some):
         for j, (mask, factor) in enumerate(seeds):
             least = np.minimum.reduceat((hashes ^ mask) * (factor | np.uint64(1)), first[some])
-            at = keys[:, j // rows]
-            at ^= least + np.uint64(j // rows)
-            at *= np.uint64(0x9E3779B97F4A7C15)
-            at ^= at >> np.uint64(29)
-    return keys, some
+            if j < sketch:
+                sketches[:, j] = (least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)
+            if j < bands * rows:
+                at = keys[:, j // rows]
+                at ^= least + np.uint64(j // rows)
+                at *= np.uint64(0x9E3779B97F4A7C15)
+                at ^= at >> np.uint64(29)
+    return keys, sketches, some
 
 
-def _features(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """(id, same, same2, fingerprint, bands) of ``docs(id, text)``.
+def _features(docs: DataFrame, shingle: int, bands: int, rows: int, sketch: int) -> DataFrame:
+    """(id, same, same2, fingerprint, bands, sketch) of ``docs(id, text)``.
 
     ``same`` and ``same2`` are two hashes of the words of the text; the fingerprint is that
-    of its distinct shingles; texts without words have no band keys.
+    of its distinct shingles; texts without words have no band keys and an empty sketch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,15 +257,17 @@ def _features(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame
                 same = [xxh64(words.norm, bytes_[:-1], np.diff(bytes_), seed) for seed in (1, 2)]
                 start, size, first = words.shingles(shingle)
                 hashes, first = _distinct(xxh64(words.norm, start, size), first)
-                keys, some = _bands(hashes, first, bands, rows)
+                keys, sketches, some = _minima(hashes, first, bands, rows, sketch)
                 ends = np.zeros(len(texts) + 1, np.int32)
-                ends[some + 1] = bands
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(ends, dtype=np.int32)), pa.array(keys.view(np.int64).ravel()))
+                ends[some + 1] = 1
+                ends = np.cumsum(ends, dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends * np.int32(bands)), pa.array(keys.view(np.int64).ravel()))
+                bytes_of = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends * np.int32(sketch)), pa.py_buffer(sketches)])
                 numbers = [pa.array(x.view(np.int64)) for x in (*same, simhash(hashes, first))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *numbers, lists], ["id", "same", "same2", "fingerprint", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *numbers, lists, bytes_of], ["id", "same", "same2", "fingerprint", "bands", "sketch"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, same long, same2 long, fingerprint long, bands array<long>")
+    return docs.mapInArrow(run, f"id {kind}, same long, same2 long, fingerprint long, bands array<long>, sketch binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -285,46 +296,57 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: floa
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _across(keyed: DataFrame, roots: DataFrame, radius: int, slab: int, nearest: int | None) -> DataFrame:
-    """(a, b), ``a < b``: distinct pairs of one key within ``radius``, of different roots.
+def _across(keyed: DataFrame, nodes: DataFrame, roots: DataFrame, radius: int, agree: int, slab: int, nearest: int | None) -> DataFrame:
+    """(a, b), ``a < b``: distinct pairs of one key within ``radius``, of different roots, whose sketches agree in ``agree`` places.
 
     The root that most of a key's rows have is asked from outside only: every pair of
-    different roots has an end that is not of it.  With ``nearest``, each such row has in
-    each of its groups that many pairs, of the least distances; their number is linear.
+    different roots has an end that is not of it.  A pair is given in the first band that
+    it shares, and there in one group of slabs.  With ``nearest``, each such row has in
+    each of its groups that many pairs, of those that agree most; their number is linear.
     """
     kind = keyed.schema["node"].dataType.simpleString()
     rooted = keyed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     per = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
     split = per.groupBy("key").agg(F.max_by("root", "n").alias("main"), F.count("*").alias("several")).where("several > 1").select("key", "main")
     open_ = rooted.join(split, "key").withColumn("outside", F.col("root") != F.col("main")).drop("main")
+    open_ = open_.join(nodes.select("node", "fingerprint", "bands", "sketch"), "node")
 
     def compare(table: pa.Table, run: np.ndarray) -> Iterator[pa.RecordBatch]:
         prints = table["fingerprint"].to_numpy().view(np.uint64)
         root = table["root"].combine_chunks().dictionary_encode().indices.to_numpy()
-        outside = table["outside"].to_numpy()
+        outside, key, mine = (table[c].to_numpy() for c in ("outside", "key", "mine"))
+        one = table["s"].to_numpy() == table["t"].to_numpy()
+        bands = pa.compute.list_flatten(table["bands"].combine_chunks()).to_numpy().reshape(len(key), -1)
+        sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(key), -1)
 
         def pairs(asked: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([table["node"].take(pa.array(x)).combine_chunks() for x in asked], ["a", "b"])
 
-        kept = np.zeros((2, 0), np.int64)
+        kept = np.zeros((3, 0), np.int64)
         for i, j in close_pairs(prints, run, radius):
-            apart = root[i] != root[j]
-            both = np.stack((i[apart], j[apart]))
-            asked = np.concatenate((both[:, outside[both[0]]], both[::-1, outside[both[1]]]), axis=1)
-            if nearest is None:
-                yield pairs(asked)
-                continue
-            kept = np.concatenate((kept, asked), axis=1)
-            far = np.bitwise_count(prints[kept[0]] ^ prints[kept[1]])
-            kept = kept[:, np.lexsort((kept[1], far, kept[0]))]
-            kept = kept[:, np.arange(kept.shape[1]) - np.searchsorted(kept[0], kept[0]) < nearest]
-        yield pairs(kept)
+            asked = (root[i] != root[j]) & (outside[i] | outside[j]) & (one[i] | (mine[i] != mine[j]))
+            i, j = i[asked], j[asked]
+            for at in range(0, len(i), 1 << 14):
+                a, b = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+                shared = (bands[a] == bands[b]).argmax(1)
+                here = bands[a, shared] == key[a]
+                a, b = a[here], b[here]
+                alike = (sketches[a] == sketches[b]).sum(1)
+                a, b, alike = a[alike >= agree], b[alike >= agree], alike[alike >= agree]
+                if nearest is None:
+                    yield pairs(np.stack((a, b)))
+                    continue
+                both = np.stack((a, b, alike))
+                kept = np.concatenate((kept, both[:, outside[a]], both[[1, 0, 2]][:, outside[b]]), axis=1)
+                kept = kept[:, np.lexsort((kept[1], -kept[2], kept[0]))]
+                kept = kept[:, np.arange(kept.shape[1]) - np.searchsorted(kept[0], kept[0]) < nearest]
+        yield pairs(kept[:2])
 
     found = _deal(open_, "node", slab).mapInArrow(lambda batches: _runs(batches, compare), f"a {kind}, b {kind}")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 23, bands: int = 20, rows: int = 5, slab: int = 1024) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 23, bands: int = 20, rows: int = 5, sketch: int = 256, slab: int = 1024) -> DataFrame:
     """(id, least) for every distinct id: the smallest id of its group of near-duplicates.
 
     Texts are linked if the Jaccard similarity of their sets of ``shingle``-word shingles is
@@ -332,27 +354,31 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     find these pairs (at 0.8 about 10 of 64 bits differ), so texts meet under ``bands`` keys,
     each of ``rows`` least shingle hashes: a pair at 0.8 misses all 20 with a probability of
     0.0004.  Fingerprints then drop pairs over ``radius`` bits (4.5 deviations above the
-    mean at 0.8), and the whole texts decide.
+    mean at 0.8), sketches of ``sketch`` least hashes those that agree in 4.5 deviations
+    fewer places than is expected at ``similarity``, and the whole texts decide.
 
     First each text is held against the first of its key, a number of pairs linear in the
     texts.  Keys that are then not in one group have their texts compared bit-sliced, in
-    slabs: the nearest few of each are verified first, and of what is still apart then, all.  Equal texts fall together first.  Texts without words are
+    slabs: the nearest few of each are verified first, and of what is still apart then, all
+    that sketches leave.  Equal texts fall together first.  Texts without words are
     equal to each other.  Null ids are left out.
     """
     scratch = Scratch(docs.sparkSession, "similar")
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = scratch.save(_features(texts, shingle, bands, rows))
+    found = scratch.save(_features(texts, shingle, bands, rows, sketch))
     classes = scratch.save(found.groupBy("same", "same2").agg(F.min("id").alias("node")))
-    nodes = found.join(classes.withColumnRenamed("node", "id"), ["same", "same2", "id"], "left_semi").select(F.col("id").alias("node"), "fingerprint", "bands")
-    keyed = scratch.save(nodes.select("node", "fingerprint", F.explode("bands").alias("key")))
+    nodes = found.join(classes.withColumnRenamed("node", "id"), ["same", "same2", "id"], "left_semi").groupBy(F.col("id").alias("node")).agg(*(F.first(c).alias(c) for c in ("fingerprint", "bands", "sketch")))
+    nodes = scratch.save(nodes.where(F.size("bands") > 0))
+    keyed = nodes.select("node", "fingerprint", F.explode("bands").alias("key"))
+    agree = math.floor(sketch * similarity - 4.5 * math.sqrt(sketch * similarity * (1 - similarity)))
 
     heads = keyed.groupBy("key").agg(F.min("node").alias("a"), F.min_by("fingerprint", "node").alias("print"), F.count("*").alias("n")).where("n > 1")
     near = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("print"))) <= radius
     pairs = scratch.save(keyed.join(heads, "key").where(near & (F.col("a") < F.col("node"))).select("a", F.col("node").alias("b")).distinct())
     tried, edges = pairs, scratch.save(_verified(pairs, texts, shingle, similarity))
     roots = components(edges, scratch)
-    for nearest in (4, None):
-        asked = scratch.save(_across(keyed, roots, radius, slab, nearest).join(tried, ["a", "b"], "left_anti"))
+    for nearest in (2, None):
+        asked = scratch.save(_across(keyed.drop("fingerprint"), nodes, roots, radius, agree, slab, nearest).join(tried, ["a", "b"], "left_anti"))
         tried, more = tried.union(asked), scratch.save(_verified(asked, texts, shingle, similarity))
         if more.isEmpty():
             continue
