@@ -1,14 +1,18 @@
 """Cross-entropy difference between two matched n-gram models.
 
-Target and background are bigram models over one vocabulary, the most frequent words
-of all documents and a mark for the rest, with the same smoothing: a bigram's counts
-are interpolated with the unigram rate (Dirichlet).  Each token's loss under the
-background is taken from its loss under the target; a document's score is the mean,
-and below 0 the document is more like the target.
-
-All counts are made over all documents, where they are.  What the models need is
-bounded by the vocabulary: at most ``size ** 2`` counts reach the driver, and two
-tables of as many 4-byte losses are broadcast.
+Target and background are class bigram models over one vocabulary: every word that
+occurs twice or more in all documents, and a mark for the rest.  Each of the most
+frequent words is a class of its own; all other words are one class, in which each has
+the rate of its own count.  So the loss of a word is that of its class after the class
+before it (bigram counts interpolated with the unigram rate, Dirichlet) and, in the
+last class, that of the word in the class.  Each token's loss under the background is
+taken from its loss under the target; a document's score is the mean, and below 0 the
+document is more like the target.
+
+All counts are made over all documents, where they are.  The vocabulary grows with the
+input, so its counts stay a table: each block of documents asks for its distinct words
+by a join, and no more than a block's words ever come together.  Only the classes are
+broadcast: ``(size + 2) ** 2`` losses a model.
 """
 
 from __future__ import annotations
@@ -17,13 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import Scratch
 from strandloom.llm.textkernel import ALNUM, Words, slices, xxh64
 
-_RESERVED = 2  # 0: begin of document, 1: any other word
+_RESERVED = 2  # 0: begin of document, 1: the class of all words that are none of their own
 
 
 def _hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -31,48 +36,66 @@ def _hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return xxh64(words.norm, words.start, words.size, 0), words.first
 
 
-def vocabulary(docs: DataFrame, size: int, text_col: str = "text") -> np.ndarray:
-    """The 64-bit hashes of the ``size`` most frequent words of all documents (ties: the smaller hash), sorted."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, all, aim): how often each word, as a 64-bit hash, occurs in ``docs(text, aim)``, and where ``aim`` is true."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, texts in slices(batch, "text"):
-                words, n = np.unique(_hashes(texts)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
+            aims = batch.column(batch.schema.get_field_index("aim")).to_numpy(zero_copy_only=False)
+            for at, texts in slices(batch, "text"):
+                hashes, first = _hashes(texts)
+                words, place, n = np.unique(hashes, return_inverse=True, return_counts=True)
+                aim = np.bincount(place[np.repeat(aims[at : at + len(texts)], np.diff(first))], minlength=len(words))
+                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n), pa.array(aim)], ["word", "all", "aim"])
 
-    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(size).collect()
-    return np.sort(np.array([r.word for r in top], np.int64).view(np.uint64))
+    return docs.select("text", "aim").mapInArrow(count, "word long, all long, aim long").groupBy("word").agg(F.sum("all").alias("all"), F.sum("aim").alias("aim"))
 
 
-def encode(docs: DataFrame, words: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, tokens): each whole text's words as 16-bit numbers of the vocabulary."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)
-    kind = docs.schema[id_col].dataType.simpleString()
+def encode(docs: DataFrame, classes: np.ndarray) -> DataFrame:
+    """A row for each block of ``docs(id, text, aim)``: (block, ids, aims, n, tokens, words, places).
+
+    ``n`` counts each document's words (32 bits each), ``tokens`` holds their classes (16),
+    ``words`` the distinct hashes of the words of class 1 (64) and ``places`` the place
+    there of each such word (32).
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(classes)
+    kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known, block = shared.value, TaskContext.get().partitionId() << 32
         for batch in batches:
             for at, texts in slices(batch, "text"):
                 hashes, first = _hashes(texts)
                 place = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
                 found = known[place] == hashes if len(known) else np.zeros(len(hashes), bool)
-                tokens = np.where(found, place + _RESERVED, 1).astype("<u2")
-                data = [tokens[a:b].tobytes() for a, b in zip(first, first[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(data, pa.binary())], ["id", "tokens"])
-
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, tokens binary")
-
-
-def _bigrams(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, n): all bigrams of a batch of token strings, the first word of each after the mark of the beginning."""
-    data = batch.column(batch.schema.get_field_index("tokens")).to_pylist()
-    n = np.fromiter((len(x) // 2 for x in data), np.int64, len(data))
-    tokens = np.frombuffer(b"".join(data), "<u2").astype(np.int64)
+                words, places = np.unique(hashes[~found], return_inverse=True)
+                rows = batch.column(0).slice(at, len(texts))
+                data = [
+                    batch.column(2).slice(at, len(texts)).to_numpy(zero_copy_only=False).tobytes(),
+                    np.diff(first).astype("<i4").tobytes(),
+                    np.where(found, place + _RESERVED, 1).astype("<u2").tobytes(),
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([block]),
+                        pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows),
+                        *(pa.array([x], pa.binary()) for x in data),
+                        pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(words.view(np.int64))),
+                        pa.array([places.astype("<i4").tobytes()], pa.binary()),
+                    ],
+                    ["block", "ids", "aims", "n", "tokens", "words", "places"],
+                )
+                block += 1
+
+    return docs.select("id", "text", "aim").mapInArrow(run, f"block long, ids array<{kind}>, aims binary, n binary, tokens binary, words array<long>, places binary")
+
+
+def _bigrams(tokens: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:
+    """The codes of all bigrams of a block, the first word of each document after the mark of the beginning."""
+    tokens = tokens.astype(np.int64)
     before = np.concatenate(([0], tokens[:-1])) if len(tokens) else tokens
-    begins = (np.cumsum(n) - n)[n > 0]
-    before[begins] = 0
-    return before * size + tokens, n
+    before[(np.cumsum(n) - n)[n > 0]] = 0
+    return before * width + tokens
 
 
 def losses(counts: np.ndarray, strength: float) -> np.ndarray:
@@ -92,51 +115,80 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
 
     ``target(id)``: ids whose documents the target model is made of (null and repeated ids
     do no harm); the background is all documents.  Words are runs of ASCII letters and
-    digits and of anything beyond ASCII, A-Z lower-cased.  A text without words has
+    digits and of anything beyond ASCII, A-Z lower-cased; ``size`` of them, the most
+    frequent (ties: the smaller hash), are classes of their own.  A text without words has
     losses and a score of 0; null ids are carried along and belong to the background;
     repeated rows are all counted and returned.  An empty table gives no rows.
     """
     if size + _RESERVED > 4096:
-        raise ValueError("at most 4094 words: the tables are dense")
+        raise ValueError("at most 4094 classes: their tables are dense")
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
     width = size + _RESERVED
-    tokens = scratch.save(encode(docs, vocabulary(docs, size, text_col), id_col, text_col))
-    chosen = target.select(F.col(id_col).alias("id")).where("id is not null").distinct().withColumn("target", F.lit(True))
-    marked = tokens.join(chosen, "id", "left").select("tokens", F.coalesce("target", F.lit(False)).alias("target"))
+    chosen = target.select(F.col(id_col).alias("id")).where("id is not null").distinct().withColumn("aim", F.lit(True))
+    marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id", "left").select("id", "text", F.coalesce("aim", F.lit(False)).alias("aim"))
+
+    counted = scratch.save(word_counts(marked))
+    top = counted.orderBy(F.desc("all"), "word").limit(size)
+    classes = np.array([r.word for r in top.collect()], np.int64)
+    blocks = scratch.save(encode(marked, np.sort(classes.view(np.uint64))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, width * width), np.int64)
         for batch in batches:
-            codes, n = _bigrams(batch, width)
-            aim = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), n)
-            for k, part in enumerate((codes, codes[aim])):
-                found, times = np.unique(part, return_counts=True)
-                sums[k, found] += times
+            for aims, n, tokens in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                n = np.frombuffer(n, "<i4")
+                codes = _bigrams(np.frombuffer(tokens, "<u2"), n, width)
+                for k, part in enumerate((codes, codes[np.repeat(np.frombuffer(aims, bool), n)])):
+                    found, times = np.unique(part, return_counts=True)
+                    sums[k, found] += times
         at = np.flatnonzero(sums[0])
         for i in range(0, len(at), 1 << 16):
             part = at[i : i + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(sums[0, part]), pa.array(sums[1, part])], ["code", "all", "aim"])
 
-    sums = marked.mapInArrow(count, "code int, all long, aim long").groupBy("code").agg(F.sum("all").alias("all"), F.sum("aim").alias("aim")).toArrow()
+    sums = blocks.select("aims", "n", "tokens").mapInArrow(count, "code int, all long, aim long").groupBy("code").agg(F.sum("all").alias("all"), F.sum("aim").alias("aim")).toArrow()
     tables = []
     for name in ("aim", "all"):
         counts = np.zeros(width * width, np.float32)
         counts[sums["code"].to_numpy()] = sums[name].to_numpy()
         tables.append(losses(counts.reshape(width, width), strength).ravel())
+
+    own = spark.createDataFrame([(int(w),) for w in classes], "word long")
+    others = counted.join(F.broadcast(own), "word", "left_anti")
+    once = F.col("all") < 2
+    total = others.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(a) for a, x in {"all": F.col("all"), "aim": F.col("aim"), "all_once": F.when(once, F.col("all")), "aim_once": F.when(once, F.col("aim")), "words": (~once).cast("long")}.items())).first()
+    loss = lambda m, n: -F.log((n + 1) / F.lit(float(total[m] + total["words"] + 1)))
+    known = others.where(~once).select("word", loss("aim", F.col("aim")).cast("float").alias("aim"), loss("all", F.col("all")).cast("float").alias("all"))
+    rest = [-np.log((total[f"{m}_once"] + 1) / (total[m] + total["words"] + 1)) for m in ("aim", "all")]
+    asked = blocks.select("block", F.explode("words").alias("word")).join(known, "word")
+    told = asked.groupBy("block").agg(F.collect_list(F.struct("word", "aim", "all")).alias("known"))
     shared = spark.sparkContext.broadcast(tuple(tables))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes, n = _bigrams(batch, width)
-            some, first = n > 0, (np.cumsum(n) - n)[n > 0]
-            means = []
-            for losses_ in shared.value:
-                mean = np.zeros(len(n))
-                if len(first):
-                    mean[some] = np.add.reduceat(losses_[codes].astype(np.float64), first) / n[some]
-                means.append(mean)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(means[0]), pa.array(means[1]), pa.array(means[0] - means[1])], ["id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return tokens.mapInArrow(run, f"id {kind}, n_tokens long, target_loss double, background_loss double, score double").withColumnRenamed("id", id_col)
+            for row in range(batch.num_rows):
+                ids, n, tokens, words, places, known = (batch.column(c)[row] for c in range(6))
+                n, tokens, places = np.frombuffer(n.as_py(), "<i4"), np.frombuffer(tokens.as_py(), "<u2"), np.frombuffer(places.as_py(), "<i4")
+                codes, words = _bigrams(tokens, n, width), words.values.to_numpy()
+                some, first = n > 0, (np.cumsum(n) - n)[n > 0]
+                at = np.zeros(0, np.int64)
+                if known.is_valid:
+                    known = known.values.flatten()
+                    order = np.argsort(words)
+                    at = order[np.searchsorted(words, known[0].to_numpy(), sorter=order)]
+                means = []
+                for k, table in enumerate(shared.value):
+                    each, of = table[codes].astype(np.float64), np.full(len(words), rest[k])
+                    if len(at):
+                        of[at] = known[1 + k].to_numpy()
+                    each[tokens == 1] += of[places]
+                    mean = np.zeros(len(n))
+                    if len(first):
+                        mean[some] = np.add.reduceat(each, first) / n[some]
+                    means.append(mean)
+                yield pa.RecordBatch.from_arrays([ids.values, pa.array(n.astype(np.int64)), pa.array(means[0]), pa.array(means[1]), pa.array(means[0] - means[1])], ["id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    both = blocks.join(told, "block", "left").select("ids", "n", "tokens", "words", "places", "known")
+    return both.mapInArrow(run, f"id {kind}, n_tokens long, target_loss double, background_loss double, score double").withColumnRenamed("id", id_col)

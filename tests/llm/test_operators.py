@@ -452,16 +452,21 @@ def test_lm_scores(docs, none, spark):
     count = Counter(w for _, ws in rows for w in ws)
     key = lambda w: (-count[w], np.uint64(xxhash.xxh64_intdigest(w.encode(), 0)).view(np.int64))
     known = set(sorted(count, key=key)[:6])
-    seqs = [(i, [w if w in known else "?" for w in ws]) for i, ws in rows]
+    other = lambda w: None if w in known else w if count[w] > 1 else "?"
+    assert {count[w] > 1 for w in count if w not in known} == {True, False}
+    seqs = [(i, [w if w in known else "?" for w in ws], [other(w) for w in ws]) for i, ws in rows]
+    size = len({o for *_, os in seqs for o in os} - {None, "?"}) + 1
     for name, chosen in (("target_loss", {6, 9}), ("background_loss", None)):
-        pair = Counter(p for i, ws in seqs if chosen is None or i in chosen for p in zip(["^", *ws], ws))
+        pair = Counter(p for i, ws, _ in seqs if chosen is None or i in chosen for p in zip(["^", *ws], ws))
+        one = Counter(o for i, _, os in seqs if chosen is None or i in chosen for o in os if o)
+        within = lambda o: -np.log((one[o] + 1) / (sum(one.values()) + size)) if o else 0.0  # noqa: E731, B023
         of, whole = Counter(), Counter()
         for (a, b), n in pair.items():
             of[b] += n
             whole[a] += n
         rate = lambda w: (of[w] + 1) / (sum(of.values()) + 8)
-        for i, ws in seqs:
-            losses = [-np.log((pair[a, b] + 4 * rate(b)) / (whole[a] + 4)) for a, b in zip(["^", *ws], ws)]
+        for i, ws, os in seqs:
+            losses = [-np.log((pair[a, b] + 4 * rate(b)) / (whole[a] + 4)) + within(o) for a, b, o in zip(["^", *ws], ws, os)]
             r = got[i, len(ws)]
             assert getattr(r, name) == pytest.approx(np.mean(losses) if ws else 0.0, rel=1e-5)
             assert r.score == pytest.approx(r.target_loss - r.background_loss)
