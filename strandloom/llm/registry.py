@@ -81,5 +81,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
+OP5_SQL = """
+WITH hashed AS (
+    SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+    FROM pages
+), owned AS (
+    SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS owner
+    FROM hashed
+)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id = owner THEN NULL ELSE owner END AS refers_to
+FROM owned
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_warc": OP5_SQL}
