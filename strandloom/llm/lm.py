@@ -55,8 +55,8 @@ def encode(docs: DataFrame, classes: np.ndarray) -> DataFrame:
     """A row for each block of ``docs(id, text, aim)``: (block, ids, aims, n, tokens, words, places).
 
     ``n`` counts each document's words (32 bits each), ``tokens`` holds their classes (16),
-    ``words`` the distinct hashes of the words of class 1 (64) and ``places`` the place
-    there of each such word (32).
+    ``words`` the distinct hashes of the words of class 1 and ``places`` the place there of
+    each such word (16 bits, or 32 where the block has over 65,536 of them).
     """
     shared = docs.sparkSession.sparkContext.broadcast(classes)
     kind = docs.schema["id"].dataType.simpleString()
@@ -81,7 +81,7 @@ def encode(docs: DataFrame, classes: np.ndarray) -> DataFrame:
                         pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows),
                         *(pa.array([x], pa.binary()) for x in data),
                         pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(words.view(np.int64))),
-                        pa.array([places.astype("<i4").tobytes()], pa.binary()),
+                        pa.array([places.astype("<u2" if len(words) <= 1 << 16 else "<u4").tobytes()], pa.binary()),
                     ],
                     ["block", "ids", "aims", "n", "tokens", "words", "places"],
                 )
@@ -161,34 +161,37 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     loss = lambda m, n: -F.log((n + 1) / F.lit(float(total[m] + total["words"] + 1)))
     known = others.where(~once).select("word", loss("aim", F.col("aim")).cast("float").alias("aim"), loss("all", F.col("all")).cast("float").alias("all"))
     rest = [-np.log((total[f"{m}_once"] + 1) / (total[m] + total["words"] + 1)) for m in ("aim", "all")]
-    asked = blocks.select("block", F.explode("words").alias("word")).join(known, "word")
-    told = asked.groupBy("block").agg(F.collect_list(F.struct("word", "aim", "all")).alias("known"))
+    # Positions come back in place of words, and classes are scored before blocks are shuffled.
+    asked = blocks.select("block", F.posexplode("words").alias("pos", "word")).join(known, "word")
+    told = asked.groupBy("block").agg(*(F.collect_list(c).alias(c) for c in ("pos", "aim", "all")))
     shared = spark.sparkContext.broadcast(tuple(tables))
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                block, ids, n, tokens, places = (batch.column(c).slice(row, 1) for c in range(5))
+                each, of = np.frombuffer(tokens[0].as_py(), "<u2"), np.frombuffer(n[0].as_py(), "<i4")
+                codes, doc = _bigrams(each, of, width), np.repeat(np.arange(len(of)), of)
+                sums = [np.bincount(doc, table[codes], len(of)).tobytes() for table in shared.value]
+                others = np.bincount(doc[each == 1], minlength=len(of)).astype("<i4").tobytes()
+                yield pa.RecordBatch.from_arrays([block, ids, n, *(pa.array([x], pa.binary()) for x in (*sums, others)), places], ["block", "ids", "n", "aim_sum", "all_sum", "others", "places"])
+
+    def by_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                ids, n, tokens, words, places, known = (batch.column(c)[row] for c in range(6))
-                n, tokens, places = np.frombuffer(n.as_py(), "<i4"), np.frombuffer(tokens.as_py(), "<u2"), np.frombuffer(places.as_py(), "<i4")
-                codes, words = _bigrams(tokens, n, width), words.values.to_numpy()
-                some, first = n > 0, (np.cumsum(n) - n)[n > 0]
-                at = np.zeros(0, np.int64)
-                if known.is_valid:
-                    known = known.values.flatten()
-                    order = np.argsort(words)
-                    at = order[np.searchsorted(words, known[0].to_numpy(), sorter=order)]
-                means = []
-                for k, table in enumerate(shared.value):
-                    each, of = table[codes].astype(np.float64), np.full(len(words), rest[k])
-                    if len(at):
-                        of[at] = known[1 + k].to_numpy()
-                    each[tokens == 1] += of[places]
-                    mean = np.zeros(len(n))
-                    if len(first):
-                        mean[some] = np.add.reduceat(each, first) / n[some]
-                    means.append(mean)
-                yield pa.RecordBatch.from_arrays([ids.values, pa.array(n.astype(np.int64)), pa.array(means[0]), pa.array(means[1]), pa.array(means[0] - means[1])], ["id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    both = blocks.join(told, "block", "left").select("ids", "n", "tokens", "words", "places", "known")
-    return both.mapInArrow(run, f"id {kind}, n_tokens long, target_loss double, background_loss double, score double").withColumnRenamed("id", id_col)
+                ids, pos = batch.column(0)[row].values, batch.column(6)[row]
+                n, aim, all_, others = (np.frombuffer(batch.column(c)[row].as_py(), kind) for c, kind in zip(range(1, 5), ("<i4", "<f8", "<f8", "<i4")))
+                data, many = batch.column(5)[row].as_py(), int(others.sum())
+                places = np.frombuffer(data, "<u2" if len(data) == 2 * many else "<u4")
+                doc, means = np.repeat(np.arange(len(n)), others), []
+                for k, sums in enumerate((aim, all_)):
+                    of = np.full(int(places.max()) + 1 if many else 0, rest[k])
+                    if pos.is_valid:
+                        of[pos.values.to_numpy()] = batch.column(7 + k)[row].values.to_numpy()
+                    means.append((sums + np.bincount(doc, of[places], len(n))) / np.maximum(n, 1))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), pa.array(means[0]), pa.array(means[1]), pa.array(means[0] - means[1])], ["id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    scored = blocks.select("block", "ids", "n", "tokens", "places").mapInArrow(by_class, f"block long, ids array<{kind}>, n binary, aim_sum binary, all_sum binary, others binary, places binary")
+    both = scored.join(told, "block", "left").select("ids", "n", "aim_sum", "all_sum", "others", "places", "pos", "aim", "all")
+    return both.mapInArrow(by_word, f"id {kind}, n_tokens long, target_loss double, background_loss double, score double").withColumnRenamed("id", id_col)
