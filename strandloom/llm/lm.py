@@ -110,7 +110,7 @@ def losses(counts: np.ndarray, strength: float) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2046, strength: float = 64.0) -> DataFrame:
+def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2046, strength: float = 64.0, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(id, n_tokens, target_loss, background_loss, score) for every row; losses are means per token, in nats.
 
     ``target(id)``: ids whose documents the target model is made of (null and repeated ids
@@ -119,14 +119,19 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     frequent (ties: the smaller hash), are classes of their own.  A text without words has
     losses and a score of 0; null ids are carried along and belong to the background;
     repeated rows are all counted and returned.  An empty table gives no rows.
+
+    Up to ``broadcast_rows`` target ids, counted first, are broadcast; with more, the texts
+    are shuffled to meet them.
     """
     if size + _RESERVED > 4096:
         raise ValueError("at most 4094 classes: their tables are dense")
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
     width = size + _RESERVED
-    chosen = target.select(F.col(id_col).alias("id")).where("id is not null").distinct().withColumn("aim", F.lit(True))
-    marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id", "left").select("id", "text", F.coalesce("aim", F.lit(False)).alias("aim"))
+    chosen = scratch.save(target.select(F.col(id_col).alias("id")).where("id is not null").distinct())
+    few, chosen = chosen.count() <= broadcast_rows, chosen.withColumn("aim", F.lit(True))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    marked = texts.join(F.broadcast(chosen) if few else chosen, "id", "left").select("id", "text", F.coalesce("aim", F.lit(False)).alias("aim"))
 
     counted = scratch.save(word_counts(marked))
     top = counted.orderBy(F.desc("all"), "word").limit(size)

@@ -471,6 +471,8 @@ def test_lm_scores(docs, none, spark):
             assert getattr(r, name) == pytest.approx(np.mean(losses) if ws else 0.0, rel=1e-5)
             assert r.score == pytest.approx(r.target_loss - r.background_loss)
     assert lm.score(none, target).count() == 0
+    plain = {(r.doc_id, r.n_tokens): r.score for r in lm.score(docs, target, size=6, strength=4.0, broadcast_rows=0).collect()}
+    assert plain == pytest.approx({k: r.score for k, r in got.items()})
 
 
 def test_url_filter(spark):
