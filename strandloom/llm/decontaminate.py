@@ -1,12 +1,13 @@
 """Benchmark passages in documents.
 
-A window has as many words as a benchmark item and is placed so that at least one
-shingle that the two share stands at the same place in both; a window that shares
-none has similarity 0, so no place is lost by leaving the others out.  Windows and
-items have SimHash fingerprints.  A multi-index over the bytes of the items'
-fingerprints returns every item of that size within the Hamming radius: two
-fingerprints within ``radius`` differ in at most ``radius // 8`` bits in one of
-eight bytes.  Candidates are verified by the exact weighted Jaccard similarity of
+A window has as many words as a benchmark item.  Two runs of ``a`` and ``m`` shingles
+have a weighted Jaccard similarity of ``s`` or more only if they share at least
+``s / (1 + s) * (a + m)``, so windows are made wherever that many shingles of the item
+stand, at whatever offsets: their order does not count for the similarity, and no other
+window can reach it.  Windows and items have SimHash fingerprints.  A multi-index over
+the bytes of the items' fingerprints returns every item of that size within the Hamming
+radius: two fingerprints within ``radius`` differ in at most ``radius // 8`` bits in one
+of eight bytes.  Candidates are verified by the exact weighted Jaccard similarity of
 their shingles (a shingle weighs as often as it occurs).
 
 At a similarity of 0.8 a bit of the two fingerprints differs with a probability of
@@ -48,12 +49,14 @@ class Index:
             prints = simhash(hashes, first)
             of = np.repeat(np.arange(len(texts)), np.diff(first))
             mine = self.k[of] == k
-            offset = (np.arange(len(of)) - first[of])[mine]
-            order = np.argsort(hashes[mine], kind="stable")
-            keys, at = np.unique(hashes[mine][order], return_index=True)
+            order = np.lexsort((of[mine], hashes[mine]))
+            held, of = hashes[mine][order], of[mine][order]
+            new = np.concatenate(([True], (held[1:] != held[:-1]) | (of[1:] != of[:-1])))
+            held, of = held[new], of[new]  # an item once for each of its shingles
+            keys, at = np.unique(held, return_index=True)
             bloom = np.zeros(_BLOOM, bool)
             bloom[keys & np.uint64(_BLOOM - 1)] = True
-            self.anchors[k] = bloom, keys, np.append(at, len(order)), of[mine][order], offset[order]
+            self.anchors[k] = bloom, keys, np.append(at, len(held)), of
             for i in np.flatnonzero(self.k == k):
                 self.prints[i] = prints[i]
                 self.counts[i] = Counter(hashes[first[i] : first[i + 1]].tolist())
@@ -66,7 +69,7 @@ class Index:
         words = Words(texts, ALNUM)
         total = np.diff(words.first)
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
-        for k, (bloom, keys, at, item, offset) in self.anchors.items():
+        for k, (bloom, keys, at, item) in self.anchors.items():
             start, length, first = words.shingles(k)
             hashes = xxh64(words.norm, start, length)
             hit = np.flatnonzero(bloom[hashes & np.uint64(_BLOOM - 1)])
@@ -77,13 +80,35 @@ class Index:
             many = at[key + 1] - at[key]
             post = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(at[key], many)
             doc, place = np.repeat(doc, many), np.repeat(hit - first[doc], many)
-            size = self.size[item[post]]
-            begin = np.clip(place - offset[post], 0, np.maximum(total[doc] - size, 0))
-            windows = np.unique(np.stack((doc, size, begin), 1), axis=0)
+            windows = self._windows(doc, item[post], place, k, total)
             for i in range(0, len(windows), _WINDOWS):
                 self._compare(windows[i : i + _WINDOWS], k, hashes, first, total, best)
         return [(d, i, begin, s, distance) for (d, i), (s, begin, distance) in sorted(best.items())]
 
+    def _windows(self, doc: np.ndarray, item: np.ndarray, place: np.ndarray, k: int, total: np.ndarray) -> np.ndarray:
+        """(row, size, first word) of every window with enough places at which a shingle of one item of that size stands.
+
+        If ``need`` of an item's places, one after the other, span no more than a window, the
+        windows that hold them all begin in one stretch; all windows with ``need`` are in such
+        a stretch.
+        """
+        order = np.argsort(doc * len(self.ids) + item, kind="stable")  # places stay in order
+        doc, item, place = doc[order], item[order], place[order]
+        size = self.size[item]
+        n = np.maximum(np.minimum(size, total[doc]) - k + 1, 1)
+        need = np.maximum(np.ceil(self.similarity * (n + size - k + 1) / (1 + self.similarity) - 1e-6).astype(np.int64), 1)
+        last = np.arange(len(doc)) + need - 1
+        end = np.minimum(last, len(doc) - 1)
+        fits = (last == end) & (doc[end] == doc) & (item[end] == item) & (place[end] - place < n)
+        doc, item, size, n, high, low = doc[fits], item[fits], size[fits], n[fits], place[fits], place[end[fits]]
+        low, high = np.maximum(low - n + 1, 0), np.minimum(high, np.maximum(total[doc] - size, 0))
+        if len(doc):  # both ends rise within a row and item: what the stretch before has is left out
+            after = np.concatenate(([False], (doc[1:] == doc[:-1]) & (item[1:] == item[:-1])))
+            low = np.where(after, np.maximum(low, np.concatenate(([0], high[:-1])) + 1), low)
+        many = np.maximum(high - low + 1, 0)
+        begin = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+        return np.unique(np.stack((np.repeat(doc, many), np.repeat(size, many), begin), 1), axis=0)
+
     def _compare(self, windows: np.ndarray, k: int, hashes: np.ndarray, first: np.ndarray, total: np.ndarray, best: dict) -> None:
         doc, size, begin = windows.T
         n = np.maximum(np.minimum(size, total[doc]) - k + 1, 1)

@@ -217,6 +217,36 @@ def test_decontamination(spark, none):
     assert decontaminate.without_leaks(docs, bench.limit(0)).count() == len(rows)
 
 
+def test_decontamination_finds_parts_in_another_order(spark):
+    """All windows by brute force, for items whose halves are swapped or whose beginning stands at the end."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 6)))
+    items = [[word() for _ in range(n)] for n in (60, 100, 100)] + [[r.choice(["ab", "cd"]) for _ in range(40)]]
+    swapped = [w[len(w) // cut :] + w[: len(w) // cut] for w, cut in zip(items, (2, 2, 3, 2))]
+    noise = lambda n: [word() for _ in range(n)]
+    rows = [noise(200) + w + noise(200) for w in swapped] + [swapped[0] + noise(9), noise(9) + swapped[1], swapped[2], swapped[0][4:], [*items[0], *swapped[0], *items[1]], ["ab"] * 90, noise(150)]
+
+    def brute(w):
+        out = {}
+        for n, v in enumerate(items):
+            b = Counter(tuple(v[i : i + 5]) for i in range(len(v) - 4))
+            for s in range(max(1, len(w) - len(v) + 1)):
+                x = w[s : s + len(v)]
+                a = Counter(tuple(x[i : i + 5]) for i in range(len(x) - 4))
+                same = sum((a & b).values()) / sum((a | b).values())
+                if same >= 0.8 and same > out.get(n, (0, 0))[0]:
+                    out[n] = same, s
+        return out
+
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    want = Counter((i, n, s, round(x, 9)) for i, w in enumerate(rows) for n, (x, s) in brute(w).items())
+    assert {(0, 0), (1, 1), (2, 2)} <= {k[:2] for k in want}
+    got = decontaminate.leaks(docs, bench).collect()
+    assert Counter((x.doc_id, x.item_id, x.first_word, round(x.similarity, 9)) for x in got) == want
+    assert decontaminate.without_leaks(docs, bench).count() == len(rows) - len({k[0] for k in want})
+
+
 def test_levenshtein_automaton():
     terms = [("idiot", False), ("worthless", False), ("lowei", True), ("scum", False)]
     matcher, r = toxicity.Matcher(terms), random.Random(2)
