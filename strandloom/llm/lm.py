@@ -9,10 +9,16 @@ last class, that of the word in the class.  Each token's loss under the backgrou
 taken from its loss under the target; a document's score is the mean, and below 0 the
 document is more like the target.
 
+With ``seen``, pairs of words (the word before, or the beginning, and the word) that occur
+so often in all documents are counted as themselves, whatever their words: of the mass of
+the word before, ``count + strength``, each such pair has its count, and what is left
+(rarer pairs and ``strength``) is dealt by the class model.
+
 All counts are made over all documents, where they are.  The vocabulary grows with the
 input, so its counts stay a table: each block of documents asks for its distinct words
 by a join, and no more than a block's words ever come together.  Only the classes are
-broadcast: ``(size + 2) ** 2`` losses a model.
+broadcast: ``(size + 2) ** 2`` losses a model.  Pairs are a table, too: blocks send their
+distinct ones with their place in the block, and get back the counts of those kept.
 """
 
 from __future__ import annotations
@@ -22,12 +28,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import Scratch
 from strandloom.llm.textkernel import ALNUM, Words, slices, xxh64
 
+_BEGIN, _MIX = np.uint64(0), np.uint64(0x9E3779B97F4A7C15)  # the word before the first; what pairs are hashed with
 _RESERVED = 2  # 0: begin of document, 1: the class of all words that are none of their own
 
 
@@ -98,6 +105,100 @@ def _bigrams(tokens: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:
     return before * width + tokens
 
 
+class _Block:
+    """What a block of texts asks for: ``words`` outside the ``classes``, ``contexts`` and pairs, all distinct, as 64-bit hashes."""
+
+    def __init__(self, texts: list[bytes], classes: np.ndarray):
+        hashes, first = _hashes(texts)
+        self.n = np.diff(first)
+        place = np.minimum(np.searchsorted(classes, hashes), max(len(classes) - 1, 0))
+        found = classes[place] == hashes if len(classes) else np.zeros(len(hashes), bool)
+        self.tokens = np.where(found, place + _RESERVED, 1)
+        before = np.concatenate(([_BEGIN], hashes[:-1])) if len(hashes) else hashes
+        before[first[:-1][self.n > 0]] = _BEGIN
+        key = (before ^ before >> np.uint64(29)) * _MIX ^ hashes
+        self.pairs, at, self.pair = np.unique(key, return_index=True, return_inverse=True)  # and each token's pair
+        self.before = before[at]
+        self.contexts, place = np.unique(self.before, return_inverse=True)
+        self.context = place[self.pair]  # each token's
+        self.words, self.places = np.unique(hashes[~found], return_inverse=True)
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """(block, ids, aims, texts): ``docs(id, text, aim)``, a row for each slice."""
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for at, texts in slices(batch, "text"):
+                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+                yield pa.RecordBatch.from_arrays([pa.array([block]), one(batch.column(0).slice(at, len(texts))), one(batch.column(2).slice(at, len(texts))), one(pa.array(texts, pa.binary()))], ["block", "ids", "aims", "texts"])
+                block += 1
+
+    return docs.select("id", "text", "aim").mapInArrow(run, f"block long, ids array<{kind}>, aims array<boolean>, texts array<binary>")
+
+
+def _score_pairs(blocks: DataFrame, known: DataFrame, rest: list[float], tables: list[np.ndarray], classes: np.ndarray, strength: float, seen: int, scratch: Scratch, width: int, id_col: str) -> DataFrame:
+    """The scores under pairs that occur ``seen`` times or more and the class model, of :func:`_packed` blocks."""
+    shared = blocks.sparkSession.sparkContext.broadcast((classes, *tables))
+    kind = blocks.schema["ids"].dataType.elementType.simpleString()
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                x, aims = _Block(batch.column(2)[row].as_py(), shared.value[0]), np.array(batch.column(1)[row].as_py(), bool)
+                aim, base = np.repeat(aims, x.n), 0
+                parts = [(x.words, x.words, x.places, None), (x.contexts, x.contexts, x.context, aim), (x.pairs, x.before, x.pair, aim)]
+                for part, (keys, of, place, aim) in enumerate(parts):
+                    all_ = np.bincount(place, minlength=len(keys))
+                    aim = np.bincount(place[aim], minlength=len(keys)) if aim is not None else all_
+                    pos = np.arange(base, base + len(keys), dtype=np.int32)
+                    data = [np.full(len(keys), part, np.int8), keys.view(np.int64), of.view(np.int64), np.full(len(keys), batch.column(0)[row].as_py()), pos, all_, aim]
+                    for i in range(0, len(keys), 1 << 16):
+                        yield pa.RecordBatch.from_arrays([pa.array(a[i : i + (1 << 16)]) for a in data], ["part", "key", "of", "block", "pos", "all", "aim"])
+                    base += len(keys)
+
+    asked = blocks.select("block", "aims", "texts").mapInArrow(ask, "part byte, key long, of long, block long, pos int, all long, aim long")
+    # A key is in a block once, so no group has more rows than there are blocks.
+    total = lambda c: F.sum(c).over(Window.partitionBy("key"))
+    kept = asked.where("part = 2").select("of", "block", "pos", "all", "aim", total("all").alias("all_sum"), total("aim").alias("aim_sum"))
+    kept = scratch.save(kept.where(F.col("all_sum") >= seen))
+    mass = kept.groupBy("of").agg(F.sum("all").alias("all_kept"), F.sum("aim").alias("aim_kept"))
+    contexts = asked.where("part = 1").select(F.col("key").alias("of"), "block", "pos", total("all").alias("all_sum"), total("aim").alias("aim_sum")).join(mass, "of")
+    told = asked.where("part = 0").select(F.col("key").alias("word"), "block", "pos").join(known, "word")
+    double = lambda *names: [F.col(n).cast("double").alias(a) for n, a in zip(names, "abcd")]
+    none = [F.lit(0.0).alias("c"), F.lit(0.0).alias("d")]
+    told = told.select("block", "pos", *double("aim", "all"), *none)
+    told = told.union(contexts.select("block", "pos", *double("aim_sum", "all_sum", "aim_kept", "all_kept"))).union(kept.select("block", "pos", *double("aim_sum", "all_sum"), *none))
+    told = told.groupBy("block").agg(*(F.collect_list(c).alias(c) for c in ("pos", "a", "b", "c", "d")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, *losses = shared.value
+        for batch in batches:
+            for row in range(batch.num_rows):
+                x = _Block(batch.column(1)[row].as_py(), classes)
+                codes, doc = _bigrams(x.tokens, x.n, width), np.repeat(np.arange(len(x.n)), x.n)
+                first, second = len(x.words), len(x.words) + len(x.contexts)
+                size, pos, means = second + len(x.pairs), batch.column(2)[row], []
+                for k in range(2):
+                    got, left = np.zeros(size), np.zeros(size)
+                    got[:first] = rest[k]
+                    if pos.is_valid:
+                        at = pos.values.to_numpy()
+                        got[at] = batch.column(3 + k)[row].values.to_numpy()
+                        left[at] = batch.column(5 + k)[row].values.to_numpy()
+                    loss = losses[k][codes].astype(np.float64)
+                    loss[x.tokens == 1] += got[x.places]
+                    whole, taken, own = got[first + x.context], left[first + x.context], got[second + x.pair]
+                    loss = -np.log((own + (whole - taken + strength) * np.exp(-loss)) / (whole + strength))
+                    means.append(np.bincount(doc, loss, len(x.n)) / np.maximum(x.n, 1))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[row].values, pa.array(x.n.astype(np.int64)), *map(pa.array, means), pa.array(means[0] - means[1])], ["id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    both = blocks.select("block", "ids", "texts").join(told, "block", "left").select("ids", "texts", "pos", "a", "b", "c", "d")
+    return both.mapInArrow(run, f"id {kind}, n_tokens long, target_loss double, background_loss double, score double").withColumnRenamed("id", id_col)
+
+
 def losses(counts: np.ndarray, strength: float) -> np.ndarray:
     """-log p(next | before) of a square array of bigram counts, as 32-bit floats."""
     n = len(counts)
@@ -110,7 +211,7 @@ def losses(counts: np.ndarray, strength: float) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2046, strength: float = 64.0, broadcast_rows: int = 1_000_000) -> DataFrame:
+def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2046, strength: float = 64.0, broadcast_rows: int = 1_000_000, seen: int | None = None) -> DataFrame:
     """(id, n_tokens, target_loss, background_loss, score) for every row; losses are means per token, in nats.
 
     ``target(id)``: ids whose documents the target model is made of (null and repeated ids
@@ -122,6 +223,9 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
 
     Up to ``broadcast_rows`` target ids, counted first, are broadcast; with more, the texts
     are shuffled to meet them.
+
+    ``seen``: how often a pair of words must occur to be counted as itself; None: only
+    classes have contexts.
     """
     if size + _RESERVED > 4096:
         raise ValueError("at most 4094 classes: their tables are dense")
@@ -136,7 +240,9 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     counted = scratch.save(word_counts(marked))
     top = counted.orderBy(F.desc("all"), "word").limit(size)
     classes = np.array([r.word for r in top.collect()], np.int64)
-    blocks = scratch.save(encode(marked, np.sort(classes.view(np.uint64))))
+    ordered = np.sort(classes.view(np.uint64))
+    blocks = encode(marked, ordered)
+    blocks = blocks if seen else scratch.save(blocks)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, width * width), np.int64)
@@ -166,6 +272,8 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     loss = lambda m, n: -F.log((n + 1) / F.lit(float(total[m] + total["words"] + 1)))
     known = others.where(~once).select("word", loss("aim", F.col("aim")).cast("float").alias("aim"), loss("all", F.col("all")).cast("float").alias("all"))
     rest = [-np.log((total[f"{m}_once"] + 1) / (total[m] + total["words"] + 1)) for m in ("aim", "all")]
+    if seen:
+        return _score_pairs(scratch.save(_packed(marked)), known, rest, tables, ordered, strength, seen, scratch, width, id_col)
     # Positions come back in place of words, and classes are scored before blocks are shuffled.
     asked = blocks.select("block", F.posexplode("words").alias("pos", "word")).join(known, "word")
     told = asked.groupBy("block").agg(*(F.collect_list(c).alias(c) for c in ("pos", "aim", "all")))

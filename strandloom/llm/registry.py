@@ -19,7 +19,7 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return lm.score(table(spark, sf_dir, "documents"), good)
+    return lm.score(table(spark, sf_dir, "documents"), good, seen=2)
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -505,6 +505,43 @@ def test_lm_scores(docs, none, spark):
     assert plain == pytest.approx({k: r.score for k, r in got.items()})
 
 
+def test_lm_counts_pairs_outside_the_head(docs, none, spark):
+    """Pairs that occur twice or more, of whatever words, by brute force over the class model."""
+    target = spark.createDataFrame([(6,), (9,)], "doc_id long")
+    got = {(r.doc_id, r.n_tokens): r for r in lm.score(docs, target, size=3, strength=4.0, seen=2).collect()}
+    rows = [(r.doc_id, words_of(r.text)) for r in docs.select("doc_id", "text").collect()]
+    assert len(rows) == lm.score(docs, target, seen=2).count()  # fewer words than classes
+    count = Counter(w for _, ws in rows for w in ws)
+    key = lambda w: (-count[w], np.uint64(xxhash.xxh64_intdigest(w.encode(), 0)).view(np.int64))
+    known = set(sorted(count, key=key)[:3])
+    other = lambda w: None if w in known else w if count[w] > 1 else "?"
+    head = lambda w: w if w in known or w == "^" else "?"
+    vocabulary = len({other(w) for w in count} - {None, "?"}) + 1
+    follows = lambda ws: list(zip(["^", *ws], ws))
+    often = {p for p, n in Counter(p for _, ws in rows for p in follows(ws)).items() if n > 1}
+    assert any(head(a) == head(b) == "?" for a, b in often) and len(often) < len({p for _, ws in rows for p in follows(ws)})
+    for name, chosen in (("target_loss", {6, 9}), ("background_loss", None)):
+        pair = Counter(p for i, ws in rows if chosen is None or i in chosen for p in follows(ws))
+        classes, one, whole, kept, of, after = Counter(), Counter(), Counter(), Counter(), Counter(), Counter()
+        for (a, b), n in pair.items():
+            classes[head(a), head(b)] += n
+            of[head(b)] += n
+            after[head(a)] += n
+            one[other(b)] += n
+            whole[a] += n
+            kept[a] += n * ((a, b) in often)
+        rate = lambda b: (of[head(b)] + 1) / (sum(of.values()) + 5)
+        del one[None]
+        within = lambda b: (one[other(b)] + 1) / (sum(one.values()) + vocabulary) if other(b) else 1.0
+        base = lambda a, b: (classes[head(a), head(b)] + 4 * rate(b)) / (after[head(a)] + 4) * within(b)
+        p = lambda a, b: (pair[a, b] * ((a, b) in often) + (whole[a] - kept[a] + 4) * base(a, b)) / (whole[a] + 4)
+        for i, ws in rows:
+            r = got[i, len(ws)]
+            assert getattr(r, name) == pytest.approx(np.mean([-np.log(p(a, b)) for a, b in follows(ws)]) if ws else 0.0, rel=1e-5)
+            assert r.score == pytest.approx(r.target_loss - r.background_loss)
+    assert lm.score(none, target, seen=2).count() == 0
+
+
 def test_url_filter(spark):
     from strandloom.llm.registry import URL_RULES
 
