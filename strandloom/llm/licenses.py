@@ -38,7 +38,7 @@ BASE = (
     Rule("gpl", "general public license", ("general public license",), 2, True),
 )
 
-#: label, name, version, and a piece that every spelling of the name has.
+#: label, name, version, and a piece that every spelling of the name has (empty: they share none).
 FAMILIES = (
     ("mit", "mit", "", "mit"),
     ("mit", "expat", "", "expat"),
@@ -59,7 +59,7 @@ FAMILIES = (
     ("edl", "eclipse distribution", "1(?: 0)?", "eclipse"),
     ("cddl", "common development and distribution|cddl", "1 [01]", "d"),
     ("cpl", "common public", "0 5|1 0", "common public"),
-    ("isc", "isc|internet systems consortium", "", "is"),
+    ("isc", "isc|internet systems consortium", "", ""),
     ("zlib", "zlib(?: libpng)?", "", "zlib"),
     ("libpng", "libpng|png reference library", "[12](?: 0)?", "png"),
     ("artistic", "(?:clarified )?artistic", "1 0|2(?: 0)?", "artistic"),
@@ -72,7 +72,7 @@ FAMILIES = (
     ("eupl", "european union public|eupl", "1 [012]", "eu"),
     ("ms-pl", "microsoft public|ms pl", "", "m"),
     ("ms-rl", "microsoft reciprocal|ms rl", "", "m"),
-    ("ncsa", "(?:university of illinois )?(?:ncsa )(?:open source)?", "", "ncsa"),
+    ("ncsa", "(?:university of illinois )?ncsa(?: open source)?", "", "ncsa"),
     ("psf", "python(?: software foundation)?", "2(?: 0)?", "python"),
     ("ruby", "ruby", "", "ruby"),
     ("php", "php", "3 0[01]?", "php"),

@@ -350,6 +350,21 @@ def test_license_scan(spark, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_license_names_in_all_their_spellings(spark):
+    want = [
+        ("Internet Systems Consortium License", "isc"),
+        ("ISC license", "isc"),
+        ("NCSA license", "ncsa"),
+        ("licensed under the NCSA license", "ncsa"),
+        ("University of Illinois/NCSA Open Source License", "ncsa"),
+        ("University of Illinois NCSA license", "ncsa"),
+        ("released under NCSA open source", "ncsa"),
+        ("Consortium license of Illinois", ""),
+    ]
+    docs = spark.createDataFrame(list(enumerate(t for t, _ in want)), "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in licenses.summary(licenses.scan(docs)).collect()} == dict(enumerate(x for _, x in want))
+
+
 def test_order_minhash(spark, none):
     bodies = texts()[3:] + ["a b c d e f g h i j", "f g h i j a b c d e", "a b c d e f g h i j"]
     rows = [(i * 3, t) for i, t in enumerate(bodies)] + [(500, None), (501, ""), (501, "tie"), (None, "no id")]
