@@ -585,6 +585,52 @@ def test_url_filter(spark):
     assert urlrep.judge(pages, URL_RULES, outcomes.limit(0)).where("verdict = 'block' and rule is null").count() == 0
 
 
+def test_url_posterior_is_as_defined(spark):
+    """Means, bounds and verdicts of hosts against shrinkage by plain loops, with one level after the other."""
+    r = random.Random(4)
+    hosts = [f"{h}.{d}.{x}" for x in ("org", "net", "co.uk") for d in ("aa", "bb", "cc", "dd") for h in ("www", "m", "shop")] + ["alone.com", "com", "", "new.aa.org", "new.zz.org", "new.zz.eu"]
+    bad = {".".join(h.split(".")[1:]): r.random() for h in hosts[:36]}
+    rows = [(h, int(r.random() < bad[".".join(h.split(".")[1:])])) for h in hosts[:36] for _ in range(r.randint(0, 30))] + [("alone.com", 1), ("elsewhere.eu", 1), ("www.aa.org", None), (None, 1)]
+    two = lambda h: ".".join(h.split(".")[-2:])
+    names = {  # host: (suffix, domain)
+        h: (two(h), ".".join(h.split(".")[-3:])) if two(h) == "co.uk" else (h.split(".")[-1], two(h)) for h in hosts
+    }
+    seen = {h: [x for g, x in rows if g == h and x is not None] for h in hosts}
+    level = lambda key: {g: [x for h in hosts if key(h) == g for x in seen[h]] for g in {key(h) for h in hosts}}
+
+    def shrunk(counts, above):
+        spread = within = scale = 0.0
+        for g, xs in counts.items():
+            if xs:
+                m = above[g]
+                spread += len(xs) * (sum(xs) / len(xs) - m) ** 2
+                within += m * (1 - m)
+                scale += len(xs) * m * (1 - m)
+        rho = (spread - within) / (scale - within) if scale > within else 0.0
+        k = 1000.0 if rho <= 1 / 1001 else max(1.0, 1 / rho - 1)
+        return {g: (sum(xs) + k * above[g]) / (len(xs) + k) for g, xs in counts.items()}, k
+
+    every = [x for xs in seen.values() for x in xs]
+    suffixes = level(lambda h: names[h][0])
+    by_suffix, a = shrunk(suffixes, dict.fromkeys(suffixes, (sum(every) + 0.5) / (len(every) + 1)))
+    domains = level(lambda h: names[h])
+    by_domain, b = shrunk(domains, {g: by_suffix[g[0]] for g in domains})
+    means, k = shrunk(seen, {h: by_domain[names[h]] for h in hosts})
+    assert 1 < b < 1000 and 1 < k <= 1000
+    pages = spark.createDataFrame([(i, f"http://{h}/x") for i, h in enumerate(hosts)], "page_id long, url string")
+    outcomes = spark.createDataFrame(rows, "host string, bad int")
+    got = {x.host: x for x in urlrep.reputation(spark.createDataFrame([(h,) for h in [*hosts, None, hosts[0]]], "host string"), outcomes).collect()}
+    assert got.keys() == set(hosts)
+    for h, m in means.items():
+        off = 1.645 * (m * (1 - m) / (len(seen[h]) + k + 1)) ** 0.5
+        assert (got[h].n, got[h].mean, got[h].lower, got[h].upper) == pytest.approx((len(seen[h]), m, max(0.0, m - off), min(1.0, m + off)))
+    verdicts = {x.host: (x.verdict, x.reputation) for x in urlrep.judge(pages, [], outcomes).collect()}
+    assert {v for v, _ in verdicts.values()} == {"allow", "block"}
+    for h, m in means.items():
+        lower = m - 1.645 * (m * (1 - m) / (len(seen[h]) + k + 1)) ** 0.5
+        assert verdicts[h][0] == ("block" if lower > 0.5 else "allow") and verdicts[h][1] == pytest.approx(m)
+
+
 def test_xxh64_is_the_library_s():
     r = np.random.default_rng(0)
     data = r.integers(0, 256, 4000).astype(np.uint8)
