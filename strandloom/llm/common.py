@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,12 +22,15 @@ def ascii_lower(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset, as in tests on one machine, a local one is made.
+    Only where that is unset and the session runs on one machine, as in tests, a local one
+    is made; on a cluster an unset one is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         made = spark.sparkContext.getCheckpointDir()
         if not made:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='strandloom-')}")
             made = spark.sparkContext.getCheckpointDir()
         found = made
@@ -51,8 +55,12 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, df: DataFrame) -> None:
-        """Deletes a table that :meth:`save` returned and that nothing reads any more."""
+        """Deletes a table that :meth:`save` returned and that nothing reads any more.
+
+        Shuffle files go when the driver's JVM finds their plans to be garbage, so it is asked to look.
+        """
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for file in df.inputFiles()[:1]:
             folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
             folder.getFileSystem(conf).delete(folder, True)
+        jvm.System.gc()

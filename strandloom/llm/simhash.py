@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import Scratch
@@ -29,6 +29,10 @@ from strandloom.llm.textkernel import NONSPACE, Words, payloads, simhash, slices
 
 _CHUNK = 1 << 17
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_SKETCH = 256  # places of a sketch, two bits each
+_PAIRS = 0x5555555555555555  # the lower bit of each place
+_RUN_ROWS, _RUN_BYTES = 50_000, 24 << 20
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -174,11 +178,11 @@ def _runs(batches: Iterator[pa.RecordBatch], compare: Callable[[pa.Table, np.nda
         return compare(table, np.cumsum(new))
 
     held: list[pa.RecordBatch] = []
-    rows = 0
+    rows = size = 0
     for batch in batches:
         held.append(batch)
-        rows += batch.num_rows
-        if rows < 50_000:
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows < _RUN_ROWS and size < _RUN_BYTES:
             continue
         table = pa.Table.from_batches(held).combine_chunks()
         key, s, t = (table[c].to_numpy() for c in ("key", "s", "t"))
@@ -187,7 +191,7 @@ def _runs(batches: Iterator[pa.RecordBatch], compare: Callable[[pa.Table, np.nda
         if cut:
             yield from done(table.slice(0, cut))
         held = table.slice(cut).to_batches()
-        rows = table.num_rows - cut
+        rows, size = table.num_rows - cut, sum(x.nbytes for x in held)
     if rows:
         yield from done(pa.Table.from_batches(held).combine_chunks())
 
@@ -220,33 +224,34 @@ def _distinct(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
     return hashes[new], np.searchsorted(doc[new], np.arange(len(first)))
 
 
-def _minima(hashes: np.ndarray, first: np.ndarray, bands: int, rows: int, sketch: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _minima(hashes: np.ndarray, first: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(keys, sketches, some): for each document with hashes (``some``), ``bands`` keys and a sketch.
 
     Both are made of the least hashes under keyed mixes: a key of ``rows`` of them, a
-    sketch of one byte of each of the first ``sketch``.
+    sketch of two bits of each of the first ``_SKETCH``, as eight words.
     """
     some = np.flatnonzero(np.diff(first))
-    seeds = np.random.default_rng(20240607).integers(0, 1 << 63, (max(bands * rows, sketch), 2), np.uint64)
-    keys, sketches = np.zeros((len(some), bands), np.uint64), np.zeros((len(some), sketch), np.uint8)
+    seeds = np.random.default_rng(20240607).integers(0, 1 << 63, (max(bands * rows, _SKETCH), 2), np.uint64)
+    keys, sketches = np.zeros((len(some), bands), np.uint64), np.zeros((len(some), _SKETCH // 32), np.uint64)
     if len(some):
         for j, (mask, factor) in enumerate(seeds):
             least = np.minimum.reduceat((hashes ^ mask) * (factor | np.uint64(1)), first[some])
-            if j < sketch:
-                sketches[:, j] = (least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)
+            if j < _SKETCH:
+                sketches[:, j // 32] |= ((least * _MIX) >> np.uint64(62)) << np.uint64(2 * (j % 32))
             if j < bands * rows:
                 at = keys[:, j // rows]
                 at ^= least + np.uint64(j // rows)
-                at *= np.uint64(0x9E3779B97F4A7C15)
+                at *= _MIX
                 at ^= at >> np.uint64(29)
     return keys, sketches, some
 
 
-def _features(docs: DataFrame, shingle: int, bands: int, rows: int, sketch: int) -> DataFrame:
-    """(id, same, same2, fingerprint, bands, sketch) of ``docs(id, text)``.
+def _features(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
+    """(id, digest, same, same2, weight, fingerprint, bands, sketch) of ``docs(id, digest, text)``.
 
-    ``same`` and ``same2`` are two hashes of the words of the text; the fingerprint is that
-    of its distinct shingles; texts without words have no band keys and an empty sketch.
+    ``same`` and ``same2`` are two hashes of the words of the text, ``weight`` grows with
+    their number; the fingerprint is that of the distinct shingles.  Texts without words
+    have no band keys and no sketch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,143 +262,232 @@ def _features(docs: DataFrame, shingle: int, bands: int, rows: int, sketch: int)
                 same = [xxh64(words.norm, bytes_[:-1], np.diff(bytes_), seed) for seed in (1, 2)]
                 start, size, first = words.shingles(shingle)
                 hashes, first = _distinct(xxh64(words.norm, start, size), first)
-                keys, sketches, some = _minima(hashes, first, bands, rows, sketch)
+                keys, sketches, some = _minima(hashes, first, bands, rows)
                 ends = np.zeros(len(texts) + 1, np.int32)
                 ends[some + 1] = 1
                 ends = np.cumsum(ends, dtype=np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends * np.int32(bands)), pa.array(keys.view(np.int64).ravel()))
-                bytes_of = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends * np.int32(sketch)), pa.py_buffer(sketches)])
-                numbers = [pa.array(x.view(np.int64)) for x in (*same, simhash(hashes, first))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *numbers, lists, bytes_of], ["id", "same", "same2", "fingerprint", "bands", "sketch"])
+                lists = [pa.ListArray.from_arrays(pa.array(ends * np.int32(x.shape[1])), pa.array(x.view(np.int64).ravel())) for x in (keys, sketches)]
+                weight = pa.array((1 + np.diff(words.first) // 512).astype(np.int64))
+                numbers = [pa.array(x.view(np.int64)) for x in same]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), *numbers, weight, pa.array(simhash(hashes, first).view(np.int64)), *lists], ["id", "digest", "same", "same2", "weight", "fingerprint", "bands", "sketch"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, same long, same2 long, fingerprint long, bands array<long>, sketch binary")
+    return docs.select("id", "digest", "text").mapInArrow(run, f"id {kind}, digest binary, same long, same2 long, weight long, fingerprint long, bands array<long>, sketch array<long>")
+
+
+def _agreement(a: Column, b: Column) -> Column:
+    """In how many places two sketches agree."""
+    out = F.lit(_SKETCH)
+    for i in range(_SKETCH // 32):
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        out = out - F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(_PAIRS)))
+    return out
+
+
+class _Sets:
+    """The sets of distinct shingles of texts."""
+
+    def __init__(self, texts: list[bytes], shingle: int, similarity: float):
+        words = Words(texts, NONSPACE)
+        start, size, first = words.shingles(shingle)
+        hashes, self.first = _distinct(xxh64(words.norm, start, size), first)
+        self.n, self.similarity = np.diff(self.first), similarity
+        known, self.places = np.unique(hashes, return_inverse=True)
+        self.mark = np.zeros(len(known), bool)
+
+    def like(self, a: int, others: np.ndarray) -> np.ndarray:
+        """Whether each of ``others``, none of which is empty, is as similar to ``a`` as is asked."""
+        own = self.places[self.first[a] : self.first[a + 1]]
+        self.mark[own] = True
+        n = self.n[others]
+        ends = np.cumsum(n)
+        inside = self.mark[self.places[np.arange(ends[-1]) + np.repeat(self.first[others] - ends + n, n)]]
+        self.mark[own] = False
+        shared = np.add.reduceat(inside.astype(np.int64), ends - n)
+        return shared >= self.similarity * (self.n[a] + n - shared) - 1e-9
+
+
+def _edges(table: pa.Table, pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    at = np.array(pairs, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([table["node"].take(pa.array(x)).combine_chunks() for x in at.T], ["a", "b"])
+
+
+def _starred(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float, slab: int) -> DataFrame:
+    """The pairs (a, b) that are similar.  A text is sent once for each ``a`` that it is held against, an ``a`` once a slab."""
+    sizes = pairs.groupBy(F.col("a").alias("key")).agg(F.ceil(F.sum("weight") / slab).cast("int").alias("slabs"))
+    ends = pairs.select(F.col("a").alias("key"), F.col("b").alias("node")).join(sizes, "key")
+    ends = ends.select("key", F.pmod(F.xxhash64("node"), "slabs").cast("int").alias("s"), "node")
+    heads = sizes.select("key", F.explode(F.sequence(F.lit(0), F.col("slabs") - 1)).alias("s"), F.col("key").alias("node"))
+    rows = ends.union(heads).join(texts.select("node", "text"), "node").select("key", "s", F.col("s").alias("t"), "node", "text")
 
+    def compare(table: pa.Table, run: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sets = _Sets(payloads(table["text"]), shingle, similarity)
+        head = table["node"].to_numpy() == table["key"].to_numpy()
+        cuts = np.append(np.flatnonzero(np.diff(run, prepend=-1)), len(run))
+        found: list[tuple[int, int]] = []
+        for low, high in zip(cuts, cuts[1:]):
+            rows = np.arange(low, high)
+            others = rows[~head[low:high]]
+            if len(others) and len(others) < len(rows):
+                a = int(rows[head[low:high]][0])
+                found += [(a, b) for b in others[sets.like(a, others)].tolist()]
+        yield _edges(table, found)
 
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts' sets of shingles have a Jaccard similarity of ``similarity`` or more."""
-    kind = texts.schema["id"].dataType.simpleString()
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("other")), "b").select("a", "b", "text", "other")
+    return _grouped(rows).mapInArrow(lambda batches: _runs(batches, compare), "a long, b long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, texts in slices(batch, "text"):
-                for low in range(0, len(texts), 512):
-                    part = batch.slice(at + low, min(512, len(texts) - low))
-                    sets = []
-                    for column in ("text", "other"):
-                        words = Words(payloads(part.column(column)), NONSPACE)
-                        start, size, first = words.shingles(shingle)
-                        sets.append(_distinct(xxh64(words.norm, start, size), first))
-                    n = np.diff(sets[0][1]) + np.diff(sets[1][1])
-                    hashes = np.concatenate((sets[0][0], sets[1][0]))
-                    doc = np.concatenate([np.repeat(np.arange(len(n)), np.diff(first)) for _, first in sets])
-                    order = np.lexsort((hashes, doc))
-                    twice = (hashes[order][1:] == hashes[order][:-1]) & (doc[order][1:] == doc[order][:-1])
-                    shared = np.bincount(doc[order][1:][twice], minlength=len(n))
-                    yield part.select(["a", "b"]).filter(pa.array(shared >= similarity * (n - shared) - 1e-9))
-
-    return both.mapInArrow(run, f"a {kind}, b {kind}")
-
-
-def _across(keyed: DataFrame, nodes: DataFrame, roots: DataFrame, radius: int, agree: int, slab: int, nearest: int | None) -> DataFrame:
-    """(a, b), ``a < b``: distinct pairs of one key within ``radius``, of different roots, whose sketches agree in ``agree`` places.
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "s", "t").sortWithinPartitions("key", "s", "t")
+
+
+def _candidates(table: pa.Table, run: np.ndarray, radius: int, agree: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, agreement, root of each row): pairs of one group within ``radius``, of different roots, whose sketches agree in ``agree`` places.
 
     The root that most of a key's rows have is asked from outside only: every pair of
     different roots has an end that is not of it.  A pair is given in the first band that
-    it shares, and there in one group of slabs.  With ``nearest``, each such row has in
-    each of its groups that many pairs, of those that agree most; their number is linear.
+    it shares, and there in one group of slabs.
     """
-    kind = keyed.schema["node"].dataType.simpleString()
-    rooted = keyed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    per = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
-    split = per.groupBy("key").agg(F.max_by("root", "n").alias("main"), F.count("*").alias("several")).where("several > 1").select("key", "main")
-    open_ = rooted.join(split, "key").withColumn("outside", F.col("root") != F.col("main")).drop("main")
-    open_ = open_.join(nodes.select("node", "fingerprint", "bands", "sketch"), "node")
-
-    def compare(table: pa.Table, run: np.ndarray) -> Iterator[pa.RecordBatch]:
-        prints = table["fingerprint"].to_numpy().view(np.uint64)
-        root = table["root"].combine_chunks().dictionary_encode().indices.to_numpy()
-        outside, key, mine = (table[c].to_numpy() for c in ("outside", "key", "mine"))
-        one = table["s"].to_numpy() == table["t"].to_numpy()
-        bands = pa.compute.list_flatten(table["bands"].combine_chunks()).to_numpy().reshape(len(key), -1)
-        sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(key), -1)
-
-        def pairs(asked: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([table["node"].take(pa.array(x)).combine_chunks() for x in asked], ["a", "b"])
-
-        kept = np.zeros((3, 0), np.int64)
-        for i, j in close_pairs(prints, run, radius):
-            asked = (root[i] != root[j]) & (outside[i] | outside[j]) & (one[i] | (mine[i] != mine[j]))
-            i, j = i[asked], j[asked]
-            for at in range(0, len(i), 1 << 14):
-                a, b = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
-                shared = (bands[a] == bands[b]).argmax(1)
-                here = bands[a, shared] == key[a]
-                a, b = a[here], b[here]
-                alike = (sketches[a] == sketches[b]).sum(1)
-                a, b, alike = a[alike >= agree], b[alike >= agree], alike[alike >= agree]
-                if nearest is None:
-                    yield pairs(np.stack((a, b)))
-                    continue
-                both = np.stack((a, b, alike))
-                kept = np.concatenate((kept, both[:, outside[a]], both[[1, 0, 2]][:, outside[b]]), axis=1)
-                kept = kept[:, np.lexsort((kept[1], -kept[2], kept[0]))]
-                kept = kept[:, np.arange(kept.shape[1]) - np.searchsorted(kept[0], kept[0]) < nearest]
-        yield pairs(kept[:2])
-
-    found = _deal(open_, "node", slab).mapInArrow(lambda batches: _runs(batches, compare), f"a {kind}, b {kind}")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-
-
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 23, bands: int = 20, rows: int = 5, sketch: int = 256, slab: int = 1024) -> DataFrame:
-    """(id, least) for every distinct id: the smallest id of its group of near-duplicates.
+    prints = table["fingerprint"].to_numpy().view(np.uint64)
+    root = np.unique(table["root"].to_numpy(), return_inverse=True)[1]
+    outside, key, mine = (table[c].to_numpy() for c in ("outside", "key", "mine"))
+    one = table["s"].to_numpy() == table["t"].to_numpy()
+    bands, sketches = (pa.compute.list_flatten(table[c].combine_chunks()).to_numpy().reshape(len(key), -1) for c in ("bands", "sketch"))
+    sketches = sketches.view(np.uint64)
+    for i, j in close_pairs(prints, run, radius):
+        asked = (root[i] != root[j]) & (outside[i] | outside[j]) & (one[i] | (mine[i] != mine[j]))
+        i, j = i[asked], j[asked]
+        for at in range(0, len(i), 1 << 14):
+            a, b = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+            x = sketches[a] ^ sketches[b]
+            alike = _SKETCH - np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(_PAIRS)).sum(1, dtype=np.int64)
+            a, b, alike = a[alike >= agree], b[alike >= agree], alike[alike >= agree]
+            here = bands[a, (bands[a] == bands[b]).argmax(1)] == key[a]
+            yield a[here], b[here], alike[here], root
+
+
+def _across(met: DataFrame, nodes: DataFrame, texts: DataFrame, roots: DataFrame, radius: int, agree: int, shingle: int, similarity: float, slab: int, scratch: Scratch) -> DataFrame:
+    """(a, b): links between nodes of one key of ``met(key, node, weight)`` and of different ``roots``, a forest in each group.
+
+    Keys whose nodes have one root are done.  Of the others, groups of slabs first tell
+    which of their nodes have a candidate at all; only these have their texts sent.  No
+    pair leaves a group but a link that the group has not made before.
+    """
+    rooted = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    per = rooted.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+    split = per.groupBy("key").agg(F.max_by("root", "n").alias("main"), F.count("*").alias("several"), F.ceil(F.sum("weight") / slab).cast("int").alias("slabs")).where("several > 1").drop("several")
+    open_ = rooted.join(split, "key").select("key", "node", "root", (F.col("root") != F.col("main")).alias("outside"), "slabs")
+    dealt = open_.withColumn("mine", F.pmod(F.xxhash64("node"), "slabs").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slabs") - 1)))
+    dealt = dealt.select("key", F.least("mine", "other").alias("s"), F.greatest("mine", "other").alias("t"), "node", "root", "outside", "mine")
+    columns = dealt.columns
+
+    def ask(table: pa.Table, run: np.ndarray) -> Iterator[pa.RecordBatch]:
+        wanted = np.zeros(len(run), bool)
+        for i, j, _, _ in _candidates(table, run, radius, agree):
+            wanted[i] = wanted[j] = True
+        yield from table.select(columns).filter(pa.array(wanted)).combine_chunks().to_batches()
+
+    def decide(table: pa.Table, run: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sets, outside = _Sets(payloads(table["text"]), shingle, similarity), table["outside"].to_numpy()
+        up, found = np.arange(len(run)), []
+
+        def find(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = int(up[x])
+            return x
+
+        for i, j, alike, root in _candidates(table, run, radius, agree):
+            turned = ~outside[i]
+            i, j = np.where(turned, j, i), np.where(turned, i, j)
+            order = np.lexsort((-alike, i))
+            i, j = i[order], j[order]
+            cuts = np.append(np.flatnonzero(np.diff(i, prepend=-1)), len(i))
+            for low, high in zip(cuts, cuts[1:]):
+                a, others, step = int(i[low]), j[low:high], 4
+                while len(others):  # the most alike first: a link makes the others of that root needless
+                    part, others = others[:step], others[step:]
+                    for b in part[sets.like(a, part)].tolist():
+                        one, two = find(int(root[a])), find(int(root[b]))
+                        if one != two:
+                            up[one] = two
+                            found.append((a, b))
+                    own, step = find(int(root[a])), 4 * step
+                    others = others[[find(x) != own for x in root[others].tolist()]] if len(others) else others
+        yield _edges(table, found)
+
+    features = nodes.select("node", "fingerprint", "bands", "sketch")
+    wanted = scratch.save(_grouped(dealt.join(features, "node")).mapInArrow(lambda batches: _runs(batches, ask), dealt.schema))
+    rows = wanted.join(features, "node").join(texts, "node")
+    return _grouped(rows).mapInArrow(lambda batches: _runs(batches, decide), "a long, b long")
+
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 23, bands: int = 20, rows: int = 5, slab: int = 1024) -> DataFrame:
+    """(id, digest, least, least_digest) for every distinct id and text: the smallest of its group of near-duplicates.
 
     Texts are linked if the Jaccard similarity of their sets of ``shingle``-word shingles is
     ``similarity`` or more; groups are what links connect.  Blocks of one fingerprint cannot
     find these pairs (at 0.8 about 10 of 64 bits differ), so texts meet under ``bands`` keys,
     each of ``rows`` least shingle hashes: a pair at 0.8 misses all 20 with a probability of
-    0.0004.  Fingerprints then drop pairs over ``radius`` bits (4.5 deviations above the
-    mean at 0.8), sketches of ``sketch`` least hashes those that agree in 4.5 deviations
-    fewer places than is expected at ``similarity``, and the whole texts decide.
-
-    First each text is held against the first of its key, a number of pairs linear in the
-    texts.  Keys that are then not in one group have their texts compared bit-sliced, in
-    slabs: the nearest few of each are verified first, and of what is still apart then, all
-    that sketches leave.  Equal texts fall together first.  Texts without words are
-    equal to each other.  Null ids are left out.
+    0.0004.  Fingerprints, compared bit-sliced, then drop pairs over ``radius`` bits (4.5
+    deviations above the mean at 0.8), sketches of 256 least hashes those that agree in 4.5
+    deviations fewer places than is expected at ``similarity``, and the whole texts decide.
+
+    First each text is held against the two likest of the first texts of its keys, a number
+    of pairs linear in the texts.  Keys that are then not in one group have their texts
+    compared in slabs, all that are still apart.  Equal texts fall together first; an id
+    with several texts stands in the group of each.  Texts without words are equal to
+    each other.  Null ids are left out.  ``digest`` is the MD5 of the text.
     """
     scratch = Scratch(docs.sparkSession, "similar")
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = scratch.save(_features(texts, shingle, bands, rows, sketch))
-    classes = scratch.save(found.groupBy("same", "same2").agg(F.min("id").alias("node")))
-    nodes = found.join(classes.withColumnRenamed("node", "id"), ["same", "same2", "id"], "left_semi").groupBy(F.col("id").alias("node")).agg(*(F.first(c).alias(c) for c in ("fingerprint", "bands", "sketch")))
-    nodes = scratch.save(nodes.where(F.size("bands") > 0))
-    keyed = nodes.select("node", "fingerprint", F.explode("bands").alias("key"))
-    agree = math.floor(sketch * similarity - 4.5 * math.sqrt(sketch * similarity * (1 - similarity)))
-
-    heads = keyed.groupBy("key").agg(F.min("node").alias("a"), F.min_by("fingerprint", "node").alias("print"), F.count("*").alias("n")).where("n > 1")
-    near = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("print"))) <= radius
-    pairs = scratch.save(keyed.join(heads, "key").where(near & (F.col("a") < F.col("node"))).select("a", F.col("node").alias("b")).distinct())
-    tried, edges = pairs, scratch.save(_verified(pairs, texts, shingle, similarity))
+    named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), _digest(F.col(text_col)).alias("digest"), F.col(text_col).alias("text"))
+    found = scratch.save(_features(named, shingle, bands, rows))
+    least = F.struct("id", "digest")
+    classes = found.groupBy("same", "same2").agg(F.min(least).alias("least"), *(F.first(c).alias(c) for c in ("weight", "fingerprint", "bands", "sketch")))
+    nodes = scratch.save(classes.withColumn("node", F.monotonically_increasing_id()))  # written, so they stay
+    found, every = scratch.save(found.select("id", "digest", "same", "same2")), found
+    scratch.drop(every)
+
+    keyed = nodes.select("node", "weight", F.explode("bands").alias("key"))
+    heads = keyed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
+    met = scratch.save(keyed.join(heads, "key"))
+    own = met.select("node").distinct().join(nodes.select("node", "least.*"), "node")
+    once = named.groupBy("id", "digest").agg(F.first("text").alias("text"))  # repeated rows are met before the shuffle
+    texts = scratch.save(once.join(own, ["id", "digest"]).select("node", "text"))
+
+    mean = similarity + (1 - similarity) / 4
+    agree = math.floor(_SKETCH * mean - 4.5 * math.sqrt(_SKETCH * mean * (1 - mean)))
+    pairs = met.where("a < node").select("a", F.col("node").alias("b")).distinct()
+    for end in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("fingerprint", "sketch", "weight"))), end)
+    near = F.bit_count(F.col("fingerprint_a").bitwiseXOR(F.col("fingerprint_b"))) <= radius
+    pairs = pairs.where(near).select("a", "b", F.col("weight_b").alias("weight"), _agreement(F.col("sketch_a"), F.col("sketch_b")).alias("alike")).where(F.col("alike") >= agree)
+    likest = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("alike"), "a"))  # of as many as there are bands at most
+    pairs = scratch.save(pairs.withColumn("k", likest).where("k <= 2").select("a", "b", "weight"))
+    edges = scratch.save(_starred(pairs, texts, shingle, similarity, slab))
+    scratch.drop(pairs)
     roots = components(edges, scratch)
-    for nearest in (2, None):
-        asked = scratch.save(_across(keyed.drop("fingerprint"), nodes, roots, radius, agree, slab, nearest).join(tried, ["a", "b"], "left_anti"))
-        tried, more = tried.union(asked), scratch.save(_verified(asked, texts, shingle, similarity))
-        if more.isEmpty():
-            continue
-        edges = edges.union(more)
-        roots = components(edges, scratch)
-    groups = classes.join(roots, "node", "left").select("same", "same2", F.coalesce("root", "node").alias("least"))
-    return found.join(groups, ["same", "same2"]).groupBy("id").agg(F.min("least").alias("least"))
+    more = scratch.save(_across(met.select("key", "node", "weight"), nodes, texts, roots, radius, agree, shingle, similarity, slab, scratch))
+    for done in (met, texts):
+        scratch.drop(done)
+    roots = components(edges.union(more), scratch)
+
+    grouped = nodes.select("node", "same", "same2", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    firsts = grouped.groupBy("root").agg(F.min("least").alias("least"))
+    groups = grouped.drop("least").join(firsts, "root").select("same", "same2", F.col("least.id").alias("least"), F.col("least.digest").alias("least_digest"))
+    return found.join(groups, ["same", "same2"]).groupBy("id", "digest").agg(F.first("least").alias("least"), F.first("least_digest").alias("least_digest"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs``, all columns, with one document of each group of :func:`similar_groups` (``how``): the one with the smallest id.
 
-    An id is taken to name one document: of repeated rows with that id one stays.  Rows
-    with a null id cannot be told apart by id and are kept as they are.
+    An id and a text name a document: of repeated rows with both one stays, and an id with
+    several texts keeps each that is the first of its group.  Rows with a null id cannot be
+    told apart by id and are kept as they are.  An empty table gives no rows.
     """
-    stays = similar_groups(docs, id_col, text_col, **how).where("id = least").select(F.col("id").alias(id_col))
-    named = docs.where(F.col(id_col).isNotNull()).join(stays, id_col, "left_semi").dropDuplicates([id_col])
-    return named.select(docs.columns).union(docs.where(F.col(id_col).isNull()))
+    stays = similar_groups(docs, id_col, text_col, **how).where("id = least and digest = least_digest").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"))
+    named = docs.where(F.col(id_col).isNotNull()).withColumns({"_id": F.col(id_col), "_digest": _digest(F.col(text_col))})
+    return named.join(stays, ["_id", "_digest"], "left_semi").dropDuplicates(["_id", "_digest"]).select(docs.columns).union(docs.where(F.col(id_col).isNull()))
