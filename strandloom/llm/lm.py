@@ -1,24 +1,22 @@
 """Cross-entropy difference between two matched n-gram models.
 
-Target and background are class bigram models over one vocabulary: every word that
-occurs twice or more in all documents, and a mark for the rest.  Each of the most
-frequent words is a class of its own; all other words are one class, in which each has
-the rate of its own count.  So the loss of a word is that of its class after the class
-before it (bigram counts interpolated with the unigram rate, Dirichlet) and, in the
-last class, that of the word in the class.  Each token's loss under the background is
-taken from its loss under the target; a document's score is the mean, and below 0 the
-document is more like the target.
-
-With ``seen``, pairs of words (the word before, or the beginning, and the word) that occur
-so often in all documents are counted as themselves, whatever their words: of the mass of
-the word before, ``count + strength``, each such pair has its count, and what is left
-(rarer pairs and ``strength``) is dealt by the class model.
-
-All counts are made over all documents, where they are.  The vocabulary grows with the
-input, so its counts stay a table: each block of documents asks for its distinct words
-by a join, and no more than a block's words ever come together.  Only the classes are
-broadcast: ``(size + 2) ** 2`` losses a model.  Pairs are a table, too: blocks send their
-distinct ones with their place in the block, and get back the counts of those kept.
+Target and background are bigram models over one vocabulary, every word of all documents.
+A bigram's rate is its count, interpolated with the rate of the word by ``strength``
+observations (Dirichlet), and a word's rate its count with one observation more for each
+word of the vocabulary.  The background is made of all documents; its counts are scaled to
+the target's number of words, so that both are smoothed alike.  A document is scored by
+what the others tell: its own counts are taken out of both models first, so a passage that
+it repeats from elsewhere costs it less than one that only it has.
+
+Each token's loss under the background is taken from its loss under the target; a
+document's score is the mean, and below 0 the document is more like the target.
+
+All words and pairs of words of all documents are counted, as 55-bit hashes.  Texts are
+packed into blocks.  A block sends its distinct words and pairs, with how often it has
+them, to the parts of the hash space that they fall into, sorted and compressed; a part
+adds up what the blocks have and sends back to each the counts that differ from its own.
+So a word or pair is sent once a block however common it is, no part has more than about
+``_PART`` of them, and nothing is gathered or broadcast but the totals.
 """
 
 from __future__ import annotations
@@ -27,284 +25,214 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import Scratch
 from strandloom.llm.textkernel import ALNUM, Words, slices, xxh64
 
-_BEGIN, _MIX = np.uint64(0), np.uint64(0x9E3779B97F4A7C15)  # the word before the first; what pairs are hashed with
-_RESERVED = 2  # 0: begin of document, 1: the class of all words that are none of their own
+_BLOCK_BYTES = 4 << 20
+_PART = 1 << 20  # keys that a part of the hash space has, about
+_KEY_BITS = 56  # 55 bits of hash above one that tells pairs from words
+_MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    words = Words(texts, ALNUM)
-    return xxh64(words.norm, words.start, words.size, 0), words.first
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Equally long arrays of integers, byte by byte from the lowest on, compressed."""
+    planes = [np.ascontiguousarray(a.astype("<u8")).view(np.uint8).reshape(-1, 8).T.tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, all, aim): how often each word, as a 64-bit hash, occurs in ``docs(text, aim)``, and where ``aim`` is true."""
+def _unpack(data: bytes, k: int) -> list[np.ndarray]:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(k, 8, -1)
+    return [np.ascontiguousarray(p.T).view("<u8").ravel() for p in planes]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            aims = batch.column(batch.schema.get_field_index("aim")).to_numpy(zero_copy_only=False)
-            for at, texts in slices(batch, "text"):
-                hashes, first = _hashes(texts)
-                words, place, n = np.unique(hashes, return_inverse=True, return_counts=True)
-                aim = np.bincount(place[np.repeat(aims[at : at + len(texts)], np.diff(first))], minlength=len(words))
-                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n), pa.array(aim)], ["word", "all", "aim"])
 
-    return docs.select("text", "aim").mapInArrow(count, "word long, all long, aim long").groupBy("word").agg(F.sum("all").alias("all"), F.sum("aim").alias("aim"))
+class _Block:
+    """A block's distinct words and pairs as sorted ``keys``, and the place there of each token's.
+
+    The beginning of a document is a word (key 0) that comes before its first; as what
+    follows the last word it is counted once, too.
+    """
 
+    def __init__(self, texts: list[bytes]):
+        words = Words(texts, ALNUM)
+        hashes = xxh64(words.norm, words.start, words.size, 0)
+        first = words.first
+        self.n = np.diff(first)
+        self.doc = np.repeat(np.arange(len(texts)), self.n)
+        some = self.n > 0
+        before = np.concatenate((np.zeros(1, np.uint64), hashes[:-1])) if len(hashes) else hashes
+        before[first[:-1][some]] = 0
+        pair = ((before ^ before >> np.uint64(29)) * _MIX) ^ hashes
+        pair = (pair ^ pair >> np.uint64(32)) * _MIX2
+        nine, one = np.uint64(9), np.uint64(1)
+        every = np.concatenate((np.zeros(int(some.sum()), np.uint64), hashes >> nine << one, pair >> nine << one | one))
+        self.keys, place = np.unique(every, return_inverse=True)
+        begins = int(some.sum())
+        self.begin, self.word, self.pair = place[:begins], place[begins : begins + len(hashes)], place[begins + len(hashes) :]
+        self.some, self.starts = np.flatnonzero(some), first[:-1][some]
+
+    def counts(self, docs: np.ndarray | None = None) -> np.ndarray:
+        """How often the block has each key; with ``docs``, a mask, how often those have."""
+        parts = (self.begin, self.word, self.pair)
+        if docs is not None:
+            parts = (self.begin[docs[self.some]], self.word[docs[self.doc]], self.pair[docs[self.doc]])
+        return sum(np.bincount(p, minlength=len(self.keys)) for p in parts)
+
+    def own(self, place: np.ndarray) -> np.ndarray:
+        """For each token, how often its document has its key."""
+        _, at, n = np.unique(self.doc * max(len(self.keys), 1) + place, return_inverse=True, return_counts=True)
+        return n[at]
+
+    def before(self, of_word: np.ndarray, of_begin: np.ndarray) -> np.ndarray:
+        """For each token, what the word before it has."""
+        out = np.concatenate((of_word[:1], of_word[:-1]))
+        out[self.starts] = of_begin
+        return out
 
-def encode(docs: DataFrame, classes: np.ndarray) -> DataFrame:
-    """A row for each block of ``docs(id, text, aim)``: (block, ids, aims, n, tokens, words, places).
 
-    ``n`` counts each document's words (32 bits each), ``tokens`` holds their classes (16),
-    ``words`` the distinct hashes of the words of class 1 and ``places`` the place there of
-    each such word (16 bits, or 32 where the block has over 65,536 of them).
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(classes)
+def _packed(docs: DataFrame) -> DataFrame:
+    """(block, n, ids, sizes, data): the texts of ``docs(id, text)``, compressed, a row for each slice; ``n`` is its bytes."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, block = shared.value, TaskContext.get().partitionId() << 32
+        block, pack = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for at, texts in slices(batch, "text"):
-                hashes, first = _hashes(texts)
-                place = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
-                found = known[place] == hashes if len(known) else np.zeros(len(hashes), bool)
-                words, places = np.unique(hashes[~found], return_inverse=True)
-                rows = batch.column(0).slice(at, len(texts))
-                data = [
-                    batch.column(2).slice(at, len(texts)).to_numpy(zero_copy_only=False).tobytes(),
-                    np.diff(first).astype("<i4").tobytes(),
-                    np.where(found, place + _RESERVED, 1).astype("<u2").tobytes(),
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([block]),
-                        pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows),
-                        *(pa.array([x], pa.binary()) for x in data),
-                        pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(words.view(np.int64))),
-                        pa.array([places.astype("<u2" if len(words) <= 1 << 16 else "<u4").tobytes()], pa.binary()),
-                    ],
-                    ["block", "ids", "aims", "n", "tokens", "words", "places"],
-                )
+            for at, texts in slices(batch, "text", _BLOCK_BYTES):
+                ids, data = batch.column(0).slice(at, len(texts)), b"".join(texts)
+                sizes = np.array([len(t) for t in texts], "<i4").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([len(data)]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([sizes], pa.binary()), pa.array([pack.compress(data)], pa.binary())], ["block", "n", "ids", "sizes", "data"])
                 block += 1
 
-    return docs.select("id", "text", "aim").mapInArrow(run, f"block long, ids array<{kind}>, aims binary, n binary, tokens binary, words array<long>, places binary")
+    return docs.select("id", "text").mapInArrow(run, f"block long, n long, ids array<{kind}>, sizes binary, data binary")
 
 
-def _bigrams(tokens: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:
-    """The codes of all bigrams of a block, the first word of each document after the mark of the beginning."""
-    tokens = tokens.astype(np.int64)
-    before = np.concatenate(([0], tokens[:-1])) if len(tokens) else tokens
-    before[(np.cumsum(n) - n)[n > 0]] = 0
-    return before * width + tokens
+def _texts(sizes: bytes, data: bytes) -> list[bytes]:
+    data, ends = zstandard.decompress(data), np.cumsum(np.frombuffer(sizes, "<i4"))
+    return [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 
-class _Block:
-    """What a block of texts asks for: ``words`` outside the ``classes``, ``contexts`` and pairs, all distinct, as 64-bit hashes."""
+def _asked(blocks: DataFrame, parts: int) -> DataFrame:
+    """(part, block, base, data): what each block has of a part; ``base`` is the place of its first key.
 
-    def __init__(self, texts: list[bytes], classes: np.ndarray):
-        hashes, first = _hashes(texts)
-        self.n = np.diff(first)
-        place = np.minimum(np.searchsorted(classes, hashes), max(len(classes) - 1, 0))
-        found = classes[place] == hashes if len(classes) else np.zeros(len(hashes), bool)
-        self.tokens = np.where(found, place + _RESERVED, 1)
-        before = np.concatenate(([_BEGIN], hashes[:-1])) if len(hashes) else hashes
-        before[first[:-1][self.n > 0]] = _BEGIN
-        key = (before ^ before >> np.uint64(29)) * _MIX ^ hashes
-        self.pairs, at, self.pair = np.unique(key, return_index=True, return_inverse=True)  # and each token's pair
-        self.before = before[at]
-        self.contexts, place = np.unique(self.before, return_inverse=True)
-        self.context = place[self.pair]  # each token's
-        self.words, self.places = np.unique(hashes[~found], return_inverse=True)
+    ``blocks`` has the places of the target's documents as ``aims``.
+    """
+    width = (1 << _KEY_BITS) // parts + 1
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                number, aims, sizes, data = (batch.column(c)[row].as_py() for c in range(4))
+                x, docs = _Block(_texts(sizes, data)), np.zeros(len(sizes) // 4, bool)
+                docs[aims or []] = True
+                all_, aim = x.counts(), x.counts(docs)
+                part = (x.keys // np.uint64(width)).astype(np.int64)
+                cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+                for i in range(0, len(cuts) - 1, 1024):
+                    here = [(a, b) for a, b in zip(cuts[i : i + 1024], cuts[i + 1 : i + 1025])]
+                    packed = [_pack(np.diff(x.keys[a:b], prepend=np.uint64(0)), all_[a:b], aim[a:b]) for a, b in here]
+                    base = np.array([a for a, _ in here])
+                    yield pa.RecordBatch.from_arrays([pa.array(part[base]), pa.array(np.full(len(here), number)), pa.array(base), pa.array(packed, pa.binary())], ["part", "block", "base", "data"])
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """(block, ids, aims, texts): ``docs(id, text, aim)``, a row for each slice."""
-    kind = docs.schema["id"].dataType.simpleString()
+    return blocks.select("block", "aims", "sizes", "data").mapInArrow(run, "part long, block long, base long, data binary")
+
+
+def _told(asked: DataFrame) -> DataFrame:
+    """(block, data, words, all, aim): the counts that differ from a block's own and, where ``block`` is null, a part's totals of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
+        now, held = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            blocks, bases, data = zip(*held)
+            rows = [_unpack(d, 3) for d in data]
+            keys = np.concatenate([np.cumsum(r[0], dtype=np.uint64) for r in rows])
+            counts = [np.concatenate([r[k] for r in rows]).astype(np.int64) for k in (1, 2)]
+            known, place = np.unique(keys, return_inverse=True)
+            sums = [np.bincount(place, c, len(known)).astype(np.int64) for c in counts]
+            words = known & np.uint64(1) == 0
+            total = [int(words.sum()), *(int(s[words].sum()) for s in sums)]
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), *(pa.array([t]) for t in total)], names)
+            out, low = [], 0
+            for base, row in zip(bases, rows):
+                here = slice(low, low + len(row[0]))
+                low += len(row[0])
+                every = [s[place[here]] for s in sums]
+                at = np.flatnonzero((every[0] != counts[0][here]) | (every[1] != counts[1][here]))
+                out.append(_pack(np.diff(at + base, prepend=0), *(e[at] for e in every)) if len(at) else None)
+            none = pa.nulls(len(out), pa.int64())
+            told = pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(out, pa.binary()), none, none, none], names)
+            yield told.filter(told.column(1).is_valid())
+
+        names = ["block", "data", "words", "all", "aim"]
         for batch in batches:
-            for at, texts in slices(batch, "text"):
-                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-                yield pa.RecordBatch.from_arrays([pa.array([block]), one(batch.column(0).slice(at, len(texts))), one(batch.column(2).slice(at, len(texts))), one(pa.array(texts, pa.binary()))], ["block", "ids", "aims", "texts"])
-                block += 1
+            for part, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if part != now and held:
+                    yield from done()
+                    held = []
+                now = part
+                held.append(row)
+        if held:
+            yield from done()
 
-    return docs.select("id", "text", "aim").mapInArrow(run, f"block long, ids array<{kind}>, aims array<boolean>, texts array<binary>")
+    dealt = asked.repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(run, "block long, data binary, words long, all long, aim long")
 
 
-def _score_pairs(blocks: DataFrame, known: DataFrame, rest: list[float], tables: list[np.ndarray], classes: np.ndarray, strength: float, seen: int, scratch: Scratch, width: int, id_col: str) -> DataFrame:
-    """The scores under pairs that occur ``seen`` times or more and the class model, of :func:`_packed` blocks."""
-    shared = blocks.sparkSession.sparkContext.broadcast((classes, *tables))
+def _scored(blocks: DataFrame, words: int, all_: int, aim: int, strength: float) -> DataFrame:
+    """The scores of the documents of ``blocks(ids, aims, sizes, data, told)``, given the totals of words."""
     kind = blocks.schema["ids"].dataType.elementType.simpleString()
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                x, aims = _Block(batch.column(2)[row].as_py(), shared.value[0]), np.array(batch.column(1)[row].as_py(), bool)
-                aim, base = np.repeat(aims, x.n), 0
-                parts = [(x.words, x.words, x.places, None), (x.contexts, x.contexts, x.context, aim), (x.pairs, x.before, x.pair, aim)]
-                for part, (keys, of, place, aim) in enumerate(parts):
-                    all_ = np.bincount(place, minlength=len(keys))
-                    aim = np.bincount(place[aim], minlength=len(keys)) if aim is not None else all_
-                    pos = np.arange(base, base + len(keys), dtype=np.int32)
-                    data = [np.full(len(keys), part, np.int8), keys.view(np.int64), of.view(np.int64), np.full(len(keys), batch.column(0)[row].as_py()), pos, all_, aim]
-                    for i in range(0, len(keys), 1 << 16):
-                        yield pa.RecordBatch.from_arrays([pa.array(a[i : i + (1 << 16)]) for a in data], ["part", "key", "of", "block", "pos", "all", "aim"])
-                    base += len(keys)
-
-    asked = blocks.select("block", "aims", "texts").mapInArrow(ask, "part byte, key long, of long, block long, pos int, all long, aim long")
-    # A key is in a block once, so no group has more rows than there are blocks.
-    total = lambda c: F.sum(c).over(Window.partitionBy("key"))
-    kept = asked.where("part = 2").select("of", "block", "pos", "all", "aim", total("all").alias("all_sum"), total("aim").alias("aim_sum"))
-    kept = scratch.save(kept.where(F.col("all_sum") >= seen))
-    mass = kept.groupBy("of").agg(F.sum("all").alias("all_kept"), F.sum("aim").alias("aim_kept"))
-    contexts = asked.where("part = 1").select(F.col("key").alias("of"), "block", "pos", total("all").alias("all_sum"), total("aim").alias("aim_sum")).join(mass, "of")
-    told = asked.where("part = 0").select(F.col("key").alias("word"), "block", "pos").join(known, "word")
-    double = lambda *names: [F.col(n).cast("double").alias(a) for n, a in zip(names, "abcd")]
-    none = [F.lit(0.0).alias("c"), F.lit(0.0).alias("d")]
-    told = told.select("block", "pos", *double("aim", "all"), *none)
-    told = told.union(contexts.select("block", "pos", *double("aim_sum", "all_sum", "aim_kept", "all_kept"))).union(kept.select("block", "pos", *double("aim_sum", "all_sum"), *none))
-    told = told.groupBy("block").agg(*(F.collect_list(c).alias(c) for c in ("pos", "a", "b", "c", "d")))
+    scale = (1.0, aim / all_ if all_ and aim else 1.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, *losses = shared.value
         for batch in batches:
             for row in range(batch.num_rows):
-                x = _Block(batch.column(1)[row].as_py(), classes)
-                codes, doc = _bigrams(x.tokens, x.n, width), np.repeat(np.arange(len(x.n)), x.n)
-                first, second = len(x.words), len(x.words) + len(x.contexts)
-                size, pos, means = second + len(x.pairs), batch.column(2)[row], []
-                for k in range(2):
-                    got, left = np.zeros(size), np.zeros(size)
-                    got[:first] = rest[k]
-                    if pos.is_valid:
-                        at = pos.values.to_numpy()
-                        got[at] = batch.column(3 + k)[row].values.to_numpy()
-                        left[at] = batch.column(5 + k)[row].values.to_numpy()
-                    loss = losses[k][codes].astype(np.float64)
-                    loss[x.tokens == 1] += got[x.places]
-                    whole, taken, own = got[first + x.context], left[first + x.context], got[second + x.pair]
-                    loss = -np.log((own + (whole - taken + strength) * np.exp(-loss)) / (whole + strength))
-                    means.append(np.bincount(doc, loss, len(x.n)) / np.maximum(x.n, 1))
+                aims, sizes, data, told = (batch.column(c)[row].as_py() for c in range(1, 5))
+                x, docs = _Block(_texts(sizes, data)), np.zeros(len(sizes) // 4, bool)
+                docs[aims or []] = True
+                counts = [x.counts(docs), x.counts()]
+                for d in told or []:
+                    at, *every = _unpack(d, 3)
+                    at = np.cumsum(at.astype(np.int64))
+                    counts[1][at], counts[0][at] = every
+                own_word, own_pair = x.own(x.word), x.own(x.pair)
+                means = []
+                for k, (count, whole) in enumerate(zip(counts, (aim, all_))):
+                    mine = docs[x.doc] if k == 0 else np.ones(len(x.doc), bool)
+                    word, pair = (scale[k] * (count[p] - o * mine) for p, o in ((x.word, own_word), (x.pair, own_pair)))
+                    begin = scale[k] * (count[x.begin] - (docs[x.some] if k == 0 else 1))
+                    total = scale[k] * (whole - ((x.n + 1) * (docs if k == 0 else 1))[x.doc])
+                    rate = (word + 1) / (total + words)
+                    loss = -np.log((pair + strength * rate) / (x.before(word, begin) + strength))
+                    means.append(np.bincount(x.doc, loss, len(x.n)) / np.maximum(x.n, 1))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[row].values, pa.array(x.n.astype(np.int64)), *map(pa.array, means), pa.array(means[0] - means[1])], ["id", "n_tokens", "target_loss", "background_loss", "score"])
 
-    both = blocks.select("block", "ids", "texts").join(told, "block", "left").select("ids", "texts", "pos", "a", "b", "c", "d")
-    return both.mapInArrow(run, f"id {kind}, n_tokens long, target_loss double, background_loss double, score double").withColumnRenamed("id", id_col)
-
-
-def losses(counts: np.ndarray, strength: float) -> np.ndarray:
-    """-log p(next | before) of a square array of bigram counts, as 32-bit floats."""
-    n = len(counts)
-    of = counts.sum(0, dtype=np.float64)
-    rate = (of + 1) / (of.sum() + n)
-    whole = counts.sum(1, dtype=np.float64)
-    out = np.empty((n, n), np.float32)
-    for v in range(n):
-        out[v] = -np.log((counts[v] + strength * rate) / (whole[v] + strength))
-    return out
+    return blocks.select("ids", "aims", "sizes", "data", "told").mapInArrow(run, f"id {kind}, n_tokens long, target_loss double, background_loss double, score double")
 
 
-def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2046, strength: float = 64.0, broadcast_rows: int = 1_000_000, seen: int | None = None) -> DataFrame:
+def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", strength: float = 8.0) -> DataFrame:
     """(id, n_tokens, target_loss, background_loss, score) for every row; losses are means per token, in nats.
 
     ``target(id)``: ids whose documents the target model is made of (null and repeated ids
     do no harm); the background is all documents.  Words are runs of ASCII letters and
-    digits and of anything beyond ASCII, A-Z lower-cased; ``size`` of them, the most
-    frequent (ties: the smaller hash), are classes of their own.  A text without words has
-    losses and a score of 0; null ids are carried along and belong to the background;
-    repeated rows are all counted and returned.  An empty table gives no rows.
-
-    Up to ``broadcast_rows`` target ids, counted first, are broadcast; with more, the texts
-    are shuffled to meet them.
-
-    ``seen``: how often a pair of words must occur to be counted as itself; None: only
-    classes have contexts.
+    digits and of anything beyond ASCII, A-Z lower-cased.  A text without words has losses
+    and a score of 0; null ids are carried along and belong to the background; repeated
+    rows are all counted and returned, and each is scored without its own counts only.
+    Without a target, both models know nothing of it but the vocabulary.  An empty table
+    gives no rows.  Other columns are not read.
     """
-    if size + _RESERVED > 4096:
-        raise ValueError("at most 4094 classes: their tables are dense")
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "lm")
-    width = size + _RESERVED
-    chosen = scratch.save(target.select(F.col(id_col).alias("id")).where("id is not null").distinct())
-    few, chosen = chosen.count() <= broadcast_rows, chosen.withColumn("aim", F.lit(True))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    marked = texts.join(F.broadcast(chosen) if few else chosen, "id", "left").select("id", "text", F.coalesce("aim", F.lit(False)).alias("aim"))
-
-    counted = scratch.save(word_counts(marked))
-    top = counted.orderBy(F.desc("all"), "word").limit(size)
-    classes = np.array([r.word for r in top.collect()], np.int64)
-    ordered = np.sort(classes.view(np.uint64))
-    blocks = encode(marked, ordered)
-    blocks = blocks if seen else scratch.save(blocks)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, width * width), np.int64)
-        for batch in batches:
-            for aims, n, tokens in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                n = np.frombuffer(n, "<i4")
-                codes = _bigrams(np.frombuffer(tokens, "<u2"), n, width)
-                for k, part in enumerate((codes, codes[np.repeat(np.frombuffer(aims, bool), n)])):
-                    found, times = np.unique(part, return_counts=True)
-                    sums[k, found] += times
-        at = np.flatnonzero(sums[0])
-        for i in range(0, len(at), 1 << 16):
-            part = at[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(sums[0, part]), pa.array(sums[1, part])], ["code", "all", "aim"])
-
-    sums = blocks.select("aims", "n", "tokens").mapInArrow(count, "code int, all long, aim long").groupBy("code").agg(F.sum("all").alias("all"), F.sum("aim").alias("aim")).toArrow()
-    tables = []
-    for name in ("aim", "all"):
-        counts = np.zeros(width * width, np.float32)
-        counts[sums["code"].to_numpy()] = sums[name].to_numpy()
-        tables.append(losses(counts.reshape(width, width), strength).ravel())
-
-    own = spark.createDataFrame([(int(w),) for w in classes], "word long")
-    others = counted.join(F.broadcast(own), "word", "left_anti")
-    once = F.col("all") < 2
-    total = others.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(a) for a, x in {"all": F.col("all"), "aim": F.col("aim"), "all_once": F.when(once, F.col("all")), "aim_once": F.when(once, F.col("aim")), "words": (~once).cast("long")}.items())).first()
-    loss = lambda m, n: -F.log((n + 1) / F.lit(float(total[m] + total["words"] + 1)))
-    known = others.where(~once).select("word", loss("aim", F.col("aim")).cast("float").alias("aim"), loss("all", F.col("all")).cast("float").alias("all"))
-    rest = [-np.log((total[f"{m}_once"] + 1) / (total[m] + total["words"] + 1)) for m in ("aim", "all")]
-    if seen:
-        return _score_pairs(scratch.save(_packed(marked)), known, rest, tables, ordered, strength, seen, scratch, width, id_col)
-    # Positions come back in place of words, and classes are scored before blocks are shuffled.
-    asked = blocks.select("block", F.posexplode("words").alias("pos", "word")).join(known, "word")
-    told = asked.groupBy("block").agg(*(F.collect_list(c).alias(c) for c in ("pos", "aim", "all")))
-    shared = spark.sparkContext.broadcast(tuple(tables))
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                block, ids, n, tokens, places = (batch.column(c).slice(row, 1) for c in range(5))
-                each, of = np.frombuffer(tokens[0].as_py(), "<u2"), np.frombuffer(n[0].as_py(), "<i4")
-                codes, doc = _bigrams(each, of, width), np.repeat(np.arange(len(of)), of)
-                sums = [np.bincount(doc, table[codes], len(of)).tobytes() for table in shared.value]
-                others = np.bincount(doc[each == 1], minlength=len(of)).astype("<i4").tobytes()
-                yield pa.RecordBatch.from_arrays([block, ids, n, *(pa.array([x], pa.binary()) for x in (*sums, others)), places], ["block", "ids", "n", "aim_sum", "all_sum", "others", "places"])
-
-    def by_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                ids, pos = batch.column(0)[row].values, batch.column(6)[row]
-                n, aim, all_, others = (np.frombuffer(batch.column(c)[row].as_py(), kind) for c, kind in zip(range(1, 5), ("<i4", "<f8", "<f8", "<i4")))
-                data, many = batch.column(5)[row].as_py(), int(others.sum())
-                places = np.frombuffer(data, "<u2" if len(data) == 2 * many else "<u4")
-                doc, means = np.repeat(np.arange(len(n)), others), []
-                for k, sums in enumerate((aim, all_)):
-                    of = np.full(int(places.max()) + 1 if many else 0, rest[k])
-                    if pos.is_valid:
-                        of[pos.values.to_numpy()] = batch.column(7 + k)[row].values.to_numpy()
-                    means.append((sums + np.bincount(doc, of[places], len(n))) / np.maximum(n, 1))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), pa.array(means[0]), pa.array(means[1]), pa.array(means[0] - means[1])], ["id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    scored = blocks.select("block", "ids", "n", "tokens", "places").mapInArrow(by_class, f"block long, ids array<{kind}>, n binary, aim_sum binary, all_sum binary, others binary, places binary")
-    both = scored.join(told, "block", "left").select("ids", "n", "aim_sum", "all_sum", "others", "places", "pos", "aim", "all")
-    return both.mapInArrow(by_word, f"id {kind}, n_tokens long, target_loss double, background_loss double, score double").withColumnRenamed("id", id_col)
+    scratch = Scratch(docs.sparkSession, "lm")
+    blocks = scratch.save(_packed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))))
+    chosen = target.select(F.col(id_col).alias("id")).where("id is not null").distinct()
+    # Only ids meet the target, and a block then gets the places of those that do.
+    aims = blocks.select("block", F.posexplode("ids").alias("pos", "id")).join(chosen, "id").groupBy("block").agg(F.collect_list("pos").alias("aims"))
+    aims = scratch.save(aims)
+    parts = 1 + (blocks.agg(F.sum("n")).first()[0] or 0) // (2 * _PART)  # a word and a pair in about four bytes
+    told = scratch.save(_told(_asked(blocks.join(aims, "block", "left"), parts)))
+    total = told.where("block is null").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("words", "all", "aim"))).first()
+    answers = told.where("block is not null").groupBy("block").agg(F.collect_list("data").alias("told"))
+    both = blocks.join(aims, "block", "left").join(answers, "block", "left")
+    return _scored(both, total["words"], total["all"], total["aim"], strength).withColumnRenamed("id", id_col)

@@ -490,71 +490,48 @@ def test_training_shards(spark, docs, none):
     assert shards.write(none, Scratch(spark, "t").path("shards"), key=5).count() == 0
 
 
-def test_lm_scores(docs, none, spark):
-    target = spark.createDataFrame([(6,), (9,), (9,), (None,)], "doc_id long")
-    got = {(r.doc_id, r.n_tokens): r for r in lm.score(docs, target, size=6, strength=4.0).collect()}
+def test_lm_scores(docs, none, spark, monkeypatch):
+    """Both models by their definition, each document without its own counts; small blocks and parts, and the usual ones."""
+    target = spark.createDataFrame([(6,), (9,), (9,), (3,), (None,)], "doc_id long")
     rows = [(r.doc_id, words_of(r.text)) for r in docs.select("doc_id", "text").collect()]
-    count = Counter(w for _, ws in rows for w in ws)
-    key = lambda w: (-count[w], np.uint64(xxhash.xxh64_intdigest(w.encode(), 0)).view(np.int64))
-    known = set(sorted(count, key=key)[:6])
-    other = lambda w: None if w in known else w if count[w] > 1 else "?"
-    assert {count[w] > 1 for w in count if w not in known} == {True, False}
-    seqs = [(i, [w if w in known else "?" for w in ws], [other(w) for w in ws]) for i, ws in rows]
-    size = len({o for *_, os in seqs for o in os} - {None, "?"}) + 1
-    for name, chosen in (("target_loss", {6, 9}), ("background_loss", None)):
-        pair = Counter(p for i, ws, _ in seqs if chosen is None or i in chosen for p in zip(["^", *ws], ws))
-        one = Counter(o for i, _, os in seqs if chosen is None or i in chosen for o in os if o)
-        within = lambda o: -np.log((one[o] + 1) / (sum(one.values()) + size)) if o else 0.0  # noqa: E731, B023
-        of, whole = Counter(), Counter()
-        for (a, b), n in pair.items():
-            of[b] += n
-            whole[a] += n
-        rate = lambda w: (of[w] + 1) / (sum(of.values()) + 8)
-        for i, ws, os in seqs:
-            losses = [-np.log((pair[a, b] + 4 * rate(b)) / (whole[a] + 4)) + within(o) for a, b, o in zip(["^", *ws], ws, os)]
-            r = got[i, len(ws)]
-            assert getattr(r, name) == pytest.approx(np.mean(losses) if ws else 0.0, rel=1e-5)
-            assert r.score == pytest.approx(r.target_loss - r.background_loss)
+    follows = lambda ws: list(zip(["^", *ws], ws))
+    aims = {6, 9, 3}
+    count = {k: Counter(w for i, ws in rows if k or i in aims for w in [*ws, *["^"] * bool(ws)]) for k in (0, 1)}
+    pairs = {k: Counter(p for i, ws in rows if k or i in aims for p in follows(ws)) for k in (0, 1)}
+    scale = count[0].total() / count[1].total()
+    assert max(pairs[1].values()) > 2 and 1 in pairs[1].values()
+    want = defaultdict(list)
+    for i, ws in rows:
+        means = []
+        for k, r in ((0, 1.0), (1, scale)):
+            own, two = (Counter([*ws, "^"]), Counter(follows(ws))) if k or i in aims else (Counter(), Counter())
+            rate = lambda w: (r * (count[k][w] - own[w]) + 1) / (r * (count[k].total() - own.total()) + len(count[1]))  # noqa: E731, B023
+            p = lambda v, w: (r * (pairs[k][v, w] - two[v, w]) + 4 * rate(w)) / (r * (count[k][v] - own[v]) + 4)  # noqa: E731, B023
+            means.append(np.mean([-np.log(p(v, w)) for v, w in follows(ws)]) if ws else 0.0)
+        want[i, len(ws)].append((*means, means[0] - means[1]))
+    for small in (True, False):
+        if small:
+            monkeypatch.setattr(lm, "_BLOCK_BYTES", 3000)
+            monkeypatch.setattr(lm, "_PART", 500)
+        else:
+            monkeypatch.undo()
+        got = defaultdict(list)
+        for r in lm.score(docs, target, strength=4.0).collect():
+            got[r.doc_id, r.n_tokens].append((r.target_loss, r.background_loss, r.score))
+        assert {k: sorted(v) for k, v in got.items()} == {k: [pytest.approx(x) for x in sorted(v)] for k, v in want.items()}
     assert lm.score(none, target).count() == 0
-    plain = {(r.doc_id, r.n_tokens): r.score for r in lm.score(docs, target, size=6, strength=4.0, broadcast_rows=0).collect()}
-    assert plain == pytest.approx({k: r.score for k, r in got.items()})
+    assert lm.score(docs, target.limit(0)).count() == len(rows)
 
 
-def test_lm_counts_pairs_outside_the_head(docs, none, spark):
-    """Pairs that occur twice or more, of whatever words, by brute force over the class model."""
-    target = spark.createDataFrame([(6,), (9,)], "doc_id long")
-    got = {(r.doc_id, r.n_tokens): r for r in lm.score(docs, target, size=3, strength=4.0, seen=2).collect()}
-    rows = [(r.doc_id, words_of(r.text)) for r in docs.select("doc_id", "text").collect()]
-    assert len(rows) == lm.score(docs, target, seen=2).count()  # fewer words than classes
-    count = Counter(w for _, ws in rows for w in ws)
-    key = lambda w: (-count[w], np.uint64(xxhash.xxh64_intdigest(w.encode(), 0)).view(np.int64))
-    known = set(sorted(count, key=key)[:3])
-    other = lambda w: None if w in known else w if count[w] > 1 else "?"
-    head = lambda w: w if w in known or w == "^" else "?"
-    vocabulary = len({other(w) for w in count} - {None, "?"}) + 1
-    follows = lambda ws: list(zip(["^", *ws], ws))
-    often = {p for p, n in Counter(p for _, ws in rows for p in follows(ws)).items() if n > 1}
-    assert any(head(a) == head(b) == "?" for a, b in often) and len(often) < len({p for _, ws in rows for p in follows(ws)})
-    for name, chosen in (("target_loss", {6, 9}), ("background_loss", None)):
-        pair = Counter(p for i, ws in rows if chosen is None or i in chosen for p in follows(ws))
-        classes, one, whole, kept, of, after = Counter(), Counter(), Counter(), Counter(), Counter(), Counter()
-        for (a, b), n in pair.items():
-            classes[head(a), head(b)] += n
-            of[head(b)] += n
-            after[head(a)] += n
-            one[other(b)] += n
-            whole[a] += n
-            kept[a] += n * ((a, b) in often)
-        rate = lambda b: (of[head(b)] + 1) / (sum(of.values()) + 5)
-        del one[None]
-        within = lambda b: (one[other(b)] + 1) / (sum(one.values()) + vocabulary) if other(b) else 1.0
-        base = lambda a, b: (classes[head(a), head(b)] + 4 * rate(b)) / (after[head(a)] + 4) * within(b)
-        p = lambda a, b: (pair[a, b] * ((a, b) in often) + (whole[a] - kept[a] + 4) * base(a, b)) / (whole[a] + 4)
-        for i, ws in rows:
-            r = got[i, len(ws)]
-            assert getattr(r, name) == pytest.approx(np.mean([-np.log(p(a, b)) for a, b in follows(ws)]) if ws else 0.0, rel=1e-5)
-            assert r.score == pytest.approx(r.target_loss - r.background_loss)
-    assert lm.score(none, target, seen=2).count() == 0
+def test_lm_tells_repeated_documents_apart(spark):
+    """What stands in two documents costs less under the background than what stands in one."""
+    r = random.Random(4)
+    make = lambda: " ".join(f"w{r.randrange(3000)}" for _ in range(200))
+    rows = [(i, make()) for i in range(60)]
+    rows += [(100 + i, rows[i][1]) for i in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    loss = {x.doc_id: x.background_loss for x in lm.score(frame, spark.createDataFrame([(i,) for i in range(40)], "doc_id long")).collect()}
+    assert max(loss[i] for i in (*range(20), *range(100, 120))) < min(loss[i] for i in range(20, 60)) - 3
 
 
 def test_url_filter(spark):
