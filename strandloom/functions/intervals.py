@@ -81,6 +81,58 @@ def transformed(x: Column, src_start: Column, src_stop: Column, dst_start: Colum
     return dst_start + ((x - src_start) * (dst_stop - dst_start) / (src_stop - src_start)).cast("long")
 
 
+def clip_transformed(low: Column, high: Column, src_start: Column, src_stop: Column, dst_start: Column, dst_stop: Column) -> Column:
+    """An interval of the source, clipped to it first, in the destination's coordinates; null outside."""
+    a, b = F.greatest(low, src_start), F.least(high, src_stop)
+    return F.when(a < b, pair(transformed(a, src_start, src_stop, dst_start, dst_stop), transformed(b, src_start, src_stop, dst_start, dst_stop)))
+
+
+def size(start: Column, stop: Column, step: int = 1) -> Column:
+    """The length, in units of ``step`` letters, one at least."""
+    return F.greatest(F.floor((stop - start) / step), F.lit(1))
+
+
+def is_full_length(start: Column, stop: Column, length: Column) -> Column:
+    """Whether the interval is its whole sequence, on either strand."""
+    return ((start == 0) & (stop == length)) | ((start == -length) & (stop == 0))
+
+
+def equal(a_seq: Column, a_start: Column, a_stop: Column, b_seq: Column, b_start: Column, b_stop: Column) -> Column:
+    """Whether two intervals are the same stretch of the same strand of one sequence."""
+    return a_seq.eqNullSafe(b_seq) & (a_start == b_start) & (a_stop == b_stop)
+
+
+def order_key(seq: Column, start: Column, stop: Column) -> Column:
+    """What intervals are ordered and hashed by: the sequence, then start and stop."""
+    return F.struct(seq.alias("seq"), start.alias("start"), stop.alias("stop"))
+
+
+def absolute_slice(start: Column, stop: Column) -> Column:
+    """``[start:stop]`` of a whole sequence by signed coordinates: both may be negative, which is the reverse strand.
+
+    The same as the pair itself; ``start`` not before ``stop`` is empty and null.
+    """
+    return pair(start, stop)
+
+
+def relative_slice(start: Column, stop: Column, low: Column, high: Column) -> Column:
+    """``[low:high]`` counted from the interval's start, in its own direction, ``low`` and ``high`` signed: negative is its other strand."""
+    return F.when(low >= 0, pair(start + low, start + high)).otherwise(pair(-start + low, -start + high))
+
+
+def record(seq: Column, start: Column, stop: Column, prefix: str = "") -> list[Column]:
+    """The interval as columns ``id``, ``start``, ``end`` on the forward strand and ``ori`` (1 or -1), with a prefix."""
+    place = absolute(start, stop)
+    return [seq.alias(f"{prefix}id"), place["start"].alias(f"{prefix}start"), place["stop"].alias(f"{prefix}end"), orientation(start).alias(f"{prefix}ori")]
+
+
+def reoriented(src_start: Column, src_stop: Column, dst_start: Column, dst_stop: Column, forward: bool = True) -> Column:
+    """A struct (start, stop, tgt_start, tgt_stop): both sides turned, so that the source is on the strand asked for."""
+    turn = (src_start < 0) if forward else (src_start >= 0)
+    ends = {"start": (src_start, src_stop), "stop": (src_stop, src_start), "tgt_start": (dst_start, dst_stop), "tgt_stop": (dst_stop, dst_start)}
+    return F.struct(*[F.when(turn, -other).otherwise(own).alias(name) for name, (own, other) in ends.items()])
+
+
 def frame(start: Column) -> Column:
     """Reading frame of a translated interval: 1 to 3, or -1 to -3 on the reverse strand."""
     return F.when(start >= 0, F.pmod(start, F.lit(3)) + 1).otherwise(-(F.pmod(start + 1, F.lit(3)) + 1))

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # fixed values: the standard genetic code, codons in the order T, C, A, G
 _AMINO = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
@@ -13,9 +16,13 @@ CODONS = {"".join(c): a for c, a in zip(product("TCAG", repeat=3), _AMINO)}
 DNA, RNA, PROTEIN = 0, 1, 2
 
 
+# fixed values: letters and what they pair with
+_LETTERS, _PAIRED = "acgtunACGTUN", "tgcaanTGCAAN"
+
+
 def reverse_complement(seq: Column) -> Column:
     """Case is kept, u pairs with a, and letters that pair with none stay."""
-    return F.reverse(F.translate(seq, "acgtunACGTUN", "tgcaanTGCAAN"))
+    return F.reverse(F.translate(seq, _LETTERS, _PAIRED))
 
 
 def substring(seq: Column, start: Column, stop: Column) -> Column:
@@ -25,16 +32,76 @@ def substring(seq: Column, start: Column, stop: Column) -> Column:
     return F.when(start >= 0, forward).otherwise(reverse_complement(back))
 
 
+def _codes() -> np.ndarray:
+    """The amino acid of each codon, by six letters a place: T, C, A, G, then N, R, Y in the third, and all others.
+
+    A third N stands for any letter where all four give one amino acid; R and Y for either of
+    their two letters where these give one and not all four do.
+    """
+    out = np.full((8, 8, 8), ord("X"), np.uint8)
+    amino = np.frombuffer(_AMINO.encode(), np.uint8).reshape(4, 4, 4)
+    out[:4, :4, :4] = amino
+    same = (amino == amino[:, :, :1]).all(2)
+    out[:4, :4, 4] = np.where(same, amino[:, :, 0], ord("X"))
+    for place, (a, b) in ((5, (2, 3)), (6, (0, 1))):
+        out[:4, :4, place] = np.where((amino[:, :, a] == amino[:, :, b]) & ~same, amino[:, :, a], ord("X"))
+    return out.ravel()
+
+
+_PLACE = np.full(256, 7, np.uint8)
+for _n, _letters in enumerate(("TtUu", "Cc", "Aa", "Gg", "Nn", "Rr", "Yy")):
+    _PLACE[np.frombuffer(_letters.encode(), np.uint8)] = _n
+_CODES = _codes()
+
+
+@F.pandas_udf(StringType())
+def _translated(seqs: pd.Series) -> pd.Series:
+    """All sequences of a batch at once, each padded to whole codons."""
+    texts = [None if s is None else s.encode("utf-32-le") for s in seqs]
+    sizes = np.array([len(t) // 4 if t else 0 for t in texts])
+    codons = -(-sizes // 3)
+    letters = np.frombuffer(b"".join(t + b"\0" * (4 * (3 * c - n)) for t, c, n in zip(texts, codons.tolist(), sizes.tolist()) if t), "<u4")
+    place = np.where(letters < 256, _PLACE[np.minimum(letters, 255)], 7).reshape(-1, 3).astype(np.int64)
+    out, ends = _CODES[place @ np.array([64, 8, 1])].tobytes().decode("ascii"), np.cumsum(codons).tolist()
+    return pd.Series([None if t is None else out[e - c : e] for t, c, e in zip(texts, codons.tolist(), ends)])
+
+
 def translate(seq: Column) -> Column:
-    """Amino acids of consecutive codons; a codon that is partial or unknown is X, a stop is ``*``."""
-    codons = F.regexp_extract_all(F.translate(F.upper(seq), "U", "T"), F.lit("(?s).{1,3}"), F.lit(0))
+    """Amino acids of consecutive codons; a codon that is partial or unknown is X, a stop is ``*``.
+
+    A kernel over whole batches: three letters to a codon have no form in built-in functions
+    but a lambda for each of them, which is many times slower.
+    """
+    return _translated(seq)
 
-    def amino(codon: Column) -> Column:
-        a, b, c = (F.instr(F.lit("TCAG"), F.substring(codon, i, 1)) for i in (1, 2, 3))
-        known = (F.length(codon) == 3) & (a > 0) & (b > 0) & (c > 0)
-        return F.when(known, F.substring(F.lit(_AMINO), a * 16 + b * 4 + c - 20, F.lit(1))).otherwise("X")
 
-    return F.array_join(F.transform(codons, amino), "")
+def translated_slice(seq: Column, start: Column, stop: Column) -> Column:
+    """The protein of the signed interval of nucleotides: whole codons of its own frame."""
+    return translate(substring(seq, start, start + F.floor((stop - start) / 3) * 3))
+
+
+def protein_slice(start: Column, stop: Column, low: Column, high: Column) -> Column:
+    """Which amino acids of a translated interval a stretch of nucleotides within it covers: (start, stop), rounded inwards down."""
+    return F.struct(F.floor((low - start) / 3).alias("start"), F.floor((high - start) / 3).alias("stop"))
+
+
+def nucleotide_slice(start: Column, low: Column, high: Column) -> Column:
+    """The nucleotides of amino acids ``[low:high]`` of an interval that begins at ``start``."""
+    return F.struct((start + 3 * low).alias("start"), (start + 3 * high).alias("stop"))
+
+
+def spliced(seq: Column, starts: Column, stops: Column) -> Column:
+    """The letters of exons, one after the other: ``starts`` and ``stops`` are comma lists of forward places; no strand is turned."""
+    ends = F.arrays_zip(*[F.filter(F.split(x, ","), lambda v: v != "").alias(a) for x, a in ((starts, "a"), (stops, "b"))])
+    return F.array_join(F.transform(ends, lambda e: F.substring(seq, e["a"].cast("int") + 1, e["b"].cast("int") - e["a"].cast("int"))), "")
+
+
+def letters(seq: Column) -> Column:
+    """Structs (pos, letter, next): the sequence as a chain of letters; the last has no next."""
+    n = F.length(seq)
+    at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    letter = lambda i: F.nullif(F.substring(seq, i + 1, F.lit(1)), F.lit(""))
+    return F.transform(at, lambda i: F.struct(i.alias("pos"), letter(i).alias("letter"), letter(i + 1).alias("next")))
 
 
 def _count(seq: Column, letters: str) -> Column:
@@ -48,6 +115,11 @@ def guess_type(seq: Column) -> Column:
     return F.when(nucleic, F.when(_count(upper, "T") > _count(upper, "U"), DNA).otherwise(RNA)).when(F.length(seq) > 0, PROTEIN)
 
 
+def interval_type(seq: Column, start: Column, stop: Column) -> Column:
+    """:func:`guess_type` of an interval: of its first 40 letters."""
+    return guess_type(substring(seq, start, F.least(stop, start + 40)))
+
+
 def identity(a: Column, b: Column) -> Column:
     """How many places of two equally long strings have the same letter, whatever the case."""
     return F.size(F.filter(F.zip_with(F.split(F.upper(a), ""), F.split(F.upper(b), ""), lambda x, y: x == y), lambda same: same))

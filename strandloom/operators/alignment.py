@@ -6,16 +6,27 @@ has negative coordinates.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import intervals as iv
+from strandloom.functions import sequences as sq
+from strandloom.operators.overlap import overlap_join
+
 
+def bidirectional(aln: DataFrame, genome: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The alignment with every row also from target to source, turned so that its source is forward.
 
-def bidirectional(aln: DataFrame) -> DataFrame:
-    """The alignment with every row also from target to source, turned so that its source is forward."""
+    With ``genome``, a function of an id column, rows within one genome stay one-way.
+    """
     turned = iv.oriented(F.col("tgt_start"), F.col("tgt_stop"), F.lit(0)), F.col("tgt_start") < 0
-    back = aln.select(
+    turn = aln if genome is None else aln.where(~genome(F.col("src")).eqNullSafe(genome(F.col("tgt"))))
+    back = turn.select(
         F.col("tgt").alias("src"), turned[0]["start"].alias("start"), turned[0]["stop"].alias("stop"), F.col("src").alias("tgt"),
         F.when(turned[1], -F.col("stop")).otherwise(F.col("start")).alias("tgt_start"), F.when(turned[1], -F.col("start")).otherwise(F.col("stop")).alias("tgt_stop"),
     )
@@ -29,20 +40,78 @@ def covers(aln: DataFrame) -> DataFrame:
     return out.select("src", "tgt", "minus", "tgt_start", "tgt_stop", F.least("a.start", "b.start").alias("start"), F.greatest("a.stop", "b.stop").alias("stop"))
 
 
-def merged(aln: DataFrame, max_gap: int, max_insert: int, min_insert: int, keys: tuple[str, ...] = ("src", "tgt")) -> DataFrame:
+def _order() -> list:
+    return ["start", F.desc("stop"), "tgt_start", "tgt_stop"]
+
+
+def merged(aln: DataFrame, max_gap: int, max_insert: int, min_insert: int, max_size: int | None = None, keys: tuple[str, ...] = ("src", "tgt"), blocks: bool = False) -> DataFrame:
     """Runs of intervals of a source and target, by source order, that neither gap nor insert parts.
 
     The gap is from one source interval's end to the next one's start, the insert the same
     on the target; a run goes on while gap <= ``max_gap`` and ``min_insert`` <= insert <=
-    ``max_insert``.  A run starts as its first interval and ends as its last.
+    ``max_insert`` and, with ``max_size``, while it is no longer than that on either side.
+    A run starts as its first interval and ends as its last.  With ``blocks`` it has its
+    one-to-one intervals as an array of structs, those that touch on both sides as one;
+    null where there is one only.
     """
-    order = Window.partitionBy(*keys).orderBy("start", F.desc("stop"), "tgt_start", "tgt_stop")
+    order = Window.partitionBy(*keys).orderBy(*_order())
     gap, insert = F.col("start") - F.lag("stop").over(order), F.col("tgt_start") - F.lag("tgt_stop").over(order)
     cut = F.coalesce(((gap > max_gap) | (insert > max_insert) | (insert < min_insert)).cast("int"), F.lit(1))
-    runs = aln.withColumn("cut", cut).withColumn("run", F.sum("cut").over(order))
+    runs = aln.withColumn("cut", cut).withColumn("run", F.sum("cut").over(order)).drop("cut")
+    keys = (*keys, "run")
+    if max_size is not None:
+        runs, keys = _sized(runs, keys, max_size), (*keys, "piece")
     at = F.struct("start", (-F.col("stop")).alias("z"), "tgt_start", "tgt_stop")
-    out = runs.groupBy(*keys, "run").agg(F.min(at).alias("a"), F.max(at).alias("b"), F.count("*").alias("n"))
-    return out.select(*keys, F.col("a.start").alias("start"), (-F.col("b.z")).alias("stop"), F.col("a.tgt_start").alias("tgt_start"), F.col("b.tgt_stop").alias("tgt_stop"), "n")
+    ends = [F.min(at).alias("a"), F.max(at).alias("b"), F.count("*").alias("n")]
+    if blocks:
+        line = Window.partitionBy(*keys).orderBy(*_order())
+        touch = (F.lag("stop").over(line) == F.col("start")) & (F.lag("tgt_stop").over(line) == F.col("tgt_start"))
+        fused = runs.withColumn("cut", (~F.coalesce(touch, F.lit(False))).cast("int")).withColumn("block", F.sum("cut").over(line))
+        fused = fused.groupBy(*keys, "block").agg(*ends)
+        one = F.struct(F.col("a.start").alias("start"), (-F.col("b.z")).alias("stop"), F.col("a.tgt_start").alias("tgt_start"), F.col("b.tgt_stop").alias("tgt_stop"))
+        out = fused.groupBy(*keys).agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("n").alias("n"), F.sort_array(F.collect_list(one)).alias("blocks"))
+        extra = [F.when(F.size("blocks") > 1, F.col("blocks")).alias("blocks")]
+    else:
+        out, extra = runs.groupBy(*keys).agg(*ends), []
+    own = [k for k in keys if k not in ("run", "piece")]
+    return out.select(*own, F.col("a.start").alias("start"), (-F.col("b.z")).alias("stop"), F.col("a.tgt_start").alias("tgt_start"), F.col("b.tgt_stop").alias("tgt_stop"), "n", *extra)
+
+
+def _sized(runs: DataFrame, keys: tuple[str, ...], most: int) -> DataFrame:
+    """``runs`` with a column ``piece``: a new one begins where the piece so far would be longer than ``most``.
+
+    Only runs that are too long as a whole are gone through, row by row, each as a stream.
+    """
+    run = Window.partitionBy(*keys)
+    line = run.orderBy(*_order())
+    far = (F.col("stop") - F.first("start").over(line) > most) | (F.col("tgt_stop") - F.first("tgt_start").over(line) > most)
+    told = runs.withColumn("far", far).withColumn("far", F.max("far").over(run))
+    short = told.where("not far").drop("far").withColumn("piece", F.lit(0).cast("long"))
+    long_ = told.where("far").drop("far")
+    names = long_.columns
+    at = {c: names.index(c) for c in (*keys, "start", "stop", "tgt_start", "tgt_stop")}
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, piece, first = None, 0, (0, 0)
+        for batch in batches:
+            pieces, columns = [], {c: batch.column(i).to_pylist() for c, i in at.items()}
+            for i in range(batch.num_rows):
+                start, stop, low, high = (columns[c][i] for c in ("start", "stop", "tgt_start", "tgt_stop"))
+                key = tuple(columns[c][i] for c in keys)
+                if key != now:
+                    now, piece, first = key, 0, (start, low)
+                elif stop - first[0] > most or high - first[1] > most:
+                    piece, first = piece + 1, (start, low)
+                pieces.append(piece)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pieces, pa.int64())], [*names, "piece"])
+
+    dealt = long_.repartition(*keys).sortWithinPartitions(*keys, *_order())
+    return short.union(dealt.mapInArrow(fold, short.schema))
+
+
+def merged_most(aln: DataFrame, **how) -> DataFrame:
+    """:func:`merged` within reason: gaps and inserts to 10,000, ten letters of overlap, no run over 50,000."""
+    return merged(aln, 10_000, 10_000, -10, 50_000, **how)
 
 
 def merged_all(aln: DataFrame) -> DataFrame:
@@ -52,25 +121,240 @@ def merged_all(aln: DataFrame) -> DataFrame:
     return out.select("src", "tgt", F.col("a.start").alias("start"), (-F.col("b.z")).alias("stop"), F.col("a.tgt_start").alias("tgt_start"), F.col("b.tgt_stop").alias("tgt_stop"), "n")
 
 
-def depth_regions(intervals: DataFrame, seq: str, member: str, least: int | Column, start: str = "start", stop: str = "stop") -> DataFrame:
-    """(seq, start, stop, depth): maximal stretches of equal depth at which ``least`` members at least are open.
+def _swept(intervals: DataFrame, seq: list[str], member: str, start: str, stop: str, width: int) -> DataFrame:
+    """(seq, start, stop, depth, dip): stretches between neighbouring ends, with the members open there.
 
-    A member counts once where its own intervals overlap; at one position ends come before
-    starts, so intervals that touch do not overlap.
+    ``dip`` is how many are open between the ends at ``start`` and the starts there.  A
+    sequence is swept in bins of ``width``, each with what is open where it begins, so a
+    long one is many tasks; stretches that only a bin's edge parts are joined after.
     """
-    own = Window.partitionBy(seq, member).orderBy(start, stop)
+    own = Window.partitionBy(*seq, member).orderBy(start, stop)
     far = F.max(stop).over(own.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.coalesce((F.col(start) >= far).cast("int"), F.lit(1))).over(own)
-    flat = intervals.withColumn("island", island).groupBy(seq, member, "island").agg(F.min(start).alias("start"), F.max(stop).alias("stop"))
-    events = flat.select(seq, F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("stop").alias("pos"), F.lit(-1).alias("d")))).alias("e")).select(seq, "e.*")
-    steps = events.groupBy(seq, "pos").agg(F.sum("d").alias("d"))
-    line = Window.partitionBy(seq).orderBy("pos")
-    swept = steps.withColumn("depth", F.sum("d").over(line)).withColumn("next", F.lead("pos").over(line))
-    return swept.where((F.col("depth") >= least) & F.col("next").isNotNull()).select(seq, F.col("pos").alias("start"), F.col("next").alias("stop"), "depth")
-
-
-def gaps(blocks: Column) -> Column:
-    """Structs (gap, insert) between consecutive blocks (start, stop, tgt_start, tgt_stop) of an array, where either is not 0."""
-    n = F.size(blocks)
-    between = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.struct((F.get(blocks, i)["start"] - F.get(blocks, i - 1)["stop"]).alias("gap"), (F.get(blocks, i)["tgt_start"] - F.get(blocks, i - 1)["tgt_stop"]).alias("insert")))
-    return F.when(n > 1, F.filter(between, lambda g: (g["gap"] != 0) | (g["insert"] != 0))).otherwise(F.slice(F.transform(blocks, lambda b: F.struct(b["start"].alias("gap"), b["stop"].alias("insert"))), 1, 0))
+    flat = intervals.withColumn("island", island).groupBy(*seq, member, "island").agg(F.min(start).alias("start"), F.max(stop).alias("stop"))
+    cut = flat.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("stop") - 1) / width))))
+    low, high = F.greatest("start", F.col("bin") * width), F.least("stop", (F.col("bin") + 1) * width)
+    event = lambda pos, up, real: F.struct(pos.alias("pos"), F.lit(up).alias("up"), F.lit(1 - up).alias("down"), real.cast("int").alias("real"))
+    events = cut.select(*seq, "bin", F.explode(F.array(event(low, 1, low == F.col("start")), event(high, 0, high == F.col("stop")))).alias("e")).select(*seq, "bin", "e.*")
+    steps = events.groupBy(*seq, "bin", "pos").agg(F.sum("up").alias("up"), F.sum("down").alias("down"), F.sum(F.col("real") * F.col("up")).alias("real_up"), F.sum(F.col("real") * F.col("down")).alias("real_down"))
+    line = Window.partitionBy(*seq, "bin").orderBy("pos")
+    swept = steps.withColumn("depth", F.sum(F.col("up") - F.col("down")).over(line)).withColumns({"stop": F.lead("pos").over(line), "end_down": F.lead("real_down").over(line)}).where("stop is not null")
+    swept = swept.withColumns({"start": F.col("pos"), "dip": F.col("depth") - F.col("up"), "head": F.col("pos") == F.col("bin") * width, "tail": F.col("stop") == (F.col("bin") + 1) * width})
+    columns = [*seq, "start", "stop", "depth", "dip"]
+    edges = Window.partitionBy(*seq).orderBy("start")  # of the stretches at the bins' edges: two a bin at most
+    meets = F.col("head") & (F.lag("stop").over(edges) == F.col("start"))
+    before = F.when(meets, F.lag("depth").over(edges) - F.lag("end_down").over(edges)).otherwise(0)
+    at_edge = swept.where("head or tail").withColumns({"goes_on": meets & (F.lag("end_down").over(edges) == 0) & (F.col("real_up") == 0), "dip": F.when(F.col("head"), before).otherwise(F.col("dip"))})
+    at_edge = at_edge.withColumn("chain", F.sum((~F.coalesce("goes_on", F.lit(False))).cast("int")).over(edges))
+    joined = at_edge.groupBy(*seq, "chain").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("depth").alias("depth"), F.min_by("dip", "start").alias("dip"))
+    return swept.where("not (head or tail)").select(columns).union(joined.select(columns)).where("depth > 0")
+
+
+def depth_regions(intervals: DataFrame, seq: str, member: str, least: int | Column, start: str = "start", stop: str = "stop", width: int = 1 << 16) -> DataFrame:
+    """(seq, start, stop, depth): stretches between neighbouring ends at which ``least`` members at least are open.
+
+    A member counts once where its own intervals overlap; at one position ends come before
+    starts, so intervals that touch do not overlap.
+    """
+    return _swept(intervals, [seq], member, start, stop, width).where(F.col("depth") >= least).select(seq, "start", "stop", "depth")
+
+
+def regions(intervals: DataFrame, seq: list[str], member: str, least: int | Column = 1, start: str = "start", stop: str = "stop", width: int = 1 << 16) -> DataFrame:
+    """(seq, start, stop): maximal stretches throughout which ``least`` members at least are open.
+
+    ``least`` may be a column of ``intervals`` that is the same throughout a sequence.
+    Where ends at a position leave fewer before others start there, a stretch ends.
+    """
+    limit = least if isinstance(least, Column) else F.lit(least)
+    bound = intervals.groupBy(*seq).agg(F.max(limit).alias("bound")) if isinstance(least, Column) else None
+    swept = _swept(intervals, seq, member, start, stop, width)
+    swept = swept.join(bound, seq) if bound is not None else swept.withColumn("bound", limit)
+    deep = swept.where(F.col("depth") >= F.greatest("bound", F.lit(1))).withColumns({"bin": F.floor(F.col("start") / width), "holds": F.col("dip") >= F.greatest("bound", F.lit(1))})
+
+    def chained(rows: DataFrame, keys: list[str]) -> DataFrame:
+        line = Window.partitionBy(*keys).orderBy("start")
+        on = F.coalesce(F.col("holds") & (F.lag("stop").over(line) == F.col("start")), F.lit(False))
+        return rows.withColumn("chain", F.sum((~on).cast("int")).over(line)).groupBy(*keys, "chain").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min_by("holds", "start").alias("holds"))
+
+    pieces = chained(deep, [*seq, "bin"])
+    ends = Window.partitionBy(*seq, "bin")
+    pieces = pieces.withColumn("edge", (F.col("chain") == F.min("chain").over(ends)) | (F.col("chain") == F.max("chain").over(ends)))
+    columns = [*seq, "start", "stop"]
+    return pieces.where("not edge").select(columns).union(chained(pieces.where("edge"), seq).select(columns))
+
+
+def clipped_to(aln: DataFrame, spans: DataFrame, keys: tuple[str, ...] = ("src",)) -> DataFrame:
+    """The alignment's intervals cut to ``spans(keys, start, stop)`` of the source, the target in lockstep; one row for each span that is met."""
+    key = F.struct(*keys)
+    both = overlap_join(aln.withColumn("_key", key), spans.select(key.alias("_key"), "start", "stop"), "_key")
+    low, high = F.greatest("l_start", "r_start"), F.least("l_stop", "r_stop")
+    moved = {"start": low, "stop": high, "tgt_start": F.col("l_tgt_start") + low - F.col("l_start"), "tgt_stop": F.col("l_tgt_stop") + high - F.col("l_stop")}
+    return both.select(*[(moved[c] if c in moved else F.col(f"l_{c}")).alias(c) for c in aln.columns])
+
+
+def grouped_by_sequences(aln: DataFrame, least: int = 1, share: float = 0.0, groups: DataFrame | None = None, source_only: bool = False) -> DataFrame:
+    """The intervals of each source, cut to where enough targets are aligned: ``least`` of them, and ``share`` of their number.
+
+    ``groups(tgt, grp)``: each group is looked at by itself and targets of none are left
+    out; without it all targets are one.  With ``source_only`` the regions themselves.
+    """
+    keys, rows = ("src",), aln
+    if groups is not None:
+        keys, rows = ("src", "grp"), aln.join(groups.select("tgt", "grp"), "tgt")
+        sizes = groups.groupBy("grp").agg(F.countDistinct("tgt").alias("members"))
+        rows = rows.join(sizes, "grp")
+    else:
+        rows = rows.join(rows.groupBy("src").agg(F.countDistinct("tgt").alias("members")), "src")
+    limit = F.greatest(F.lit(least), F.ceil(F.col("members") * share - 1e-9).cast("int"))
+    spans = regions(rows.withColumn("limit", limit), list(keys), "tgt", F.col("limit"))
+    return spans if source_only else clipped_to(rows.select(*keys[1:], *aln.columns), spans, keys)
+
+
+def split_regions(aln: DataFrame, max_gap: int, max_insert: int, min_insert: int, least: int = 1) -> DataFrame:
+    """(src, start, stop): the sources' regions, cut also where a run of :func:`merged` that is not its target's first ends or begins within one."""
+    runs = merged(aln, max_gap, max_insert, min_insert)
+    line = Window.partitionBy("src", "tgt").orderBy("start")
+    runs = runs.withColumn("later", F.row_number().over(line) > 1)
+    spans = regions(runs, ["src"], "tgt", least)
+    marks = runs.where("later").select("src", F.explode(F.array("start", "stop")).alias("pos")).distinct()
+    cuts = overlap_join(spans.select("src", "start", "stop"), marks.select("src", F.col("pos").alias("start"), (F.col("pos") + 1).alias("stop")), "src")
+    cuts = cuts.where("r_start > l_start").select(F.col("l_src").alias("src"), F.col("l_start").alias("begin"), F.col("l_stop").alias("end"), F.col("r_start").alias("pos"))
+    points = cuts.union(spans.select("src", F.col("start").alias("begin"), F.col("stop").alias("end"), F.col("start").alias("pos")))
+    return points.select("src", F.col("pos").alias("start"), F.coalesce(F.lead("pos").over(Window.partitionBy("src", "begin").orderBy("pos")), F.col("end")).alias("stop"))
+
+
+def masked(aln: DataFrame, masks: DataFrame, order: str | None = None) -> DataFrame:
+    """The rows whose target interval meets the mask of its target, ``masks(tgt, low, high)``, cut to it; the source in lockstep.
+
+    Masks are signed: one on the other strand meets nothing.  A target has one mask: the
+    last by ``order``, or else the one with the largest ends.
+    """
+    span = F.struct("low", "high")
+    one = masks.groupBy("tgt").agg((F.max_by(span, order) if order else F.max(span)).alias("m")).select("tgt", "m.low", "m.high")
+    x = iv.intersect(F.col("tgt_start"), F.col("tgt_stop"), F.col("low"), F.col("high"))
+    rows = aln.join(one, "tgt").withColumn("x", x).where("x is not null")
+    moved = {"start": F.col("start") + F.col("x.start") - F.col("tgt_start"), "stop": F.col("stop") + F.col("x.stop") - F.col("tgt_stop"), "tgt_start": F.col("x.start"), "tgt_stop": F.col("x.stop")}
+    return rows.select(*[moved.get(c, F.col(c)).alias(c) for c in aln.columns])
+
+
+def sized(aln: DataFrame, least: int | None = None, most: int | None = None) -> DataFrame:
+    """Rows whose source interval has ``least`` to ``most`` letters."""
+    size = F.col("stop") - F.col("start")
+    return aln.where((size >= least if least is not None else F.lit(True)) & (size <= most if most is not None else F.lit(True)))
+
+
+def with_method(aln: DataFrame, method: Callable[[pd.DataFrame], pd.DataFrame], keys: tuple[str, ...] = ("src", "tgt")) -> DataFrame:
+    """A function of one's own in place of the merging rules: it gets a source's and target's rows, in order, and returns such rows."""
+    return aln.groupBy(*keys).applyInPandas(lambda rows: method(rows.sort_values(["start", "stop"], ascending=[True, False])), aln.schema)
+
+
+def clip_blocks(blocks: Column, low: Column, high: Column) -> Column:
+    """An array of one-to-one blocks cut to ``[low, high)`` of the source; null where fewer than two are left."""
+
+    def cut(b: Column) -> Column:
+        a, z = F.greatest(b["start"], low), F.least(b["stop"], high)
+        return F.struct(a.alias("start"), z.alias("stop"), (b["tgt_start"] + a - b["start"]).alias("tgt_start"), (b["tgt_stop"] + z - b["stop"]).alias("tgt_stop"))
+
+    kept = F.transform(F.filter(blocks, lambda b: (b["start"] < high) & (b["stop"] > low)), cut)
+    return F.when(F.size(kept) > 1, kept)
+
+
+def edge_length(aln_start: Column, aln_stop: Column, tgt_start: Column, tgt_stop: Column, mode: Callable[..., Column] = F.greatest) -> Column:
+    """The length of an edge: of the longer side, or by another ``mode`` of both."""
+    return mode(aln_stop - aln_start, tgt_stop - tgt_start)
+
+
+def gap_rows(blocks: DataFrame, keys: tuple[str, ...] = ("src", "tgt")) -> DataFrame:
+    """(keys, gap_start, gap_stop, insert_start, insert_stop): what lies between consecutive blocks, on either side; null where nothing does."""
+    line = Window.partitionBy(*keys).orderBy("start", "stop", "tgt_start", "tgt_stop")
+    told = blocks.select(*keys, F.lag("stop").over(line).alias("a"), F.col("start").alias("b"), F.lag("tgt_stop").over(line).alias("c"), F.col("tgt_start").alias("d"))
+    gap, insert = F.col("b") > F.col("a"), F.col("d") > F.col("c")
+    return told.where(gap | insert).select(*keys, *[F.when(on, F.col(c)).alias(n) for on, c, n in ((gap, "a", "gap_start"), (gap, "b", "gap_stop"), (insert, "c", "insert_start"), (insert, "d", "insert_stop"))])
+
+
+def aligned(blocks: DataFrame, keys: tuple[str, ...] = ("src", "tgt"), mode: Callable[..., Column] = F.greatest) -> DataFrame:
+    """(keys, aligned, length, share): letters of the target in blocks, and their share of the whole edge's length by ``mode``."""
+    whole = mode(F.max("stop") - F.min("start"), F.max("tgt_stop") - F.min("tgt_start"))
+    return blocks.groupBy(*keys).agg(F.sum(F.col("tgt_stop") - F.col("tgt_start")).alias("aligned"), whole.alias("length")).withColumn("share", F.col("aligned") / F.col("length"))
+
+
+def lettered(blocks: DataFrame, seqs: DataFrame, seq_id: str = "seq_id", seq: str = "seq") -> DataFrame:
+    """``blocks`` with the letters of both sides, ``src_seq`` and ``tgt_seq``; rows of unknown sequences are left out."""
+    for side, start, stop in (("src", "start", "stop"), ("tgt", "tgt_start", "tgt_stop")):
+        own = seqs.select(F.col(seq_id).alias(side), F.col(seq).alias("_seq"))
+        blocks = blocks.join(own, side).withColumn(f"{side}_seq", sq.substring(F.col("_seq"), F.col(start), F.col(stop))).drop("_seq")
+    return blocks
+
+
+def identity(blocks: DataFrame, keys: tuple[str, ...] = ("src", "tgt"), mode: Callable[..., Column] = F.greatest) -> DataFrame:
+    """(keys, same, length, share) of blocks with letters: equal letters, whatever the case, and their share of the edge's length.
+
+    A share over 1, where blocks repeat, is left as it is.
+    """
+    whole = mode(F.max("stop") - F.min("start"), F.max("tgt_stop") - F.min("tgt_start"))
+    return blocks.groupBy(*keys).agg(F.sum(sq.identity(F.col("src_seq"), F.col("tgt_seq"))).alias("same"), whole.alias("length")).withColumn("share", F.col("same") / F.col("length"))
+
+
+def conserved(blocks: DataFrame, least: float = 0.9, least_size: int = 1, keys: tuple[str, ...] = ("src", "tgt"), shortest: bool = False) -> DataFrame:
+    """(keys, start, stop, tgt_start, tgt_stop): of each edge the best stretch whose identity is ``least`` or more; edges without one are left out.
+
+    Runs of equal letters are found first.  A stretch is from one run to another; its
+    identity is its equal letters by its length on the longer side (``shortest``: the
+    shorter), its score all letters compared; the best is the first of the highest score
+    that ends first and, of those, begins last.  All stretches of an edge are tried.
+    """
+    kinds = [f"{k} {blocks.schema[k].dataType.simpleString()}" for k in keys]
+    mode = np.minimum if shortest else np.maximum
+
+    def best(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["start", "tgt_start"])
+        where, there, ok = [], [], []
+        for start, other, a, b in zip(rows["start"], rows["tgt_start"], rows["src_seq"], rows["tgt_seq"]):
+            x, y = (np.frombuffer(t.upper().encode("utf-32-le"), "<u4") for t in (a, b))
+            n = min(len(x), len(y))
+            where.append(start + np.arange(n))
+            there.append(other + np.arange(n))
+            ok.append(x[:n] == y[:n])
+        one, two, ok = (np.concatenate(x) for x in (where, there, ok))
+        hit = np.flatnonzero(ok)
+        none = pd.DataFrame({c: pd.Series(dtype="int64") for c in ("start", "stop", "tgt_start", "tgt_stop")})
+        if not len(hit):
+            return none.assign(**{k: pd.Series(dtype=rows[k].dtype) for k in keys})[[*keys, *none.columns]]
+        new = np.ones(len(hit), bool)
+        new[1:] = (np.diff(hit) != 1) | (np.diff(one[hit]) != 1) | (np.diff(two[hit]) != 1)
+        first = hit[new]
+        size = np.diff(np.append(np.flatnonzero(new), len(hit)))
+        wrong = np.cumsum(~ok)
+        a, z, b, y = one[first], one[first] + size, two[first], two[first] + size
+        whole, top = np.cumsum(size), None
+        for i in range(len(first)):
+            same = whole[i] - whole[: i + 1] + size[: i + 1]
+            score = same + wrong[first[i]] - wrong[first[: i + 1]]
+            fits = np.flatnonzero(same >= least * mode(z[i] - a[: i + 1], y[i] - b[: i + 1]) - 1e-12)
+            if len(fits):
+                j = int(fits[score[fits] == score[fits].max()][-1])
+                if top is None or score[j] > top[0]:
+                    top = score[j], j, i
+        if top is None or top[0] < least_size:
+            return none.assign(**{k: pd.Series(dtype=rows[k].dtype) for k in keys})[[*keys, *none.columns]]
+        _, j, i = top
+        return pd.DataFrame({**{k: [rows[k].iloc[0]] for k in keys}, "start": [a[j]], "stop": [z[i]], "tgt_start": [b[j]], "tgt_stop": [y[i]]})
+
+    return blocks.select(*keys, "start", "tgt_start", "src_seq", "tgt_seq").groupBy(*keys).applyInPandas(best, ", ".join([*kinds, "start long, stop long, tgt_start long, tgt_stop long"]))
+
+
+def column_letters(blocks: DataFrame) -> DataFrame:
+    """(src, pos, letter, tgt, tgt_pos, tgt_letter): a row for each pair of letters that blocks with letters align."""
+    at = F.explode(F.sequence(F.lit(0), F.least(F.length("src_seq"), F.length("tgt_seq")) - 1)).alias("i")
+    rows = blocks.where("src_seq <> '' and tgt_seq <> ''").select("*", at)
+    one = lambda c: F.substring(c, F.col("i") + 1, F.lit(1))
+    return rows.select("src", (F.col("start") + F.col("i")).alias("pos"), one(F.col("src_seq")).alias("letter"), "tgt", (F.col("tgt_start") + F.col("i")).alias("tgt_pos"), one(F.col("tgt_seq")).alias("tgt_letter"))
+
+
+def known_only(aln: DataFrame, ids: DataFrame, column: str = "src", strict: bool = True) -> DataFrame:
+    """Rows whose ``column`` is one of ``ids(id)``; with ``strict`` any other makes the query fail, as an unknown sequence."""
+    if not strict:
+        return aln.join(ids.select(F.col("id").alias(column)).distinct(), column, "left_semi")
+    both = aln.join(ids.select(F.col("id").alias(column), F.lit(True).alias("_known")).distinct(), column, "left")
+    sure = F.when(F.col("_known"), F.col(column)).otherwise(F.raise_error(F.concat(F.lit("unknown sequence "), F.coalesce(F.col(column).cast("string"), F.lit("null")))))
+    return both.withColumn(column, sure).select(aln.columns)

@@ -2,11 +2,16 @@
 
 Both sides are cut into bins, and equal bins of a sequence meet in an equi-join, so a
 sequence with very many intervals is spread over many keys.  Bins come in levels, each
-``step`` times as wide as the one below.  An interval lies at the level where it covers
-few bins, and it looks into every level for the bins that it covers there: of a pair,
-the one at the lower level finds the other at the higher.  A pair that shares several
-bins is kept in the one in which the later of the two begins, so nothing has to be made
-distinct afterwards.
+``step`` times as wide as the one below.  An interval is stored at one level, the lowest
+at which a bin is as wide as it is, so in two bins at most (more only above the last
+level).  A pair meets at the level of the wider one, where the narrower one looks for it:
+one join for those of the left that are as wide or wider, one for those of the right that
+are wider.  The level is part of the key, so a row never meets what is stored elsewhere.
+A pair that shares several bins is kept in the one in which the later of the two begins,
+so nothing has to be made distinct afterwards.
+
+Which levels a side has at all is found out as the query runs; a side looks into those of
+the other only.  If all intervals are of one level, no row is repeated for another.
 """
 
 from __future__ import annotations
@@ -30,20 +35,12 @@ def _level(size: Column, width: int, step: int, levels: int) -> Column:
     return out
 
 
-def _cells(side: str, level: Column, width: int, step: int, levels: int) -> Column:
-    """Structs (level, bin) that an interval covers: at its own level, and at those above it."""
+def _bins(side: str, size: Column) -> Column:
     low, high = F.col(f"{side}_abs_low"), F.col(f"{side}_abs_high")
-    none = F.array().cast("array<struct<level:int,bin:bigint>>")
+    return F.sequence(F.floor(low / size), F.floor((high - 1) / size))
 
-    def covered(k: int) -> Column:
-        w = width * step**k
-        bins = F.sequence(F.floor(low / w), F.floor((high - 1) / w))
-        return F.when(level <= k, F.transform(bins, lambda b: F.struct(F.lit(k).alias("level"), b.alias("bin")))).otherwise(none)
 
-    return F.flatten(F.array(*map(covered, range(levels))))
-
-
-def overlap_join(left: DataFrame, right: DataFrame, seq: str = "seq", start: str = "start", stop: str = "stop", width: int = 64, step: int = 64, levels: int = 4) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, seq: str = "seq", start: str = "start", stop: str = "stop", width: int = 64, step: int = 16, levels: int = 7) -> DataFrame:
     """Every pair of rows whose intervals overlap on the forward strand; columns are prefixed ``l_`` and ``r_``.
 
     Signed intervals meet by their absolute place.  The right interval is also given on the
@@ -51,20 +48,26 @@ def overlap_join(left: DataFrame, right: DataFrame, seq: str = "seq", start: str
     and empty intervals meet nothing.
     """
     a, b = _sided(left, "l_", seq, start, stop), _sided(right, "r_", seq, start, stop)
-    la, lb = (_level(F.col(f"{s}_abs_high") - F.col(f"{s}_abs_low"), width, step, levels) for s in ("l_", "r_"))
-    x = a.withColumn("l_level", la).withColumn("cell", F.explode(_cells("l_", F.col("l_level"), width, step, levels)))
-    y = b.withColumn("r_level", lb).withColumn("cell", F.explode(_cells("r_", F.col("r_level"), width, step, levels)))
-    x = x.select("*", "cell.*").drop("cell")
-    y = y.select("*", F.col("cell.level").alias("level2"), F.col("cell.bin").alias("bin2")).drop("cell")
-    here = F.greatest("l_level", "r_level") == F.col("level")  # a pair meets at the higher of its levels
-    size = F.element_at(F.array(*[F.lit(width * step**k) for k in range(levels)]), F.col("level") + 1)
-    owner = F.floor(F.greatest("l__abs_low", "r__abs_low") / size) == F.col("bin")
+    a, b = (x.withColumn(f"{s}_level", _level(F.col(f"{s}_abs_high") - F.col(f"{s}_abs_low"), width, step, levels)) for x, s in ((a, "l_"), (b, "r_")))
+    widths = F.array(*[F.lit(width * step**k) for k in range(levels)])
+    found = [x.agg(F.coalesce(F.bit_or(F.call_function("shiftleft", F.lit(1), f"{s}_level")), F.lit(0))).scalar() for x, s in ((a, "l_"), (b, "r_"))]  # a bit for each level
+    has = lambda mask, k: mask.bitwiseAND(F.call_function("shiftleft", F.lit(1), k)) != 0
+    keep = [f"l_{c}" for c in left.columns] + [f"r_{c}" for c in right.columns]
     meet = iv.overlaps(F.col("l__abs_low"), F.col("l__abs_high"), F.col("r__abs_low"), F.col("r__abs_high"))
-    keys = (F.col(f"l_{seq}") == F.col(f"r_{seq}")) & (F.col("level") == F.col("level2")) & (F.col("bin") == F.col("bin2"))
-    out = x.join(y, keys & here & owner & meet)
+    parts = []
+    for own, other, of, ask, have, seeks, wider in (("l_", "r_", a, b, found[0], found[1], False), ("r_", "l_", b, a, found[1], found[0], True)):
+        mine, theirs = F.col(f"{own}_level"), F.col(f"{other}_level")
+        # Rows that no level of the other side can answer go no further.
+        below = F.call_function("shiftleft", F.lit(1 if wider else 2), mine) - 1
+        stored = of.where(seeks.bitwiseAND(below) != 0).withColumn("level", mine).withColumn("bin", F.explode(_bins(own, F.element_at(widths, mine + 1))))
+        asking = ask.withColumn("level2", F.explode(F.sequence(theirs + int(wider), F.lit(levels)))).where((F.col("level2") < levels) & has(have, F.col("level2")))
+        asking = asking.withColumn("bin2", F.explode(_bins(other, F.element_at(widths, F.col("level2") + 1))))
+        keys = (F.col(f"l_{seq}") == F.col(f"r_{seq}")) & (F.col("level") == F.col("level2")) & (F.col("bin") == F.col("bin2"))
+        owner = F.floor(F.greatest("l__abs_low", "r__abs_low") / F.element_at(widths, F.col("level") + 1)) == F.col("bin")
+        both = (stored, asking) if own == "l_" else (asking, stored)
+        parts.append(both[0].join(both[1], keys & owner & meet).select(*keep))
     hit = iv.oriented(F.col(f"r_{start}"), F.col(f"r_{stop}"), F.col(f"l_{start}"))
-    keep = [f"l_{c}" for c in left.columns] + [f"r_{c}" for c in right.columns]
-    return out.select(*keep, hit["start"].alias("hit_start"), hit["stop"].alias("hit_stop"))
+    return parts[0].union(parts[1]).select(*keep, hit["start"].alias("hit_start"), hit["stop"].alias("hit_stop"))
 
 
 def clipped(joined: DataFrame, start: str = "start", stop: str = "stop") -> DataFrame:

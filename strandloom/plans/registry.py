@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,31 +10,13 @@ from strandloom.functions import sequences as sq
 from strandloom.operators import alignment as al
 from strandloom.operators import overlap, pattern, tables
 from strandloom.operators.graph import Graph, last_wins, splice_graph
+from strandloom.plans import alignments, annotations, graphs, sequences, sources, tabular  # noqa: F401  they add their queries
 from strandloom.plans import views as v
+from strandloom.plans.base import oracle_sql, queries, query, register  # noqa: F401
 
-_Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_S: dict[str, str] = {}
 C = F.col
 
 
-def query(sql: str | None):
-    def keep(f: Callable[[SparkSession, str], DataFrame]):
-        _Q[f.__name__] = f
-        if sql:
-            _S[f.__name__] = v.sql(sql)
-        return f
-
-    return keep
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_Q)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_S)
-
-
 def _pairs(s: SparkSession, d: str) -> DataFrame:
     """Each order's interval with the customer's next one, the later of odd ids on the reverse strand."""
     line = Window.partitionBy("seq").orderBy("start", "id")
@@ -259,11 +239,6 @@ def jn_annotation(s, d):
 # --- alignments
 
 
-@query("SELECT src, tgt, tgt_start < 0 AS minus, min(tgt_start) AS tgt_start, max(tgt_stop) AS tgt_stop FROM aln GROUP BY ALL")
-def ag_cover_by_target(s, d):
-    return al.covers(v.aln(s, d)).select("src", "tgt", "minus", "tgt_start", "tgt_stop")
-
-
 @query("SELECT src, count(DISTINCT (tgt, tgt_start < 0)) AS n FROM aln GROUP BY src")
 def ag_distinct_targets(s, d):
     return v.aln(s, d).groupBy("src").agg(F.countDistinct("tgt", C("tgt_start") < 0).alias("n"))
@@ -288,11 +263,6 @@ def ag_merge_gap(s, d):
     return al.merged(v.aln(s, d), 400, 400, -400)
 
 
-@query(_merge_sql(10000, 10000, -10))
-def ag_merge_most(s, d):
-    return al.merged(v.aln(s, d), 10000, 10000, -10)
-
-
 _FLAT = "SELECT seq, kind, min(start) AS start, max(stop) AS stop FROM (SELECT *, sum(new) OVER (PARTITION BY seq, kind ORDER BY start, stop, new ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN start < max(stop) OVER (PARTITION BY seq, kind ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM (SELECT seq, id % 7 AS kind, start, stop FROM iv_events))) GROUP BY seq, kind, island"
 
 
@@ -314,24 +284,7 @@ def ag_depth_fraction(s, d):
 
 
 for _f, _least in ((ag_depth_regions, "2"), (ag_depth_fraction, "1.75")):
-    _Q[_f.__name__], _S[_f.__name__] = _f, _S_FLAT(_least)
-
-
-@query("SELECT src, tgt, list_sum(list_transform(b, lambda x: x[2] - x[1]))::BIGINT AS aligned FROM (SELECT src, tgt, list([start, stop]) AS b FROM aln GROUP BY src, tgt)")
-def ag_fraction_aligned(s, d):
-    b = v.aln(s, d).groupBy("src", "tgt").agg(F.collect_list(F.struct("start", "stop")).alias("b"))
-    return b.select("src", "tgt", F.aggregate("b", F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"]).alias("aligned"))
-
-
-@query("SELECT src, tgt, gap, ins AS \"insert\" FROM (SELECT src, tgt, start - lag(stop) OVER w AS gap, tgt_start - lag(tgt_stop) OVER w AS ins FROM aln WINDOW w AS (PARTITION BY src, tgt ORDER BY start, stop, tgt_start, tgt_stop)) WHERE gap <> 0 OR ins <> 0")
-def ag_gaps(s, d):
-    b = v.aln(s, d).groupBy("src", "tgt").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "tgt_start", "tgt_stop"))).alias("b"))
-    return b.select("src", "tgt", F.explode(al.gaps(C("b"))).alias("g")).select("src", "tgt", "g.gap", "g.insert")
-
-
-@query("SELECT src, pos, count(*) AS n FROM (SELECT src, unnest(range(start, stop)) AS pos FROM aln) GROUP BY src, pos")
-def ag_column_letters(s, d):
-    return v.aln(s, d).select("src", F.explode(F.sequence(C("start"), C("stop") - 1)).alias("pos")).groupBy("src", "pos").agg(F.count("*").alias("n"))
+    register(_f, _S_FLAT(_least))
 
 
 # --- tables
