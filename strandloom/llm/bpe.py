@@ -1,9 +1,10 @@
 """Byte-level BPE by backtracking.
 
-Token bytes are mapped to Latin-1, one character a byte, so that an Aho-Corasick
-automaton over strings finds every token at every place of a piece in one pass.  A
-sequence of tokens is what BPE's merges give exactly when each neighbouring pair is:
-merging the bytes of the two gives the two again.  So the encoder takes the longest
+Token bytes are mapped to Latin-1, one character a byte, so that the trie of an
+Aho-Corasick automaton over strings tells at any place of a piece how far tokens can
+reach there, and which there are.  A sequence of tokens is what BPE's merges give exactly
+when each neighbouring pair is: taking the merges of the two back, latest first, meets
+none across their seam that was due before.  So the encoder takes the longest
 token that is compatible with the one before it, and steps back where none is; a
 position once found a dead end is never entered again, for at most one valid token
 sequence leads to it.  That is linear in the piece.  Pair tests are memoised.
@@ -16,6 +17,7 @@ import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.textkernel import slices
 
-_CACHE, _CACHED_BYTES, _PAIRS = 600_000, 64, 1_000_000
+_CACHE, _CACHED_BYTES, _PAIRS = 400_000, 64, 1_000_000
+_GAPS = regex.compile(r"\s{2,}")
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -32,85 +35,136 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
 
 
 class Codec:
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    """Ranks and the pattern of pieces.
+
+    ``by_word``: no piece goes on from what is no white space into a space, so texts may be
+    cut there; False for a pattern that has such pieces.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, by_word: bool = True):
         self.ranks = ranks
         self.find = regex.compile(pattern).findall
+        self.by_word = by_word
         self.bytes = {i: t for t, i in ranks.items()}
+        self.halves: dict[int, tuple[int, int]] = {}  # what a token's last merge joins
         self.pairs: dict[tuple[int, int], bool] = {}
         self.automaton = ahocorasick.Automaton()
+        self.longest = max(map(len, ranks), default=1)
         for token, rank in ranks.items():
-            if len(token) == 1 or self.merge(token) == [rank]:  # others never come out of merges
-                self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
+            parts = self.merge(token, 2)
+            if len(token) == 1 or len(parts) == 2 and parts[0] + parts[1] == token:  # others never come out of merges
+                self.automaton.add_word(token.decode("latin-1"), rank)
+                if len(token) > 1:
+                    self.halves[rank] = ranks[parts[0]], ranks[parts[1]]
         self.automaton.make_automaton()
-        self.cache = _Cache(self)
+        self.cache = _Cache(lambda piece: self.encode_piece(piece.encode()))
+        self.words = _Cache(lambda word: self.pieces(" " + word))
 
-    def merge(self, data: bytes) -> list[int]:
-        """The merges themselves, lowest rank first; only short byte strings come here."""
+    def merge(self, data: bytes, least: int = 1) -> list[bytes]:
+        """The merges themselves, lowest rank first, until ``least`` parts are left; only tokens come here."""
         parts, ranks = [data[i : i + 1] for i in range(len(data))], self.ranks
-        while len(parts) > 1:
+        while len(parts) > least:
             best, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 31), i) for i in range(len(parts) - 1))
             if best == 1 << 31:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
+        return parts
 
     def compatible(self, a: int, b: int) -> bool:
         found = self.pairs.get((a, b))
         if found is None:
-            found = self.merge(self.bytes[a] + self.bytes[b]) == [a, b]
+            found = self._compatible(a, b)
             if len(self.pairs) >= _PAIRS:
                 self.pairs.clear()
             self.pairs[a, b] = found
         return found
 
-    def encode_piece(self, data: bytes) -> list[int]:
+    def _compatible(self, a: int, b: int) -> bool:
+        """Merges are taken back, the latest first; what then meets at the seam must not have been due before it.
+
+        Of equal ranks the left one is merged first: so it is taken back last, and one across
+        the seam comes before the right token's merge but after the left token's.
+        """
+        ranks, bytes_, halves, due = self.ranks, self.bytes, self.halves, 1 << 31
+        while True:
+            if ranks.get(bytes_[a] + bytes_[b], due) < due:
+                return False
+            if a in halves and (a > b or b not in halves):
+                due, a = a, halves[a][1]
+            elif b in halves:
+                due, b = b + 1, halves[b][0]
+            else:
+                return True
+
+    def encode_piece(self, data: bytes) -> bytes:
+        """The ids of one piece, as little-endian unsigned 32-bit integers."""
         whole = self.ranks.get(data)
-        if whole is not None:
-            return [whole]
-        n = len(data)
-        at: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, found in self.automaton.iter(data.decode("latin-1")):
-            at[end - found[0] + 1].append(found)  # shortest first
-        alive = bytearray(b"\1" * (n + 1))
-        taken: list[tuple[int, int, int]] = []
-        pos, before, k = 0, -1, len(at[0]) - 1
+        return np.array([whole] if whole is not None else self._backtracked(data), "<u4").tobytes()
+
+    def _backtracked(self, data: bytes) -> list[int]:
+        text, n, longest = data.decode("latin-1"), len(data), self.longest
+        get, reach, compatible = self.automaton.get, self.automaton.longest_prefix, self.compatible
+        alive, taken = bytearray(b"\1" * (n + 1)), []
+        pos, before, size = 0, -1, reach(text[:longest])
         while pos < n:
-            here = at[pos]
-            while k >= 0:
-                size, token = here[k]
-                if alive[pos + size] and (before < 0 or self.compatible(before, token)):
+            while size:
+                token = get(text[pos : pos + size], None) if alive[pos + size] else None
+                if token is not None and (before < 0 or compatible(before, token)):
                     break
-                k -= 1
-            if k >= 0:
-                taken.append((pos, k, before))
+                size -= 1
+            if size:
+                taken.append((pos, size, token, before))
                 pos, before = pos + size, token
-                k = len(at[pos]) - 1 if pos < n else 0
+                size = reach(text[pos : pos + longest])
             else:
                 alive[pos] = 0
-                pos, k, before = taken.pop()
-                k -= 1
-        return [at[p][k][1] for p, k, _ in taken]
+                pos, size, _, before = taken.pop()
+                size -= 1
+        return [token for _, _, token, _ in taken]
 
-    def encode(self, text: str) -> bytes:
-        """The ids of a text, as little-endian unsigned 32-bit integers."""
+    def pieces(self, text: str) -> bytes:
         return b"".join(map(self.cache.__getitem__, self.find(text)))
 
+    def encode(self, text: str) -> bytes:
+        """The ids of a text, as little-endian unsigned 32-bit integers.
+
+        Before a single space between what is none, the text may be cut; words so cut are
+        looked up whole.  Around longer white space, the words on both sides stay with it.
+        """
+        out, at, gaps = [], 0, [m.span() for m in _GAPS.finditer(text)] if self.by_word else [(0, len(text))]
+        k = 0
+        while k < len(gaps):
+            begin = text.rfind(" ", at, gaps[k][0])
+            begin = at if begin < 0 else begin
+            end = text.find(" ", gaps[k][1])
+            while k + 1 < len(gaps) and (end < 0 or gaps[k + 1][0] <= end):
+                k += 1
+                end = text.find(" ", gaps[k][1])
+            end, k = len(text) if end < 0 else end, k + 1
+            out += [self._worded(text[at:begin]), self.pieces(text[begin:end])]
+            at = end
+        out.append(self._worded(text[at:]))
+        return b"".join(out)
+
+    def _worded(self, text: str) -> bytes:
+        first, *words = text.split(" ")
+        return self.pieces(first) + b"".join(map(self.words.__getitem__, words))
+
     def decode(self, ids: bytes) -> bytes:
         """The bytes of ids so written; an unknown id raises ``KeyError``."""
         return b"".join(map(self.bytes.__getitem__, memoryview(ids).cast("I")))
 
 
 class _Cache(dict):
-    """Piece to encoded ids, up to a bound; beyond it, and for long pieces, they are made anew."""
+    """Encoded ids by piece or word, up to a bound; beyond it, and for long ones, they are made anew."""
 
-    def __init__(self, codec: Codec):
-        self.codec = codec
+    def __init__(self, make):
+        self.make = make
 
-    def __missing__(self, piece: str) -> bytes:
-        data = piece.encode()
-        ids = b"".join(i.to_bytes(4, "little") for i in self.codec.encode_piece(data))
-        if len(data) <= _CACHED_BYTES and len(self) < _CACHE:
-            self[piece] = ids
+    def __missing__(self, text: str) -> bytes:
+        ids = self.make(text)
+        if len(text) <= _CACHED_BYTES and len(self) < _CACHE:
+            self[text] = ids
         return ids
 
 
