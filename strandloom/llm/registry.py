@@ -48,7 +48,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = shards.write(table(spark, sf_dir, "documents"), Scratch(spark, "shards").path("shards"), key=20260117)
+    found = shards.write(table(spark, sf_dir, "documents"), Scratch(spark, "shards").path("shards"), 20260117, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return found.withColumnRenamed("ids", "doc_ids")
 
 

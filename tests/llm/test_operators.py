@@ -167,6 +167,9 @@ def test_bpe_pieces_at_random():
             ids = codec.encode(x)
             assert list(memoryview(ids).cast("I")) == own.encode_ordinary(x)
             assert codec.decode(ids) == x.encode()
+    for _ in range(3000):  # white space of all kinds and lengths, at both ends, too
+        x = "".join(r.choice(["the", "It's", " ", " ", "  ", "\n", "\t", " \n ", "\u00a0", "42", "...", "é", "'ll"]) for _ in range(r.randrange(14)))
+        assert list(memoryview(codec.encode(x)).cast("I")) == own.encode_ordinary(x), x
 
 
 def words_of(text):
@@ -471,23 +474,43 @@ def test_feistel_slots():
 
 def test_training_shards(spark, docs, none):
     folder = Scratch(spark, "t").path("shards")
-    index = shards.write(docs, folder, key=5, length=64, rows=16).cache()
-    rows = sorted(index.collect(), key=lambda r: r.slot)
+    write = lambda d, f, **how: shards.write(d, f, 5, VOCABULARY, public_tokenizers.PATTERN, **how)
+    index = write(docs, folder, length=64, rows=16)
     about = shards.manifest(spark, folder)
-    assert [r.slot for r in rows] == list(range(about["sequences"]))
-    read = dict(shards.read(folder, about))
+    read = dict(shards.read(folder, about))  # all is there before the index is looked at
+    rows = sorted(index.collect(), key=lambda r: r.slot)
+    assert [r.slot for r in rows] == list(range(about["sequences"])) and len(rows) > 64
     assert len(read) == about["sequences"]
     assert [s for s, _ in shards.read(folder, about, 5, 30)] == list(range(5, 35))
+    ranks = bpe.read_ranks(open(VOCABULARY, "rb").read())
+    eos, pad, dtype = max(ranks.values()) + 1, max(ranks.values()) + 2, "<u2"
+    assert (about["eos"], about["pad"], about["dtype"]) == (eos, pad, dtype)
     for r in rows:
-        data = read[r.slot].tobytes()
+        data = read[r.slot]
         assert (r.shard, r.row, r.n_tokens) == (r.slot // 16, r.slot % 16, len(data))
-        assert hashlib.sha256(data.ljust(64, b"\xfe")).hexdigest() == r.sha256
+        assert hashlib.sha256(np.concatenate((data, np.full(64 - len(data), pad, dtype))).tobytes()).hexdigest() == r.sha256
     place = {int(s): i for i, s in enumerate(shards.slots(np.arange(len(rows)), len(rows), 5))}
-    stream = b"".join(read[s].tobytes() for s in sorted(read, key=place.get))
-    want = Counter((r.text or "").encode() for r in docs.select("text").collect())
-    assert Counter(stream.split(b"\xff")[:-1]) == want
+    stream = np.concatenate([read[s] for s in sorted(read, key=place.get)])
+    found = [tuple(x[:-1].tolist()) for x in np.split(stream, np.flatnonzero(stream == eos) + 1)[:-1]]
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert Counter(found) == Counter(tuple(own.encode_ordinary(r.text or "")) for r in docs.select("text").collect())
     assert {i for r in rows for i in r.ids} == {r.doc_id for r in docs.select("doc_id").collect()}
-    assert shards.write(none, Scratch(spark, "t").path("shards"), key=5).count() == 0
+    assert write(none, Scratch(spark, "t").path("shards")).count() == 0
+
+
+def test_training_shards_of_long_streams(spark, monkeypatch):
+    """Streams that are handed on in parts give the same sequences."""
+    texts = spark.createDataFrame([(i, "the quick one " * (i * 37 % 200)) for i in range(50)], "doc_id long, text string").coalesce(1)
+    write = lambda f: shards.write(texts, f, 5, VOCABULARY, public_tokenizers.PATTERN, length=32, rows=8)
+    whole = {tuple(r) for r in write(Scratch(spark, "t").path("a")).select("slot", "sha256").collect()}
+    cut = shards._cut
+    monkeypatch.setattr(shards, "_FLUSH", 500)
+    tokens = [(([i], [np.arange(i * 13 % 700, dtype="<u2")])) for i in range(60)]
+    parts = [b for b, _ in cut(iter(tokens), 32, 9, "<u2")]
+    monkeypatch.undo()
+    one = [b for b, _ in cut(iter(tokens), 32, 9, "<u2")]
+    assert len(parts) > 3 and len(one) == 1 and (np.concatenate(parts) == one[0]).all()
+    assert len(whole) > 100
 
 
 def test_lm_scores(docs, none, spark, monkeypatch):
