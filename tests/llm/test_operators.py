@@ -220,6 +220,22 @@ def test_decontamination(spark, none):
     assert decontaminate.without_leaks(docs, bench.limit(0)).count() == len(rows)
 
 
+def test_decontamination_in_small_pieces(spark, monkeypatch):
+    """Postings, windows and candidates are taken piece by piece; repetitive texts and items that all share a passage."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdef") for _ in range(r.randint(2, 5)))
+    common = [word() for _ in range(12)]
+    items = [common + [word() for _ in range(8)] for _ in range(40)] + [["la"] * 20, ["la", "lo"] * 10]
+    texts = [common * 30, ["la"] * 300, ["la", "lo"] * 200, [word() for _ in range(50)] + items[3] + items[17], items[5][:-1] + [word()], [], common]
+    encoded = [" ".join(w).encode() for w in texts]
+    index = decontaminate.Index(list(range(len(items))), [" ".join(w).encode() for w in items], 5, 0.8, 23)
+    whole = index.search(encoded)
+    assert {(d, i) for d, i, *_ in whole} >= {(3, 3), (3, 17), (1, 40), (2, 41), (4, 5)}
+    for name, value in (("_POSTINGS", 60), ("_CELLS", 40), ("_WINDOWS", 3)):
+        monkeypatch.setattr(decontaminate, name, value)
+    assert index.search(encoded) == whole
+
+
 def test_decontamination_finds_parts_in_another_order(spark):
     """All windows by brute force, for items whose halves are swapped or whose beginning stands at the end."""
     r = random.Random(5)
@@ -631,6 +647,17 @@ def test_url_posterior_is_as_defined(spark):
         assert verdicts[h][0] == ("block" if lower > 0.5 else "allow") and verdicts[h][1] == pytest.approx(m)
 
 
+def test_url_names(spark):
+    """Ports, users and final dots are no part of a name; countries' second levels are; addresses are whole."""
+    want = {
+        "a.com:8080": ("a.com", "a.com", "com"), "u:p@www.a.co.uk": ("www.a.co.uk", "a.co.uk", "co.uk"), "a.b.c.org.": ("a.b.c.org", "c.org", "org"), "co.uk": ("co.uk", "co.uk", "co.uk"),
+        "10.0.0.1:80": ("10.0.0.1", "10.0.0.1", "10.0.0.1"), "": ("", "", ""), "com": ("com", "com", "com"), "x.gob.mx": ("x.gob.mx", "x.gob.mx", "gob.mx"), "x.y.de": ("x.y.de", "y.de", "de"),
+    }
+    n = urlrep.name(F.col("h"))
+    rows = spark.createDataFrame([(h,) for h in want], "h string").select("h", n.alias("n"), urlrep.domain(n).alias("d"), urlrep.suffix(n).alias("s")).collect()
+    assert {r.h: (r.n, r.d, r.s) for r in rows} == want
+
+
 def test_xxh64_is_the_library_s():
     r = np.random.default_rng(0)
     data = r.integers(0, 256, 4000).astype(np.uint8)
