@@ -1,6 +1,7 @@
 """Token ids in training order: fixed-stride binary shards.
 
-Texts are encoded by byte-level BPE.  An id after the vocabulary's last ends a document and
+Texts are encoded by byte-level BPE, here by the tiktoken library, whose ids the encoder of
+:mod:`strandloom.llm.bpe` equals at several times the cost.  An id after the vocabulary's last ends a document and
 one more fills the last sequence of a partition.  A partition's documents are one stream,
 cut into sequences of equal length, which are kept in a table, numbered within the
 partition.  When all are there, their number is known; they are numbered densely,
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from strandloom.llm.bpe import codec, read_ranks
+from strandloom.llm.bpe import read_ranks
 from strandloom.llm.common import Scratch
 from strandloom.llm.textkernel import slices
 
@@ -61,6 +63,17 @@ def slots(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+_encodings: dict[str, tiktoken.Encoding] = {}
+
+
+def _encoding(raw: bytes, pattern: str) -> tiktoken.Encoding:
+    """One encoder a worker process for each vocabulary."""
+    key = hashlib.sha256(raw + pattern.encode()).hexdigest()
+    if key not in _encodings:
+        _encodings[key] = tiktoken.Encoding(key, pat_str=pattern, mergeable_ranks=read_ranks(raw), special_tokens={})
+    return _encodings[key]
+
+
 def _cut(batches: Iterator[tuple[list, list[np.ndarray]]], length: int, pad: int, kind: str) -> Iterator[tuple[np.ndarray, list[list]]]:
     """Blocks of whole sequences of a partition's stream of (ids, tokens), with the ids of the documents in each."""
     held, ids, ends, size = [], [], [], 0
@@ -117,12 +130,12 @@ def write(docs: DataFrame, folder: str, key: int, vocabulary: str, pattern: str,
     batch_type = to_arrow_type(docs.schema[id_col].dataType)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, first, pack = codec(shared.value, pattern), TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=3)
+        own, part, first, pack = _encoding(shared.value, pattern), TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=3)
 
         def encoded() -> Iterator[tuple[list, list[np.ndarray]]]:
             for batch in batches:
                 for at, texts in slices(batch, "text"):
-                    tokens = [np.frombuffer(own.encode(t.decode()) + eos.to_bytes(4, "little"), "<u4").astype(dtype) for t in texts]
+                    tokens = [np.append(own.encode_to_numpy(t.decode(), disallowed_special=()), eos).astype(dtype) for t in texts]
                     yield batch.column(0).slice(at, len(texts)).to_pylist(), tokens
 
         for block, within in _cut(encoded(), length, pad, dtype):
