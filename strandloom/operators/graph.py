@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,8 +24,13 @@ class Graph:
     def with_nodes(self, nodes: DataFrame) -> Graph:
         return Graph(self.nodes.union(nodes.select("id")).distinct(), self.edges)
 
-    def with_edges(self, edges: DataFrame) -> Graph:
-        """Edges of the same ends are replaced; the ends become nodes."""
+    def with_edges(self, edges: DataFrame, order: str | None = None) -> Graph:
+        """Edges of the same ends are replaced; the ends become nodes.
+
+        Of incoming edges with the same ends one stays: the last by ``order``, a column of
+        theirs, or else the one with the largest edge.
+        """
+        edges = edges.groupBy("src", "dst").agg((F.max_by("edge", order) if order else F.max("edge")).alias("edge"))
         kept = self.edges.join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
         ends = edges.select(F.col("src").alias("id")).union(edges.select("dst"))
         return Graph(self.nodes.union(ends).distinct(), kept.unionByName(edges.select("src", "dst", "edge")))
@@ -58,13 +63,90 @@ class Graph:
         return out
 
     def sources(self) -> DataFrame:
+        """Nodes that edges go out from: what iteration over a graph's keys gives."""
         return self.edges.select(F.col("src").alias("id")).distinct()
 
+    def neighbours(self, ids: DataFrame) -> DataFrame:
+        """(src, dst, edge) of the nodes ``ids(id)``; edges that lead nowhere (a null target) are left out."""
+        return self.edges.where(F.col("dst").isNotNull()).join(ids.select(F.col("id").alias("src")).distinct(), "src", "left_semi")
+
+    def edge(self, src: object, dst: object) -> object:
+        """The edge between two nodes; ``KeyError`` unless there is exactly one."""
+        found = self.edges.where((F.col("src") == src) & (F.col("dst") == dst)).select("edge").limit(2).collect()
+        if len(found) != 1:
+            raise KeyError((src, dst))
+        return found[0].edge
+
+    def ordered_edges(self) -> DataFrame:
+        """All edges by source and target; those with a null target are left out."""
+        return self.edges.where(F.col("dst").isNotNull()).orderBy("src", "dst")
+
+    def ends(self, edges: DataFrame) -> DataFrame:
+        """(edge, src, dst) of ``edges(edge)``: from edges back to what they join."""
+        return self.edges.join(edges.select("edge").distinct(), "edge", "left_semi").select("edge", "src", "dst")
+
+    def checked(self, missing: str = "error") -> Graph:
+        """A graph whose edges only join its nodes: others are an error as the query runs, or left out (``drop``), or made nodes (``add``)."""
+        if missing == "add":
+            ends = self.edges.select(F.col("src").alias("id")).union(self.edges.select("dst")).where("id is not null")
+            return Graph(self.nodes.union(ends).distinct(), self.edges)
+        edges = self.edges
+        for end in ("src", "dst"):
+            known = self.nodes.select(F.col("id").alias(end), F.lit(True).alias("_known"))
+            edges = edges.join(known, end, "left" if missing == "error" else "inner")
+            if missing == "error":
+                sure = F.when(F.col("_known") | F.col(end).isNull(), F.col(end)).otherwise(F.raise_error(F.concat(F.lit("no such node: "), F.col(end).cast("string"))))
+                edges = edges.withColumn(end, sure)
+            edges = edges.drop("_known")
+        return Graph(self.nodes, edges.select("src", "dst", "edge"))
+
+    def undirected(self) -> DataFrame:
+        """(a, b, edge): edges by their two ends, the smaller first, one for each pair: that with the largest edge."""
+        ends = F.array_sort(F.array("src", "dst"))
+        return self.edges.select(ends.alias("ends"), "edge").groupBy("ends").agg(F.max("edge").alias("edge")).select(F.get("ends", F.lit(0)).alias("a"), F.get("ends", F.lit(1)).alias("b"), "edge")
+
+    def cluster(self, clusters: DataFrame, ids: DataFrame) -> Graph:
+        """The part of the graph in the clusters of some nodes: ``clusters(id, cluster)``, ``ids(id)``."""
+        wanted = clusters.join(ids.select("id").distinct(), "id", "left_semi").select("cluster").distinct()
+        nodes = clusters.join(wanted, "cluster", "left_semi").select("id").distinct()
+        return Graph(self.nodes.join(nodes, "id", "left_semi"), self.edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").select("src", "dst", "edge"))
+
+    def attribute(self, rows: DataFrame, key: str, name: str) -> DataFrame:
+        """``rows`` with what this graph gives for their ``key`` as an attribute: ``name`` and ``name_edge``; a row for each, one with nulls where there is none."""
+        own = self.edges.select(F.col("src").alias(key), F.col("dst").alias(name), F.col("edge").alias(f"{name}_edge"))
+        return rows.join(own, key, "left")
+
+
+def packed(graph: Graph, dictionary: DataFrame) -> Graph:
+    """Nodes and edges by the numbers of ``dictionary(id, number)``; ends that it has not are left out."""
+    number = lambda end: dictionary.select(F.col("id").alias(end), F.col("number").alias(f"_{end}"))
+    edges = graph.edges.join(number("src"), "src").join(number("dst"), "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst"), "edge")
+    return Graph(graph.nodes.join(number("id"), "id").select(F.col("_id").alias("id")), edges)
+
+
+def paths(graph: Graph, starts: DataFrame, steps: int) -> DataFrame:
+    """(nodes, edges): every walk of so many steps from ``starts(id)`` that visits no node twice, as arrays."""
+    kind = graph.edges.schema["edge"].dataType.simpleString()
+    rows = starts.select(F.array("id").alias("nodes"), F.array().cast(f"array<{kind}>").alias("edges"))
+    step = graph.edges.where(F.col("dst").isNotNull())
+    for _ in range(steps):
+        rows = rows.withColumn("src", F.element_at("nodes", -1)).join(step, "src").where(~F.array_contains("nodes", F.col("dst")))
+        rows = rows.select(F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("edges", F.array("edge")).alias("edges"))
+    return rows
+
+
+def unique_keys(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``rows(keys, value)``, one for each key; a key with two different values is an error as the query runs."""
+    out = rows.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    sure = F.when(F.col("_low").eqNullSafe(F.col("_high")), F.col("_low")).otherwise(F.raise_error(F.lit("a key has two values")))
+    return out.select(*keys, sure.alias(value))
+
 
 def last_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Of rows with equal keys the one with the largest ``order``."""
-    line = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return rows.withColumn("_n", F.row_number().over(line)).where("_n = 1").drop("_n")
+    """Of rows with equal keys the one with the largest ``order``; rows are combined before they are shuffled."""
+    rest = [c for c in rows.columns if c not in keys]
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_row"))
+    return best.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in rows.columns])
 
 
 def splice_graph(exons: DataFrame, splices: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

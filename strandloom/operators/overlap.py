@@ -16,6 +16,8 @@ the other only.  If all intervals are of one level, no row is repeated for anoth
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,16 +25,14 @@ from strandloom.functions import intervals as iv
 
 
 def _sided(df: DataFrame, side: str, seq: str, start: str, stop: str) -> DataFrame:
-    out = df.select(*[F.col(c).alias(f"{side}{c}") for c in df.columns])
-    place = iv.absolute(F.col(f"{side}{start}"), F.col(f"{side}{stop}"))
-    return out.where(F.col(f"{side}{seq}").isNotNull()).withColumn(f"{side}_abs_low", place["start"]).withColumn(f"{side}_abs_high", place["stop"]).where(f"{side}_abs_low is not null")
+    """The columns with a prefix, and the interval's ends on the forward strand, which are the larger of each end and the other's negative."""
+    low, high = F.greatest(F.col(start), -F.col(stop)).cast("long"), F.greatest(F.col(stop), -F.col(start)).cast("long")
+    valid = F.col(seq).isNotNull() & (F.col(start) < F.col(stop))
+    return df.where(valid).select(*[F.col(c).alias(f"{side}{c}") for c in df.columns], low.alias(f"{side}_abs_low"), high.alias(f"{side}_abs_high"))
 
 
 def _level(size: Column, width: int, step: int, levels: int) -> Column:
-    out = F.lit(levels - 1)
-    for k in range(levels - 2, -1, -1):
-        out = F.when(size <= width * step**k, k).otherwise(out)
-    return out
+    return reduce(Column.__add__, [(size > width * step**k).cast("int") for k in range(levels - 1)], F.lit(0))
 
 
 def _bins(side: str, size: Column) -> Column:

@@ -2,14 +2,16 @@
 
 A pattern is a mapping from each pattern node to its successors, each with a dict of
 options or None.  Every assignment of different data nodes to the pattern's nodes under
-which each pattern edge is an edge of the data is a result row.  Edges are taken breadth
-first; one to a new node is a join on its source, one between bound nodes a join on both.
+which each pattern edge is an edge of the data is a result row.  An edge to a new node is
+a join on its source, one from a new node a join on its target, and one between bound
+nodes, which are taken as early as can be, a join on both.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,53 +25,115 @@ class Step:
     dst: object
     options: Mapping
     closes: bool
+    back: bool = False  # the target is bound and the source is found through the edge
 
 
-def plan(pattern: Mapping, strict: bool = False) -> tuple[list, list[Step]]:
-    """(start nodes, steps).  Nodes that no start reaches are left out, or an error if ``strict``."""
+def plan(pattern: Mapping, strict: bool = False, bound: Sequence = ()) -> tuple[list, list[Step]]:
+    """(start nodes, steps).  Nodes that no start reaches are left out, or an error if ``strict``.
+
+    Start nodes are those that no edge leads to.  Steps follow the first start breadth
+    first; another start is entered backwards, through an edge to a node that is bound by
+    then, so that it is joined and not paired with everything.  Nodes ``bound`` beforehand
+    come first.
+    """
     if not pattern:
         raise ValueError("an empty pattern")
     followed = {d for succ in pattern.values() for d in (succ or {})}
     starts = [n for n in pattern if n not in followed] or [next(iter(pattern))]
-    bound, queue, steps = list(starts), list(starts), []
+    for node in starts:
+        for dst in pattern[node] or {}:
+            if dst not in pattern:
+                raise KeyError(f"pattern node {dst!r} has no entry of its own")
+    known, steps, done = [n for n in bound if n in pattern], [], set()
+    left = [n for n in starts if n not in known]
+    reached = set(known) | set(_reached(pattern, [*known, *starts]))
+    entered = []
+    if not known:
+        entered.append(left.pop(0))
+        known.append(entered[0])
+    while True:
+        ready = [(a, b) for a in known for b in (pattern[a] or {}) if (a, b) not in done]
+        if ready:
+            a, b = next(((a, b) for a, b in ready if b in known), ready[0])  # what closes costs least
+            steps.append(Step(a, b, (pattern[a] or {})[b] or {}, b in known))
+        else:
+            back = [(a, b) for a in reached for b in (pattern[a] or {}) if a not in known and b in known and not (({"expand", "subqueries", "filter"}) & set((pattern[a] or {})[b] or {}))]
+            if back:
+                a, b = min(back, key=lambda e: list(pattern).index(e[0]))
+                steps.append(Step(a, b, (pattern[a] or {})[b] or {}, False, True))
+            elif any(n not in known for n in left):
+                a, b = next(n for n in left if n not in known), None
+                entered.append(a)  # nothing ties it to what is bound so far
+            else:
+                break
+        if b is None:
+            known.append(a)
+            continue
+        done.add((a, b))
+        known += [n for n in (a, b) if n not in known]
+    if strict and len(known) < len(pattern):
+        raise ValueError(f"not reached: {[n for n in pattern if n not in known]}")
+    return entered, steps
+
+
+def _reached(pattern: Mapping, starts: Sequence) -> list:
+    found, queue = list(starts), list(starts)
     while queue:
-        node = queue.pop(0)
-        for dst, options in (pattern[node] or {}).items():
+        for dst in pattern[queue.pop(0)] or {}:
             if dst not in pattern:
                 raise KeyError(f"pattern node {dst!r} has no entry of its own")
-            steps.append(Step(node, dst, options or {}, dst in bound))
-            if dst not in bound:
-                bound.append(dst)
+            if dst not in found:
+                found.append(dst)
                 queue.append(dst)
-    if strict and len(bound) < len(pattern):
-        raise ValueError(f"not reached: {[n for n in pattern if n not in bound]}")
-    return starts, steps
+    return found
 
 
-def match(graph: Graph, pattern: Mapping, seed: DataFrame | None = None, strict: bool = False, edges: bool = True) -> DataFrame:
+def match(graph: Graph, pattern: Mapping, seed: DataFrame | None = None, strict: bool = False, edges: bool = True, most: int | None = None) -> DataFrame:
     """All matches: a column ``n_<node>`` for each pattern node and, if ``edges``, ``e_<from>_<to>`` for each edge.
 
     Options of an edge: ``graph`` searches another graph for it; ``filter`` is called with the
     columns (to, from, edge) and a dict of the bound columns and returns a condition;
-    ``expand`` is called with the rows so far and the name of the bound column and returns
-    them with columns ``_dst`` and ``_edge``, in place of a graph; ``subqueries`` is a
-    sequence of patterns that all start at this edge's target, of whose matches the bag
-    union is taken.  ``seed`` binds start nodes: its columns are ``n_<node>``.
+    ``attr`` takes the bound node's row in a table ``(id, <column>)``, given as (table,
+    column), and goes to the entries of that column: a map's keys with its values as edges,
+    or an array's elements without; ``function`` is a table function, called with the bound
+    column, that yields rows (dst, edge) or (dst); ``expand`` is called with the rows so far
+    and the name of the bound column and returns them with columns ``_dst`` and ``_edge``;
+    ``subqueries`` is a sequence of patterns that all start at this edge's target, of whose
+    matches the bag union is taken.  ``seed`` binds nodes: its columns are ``n_<node>``;
+    rows that bind one data node twice are left out.  ``most``: so many matches at most.
     """
-    starts, steps = plan(pattern, strict)
-    rows, bound = seed, [] if seed is None else [c[2:] for c in seed.columns]
+    given = {str(n): n for n in pattern}
+    bound = [] if seed is None else [c[2:] for c in seed.columns if c.startswith("n_")]
+    starts, steps = plan(pattern, strict, [given[b] for b in bound if b in given])
+    rows = seed
+    for n, name in enumerate(bound):
+        rows = rows.where(_apart(name, bound[:n]))
     for node in starts:
-        if str(node) in bound:
-            continue
-        keys = graph.sources() if all(s.dst != node for s in steps) else graph.sources()
-        keys = keys.select(F.col("id").alias(f"n_{node}"))
-        rows = keys if rows is None else rows.crossJoin(keys).where(_apart(node, bound))  # several start nodes: no edge ties them
-        bound.append(str(node))
+        keys = graph.sources().select(F.col("id").alias(f"n_{node}"))
+        if rows is None:
+            rows = keys
+            bound.append(str(node))
     for step in steps:
+        for node in starts:  # a part of the pattern of its own, which no edge ties to the rest
+            if str(node) == str(step.src) and str(node) not in bound and not step.back:
+                rows = rows.crossJoin(graph.sources().select(F.col("id").alias(f"n_{node}"))).where(_apart(node, bound))
+                bound.append(str(node))
         rows, bound = _step(rows, bound, graph, step)
+    for node in starts:
+        if str(node) not in bound:
+            rows = rows.crossJoin(graph.sources().select(F.col("id").alias(f"n_{node}"))).where(_apart(node, bound))
+            bound.append(str(node))
+    rows = rows if most is None else rows.limit(most)
     return rows if edges else rows.select(*[c for c in rows.columns if c.startswith("n_")])
 
 
+def batches(matches: DataFrame, size: int) -> Iterator[list]:
+    """The matches, ``size`` at a time, each batch made as it is asked for: partition by partition, never all on the driver."""
+    rows = matches.toLocalIterator(prefetchPartitions=False)
+    while batch := list(islice(rows, size)):
+        yield batch
+
+
 def _apart(node: object, bound: list[str]):
     out = F.lit(True)
     for other in bound:
@@ -78,28 +142,56 @@ def _apart(node: object, bound: list[str]):
     return out
 
 
+def _attribute(table: DataFrame, column: str) -> Callable[[DataFrame, str], DataFrame]:
+    def expand(rows: DataFrame, src: str) -> DataFrame:
+        own = table.select(F.col("id").alias(src), F.col(column).alias("_value"))
+        kind = table.schema[column].dataType.typeName()
+        entries = F.explode("_value").alias("_dst", "_edge") if kind == "map" else F.explode("_value").alias("_dst")
+        out = rows.join(own, src).select(*rows.columns, entries)
+        return out if kind == "map" else out.withColumn("_edge", F.lit(None).cast("string"))
+
+    return expand
+
+
+def _function(f: Callable) -> Callable[[DataFrame, str], DataFrame]:
+    def expand(rows: DataFrame, src: str) -> DataFrame:
+        out = rows.lateralJoin(f(F.col(src).outer()))
+        found = [c for c in out.columns if c not in rows.columns]
+        out = out.withColumnRenamed(found[0], "_dst")
+        return out.withColumnRenamed(found[1], "_edge") if len(found) > 1 else out.withColumn("_edge", F.lit(None).cast("string"))
+
+    return expand
+
+
 def _step(rows: DataFrame, bound: list[str], graph: Graph, step: Step) -> tuple[DataFrame, list[str]]:
     src, dst, name = f"n_{step.src}", f"n_{step.dst}", f"e_{step.src}_{step.dst}"
     expand: Callable | None = step.options.get("expand")
-    if expand and not step.closes:
+    if "attr" in step.options or "function" in step.options:
+        expand = _attribute(*step.options["attr"]) if "attr" in step.options else _function(step.options["function"])
+    if expand and step.closes:
+        out = expand(rows, src).where(F.col("_dst") == F.col(dst)).drop("_dst").withColumnRenamed("_edge", name)
+    elif expand:
         out = expand(rows, src).withColumnsRenamed({"_dst": dst, "_edge": name})
     else:
         own = step.options.get("graph", graph)
         table = own.edges.where(F.col("dst").isNotNull()).select(F.col("src").alias("_src"), F.col("dst").alias("_dst"), F.col("edge").alias(name))
-        if step.closes:
+        if step.back:
+            out = rows.join(table, F.col(dst) == F.col("_dst")).drop("_dst").withColumnRenamed("_src", src)
+        elif step.closes:
             out = rows.join(table, (F.col(src) == F.col("_src")) & (F.col(dst) == F.col("_dst"))).drop("_src", "_dst")
         else:
             out = rows.join(table, F.col(src) == F.col("_src")).drop("_src").withColumnRenamed("_dst", dst)
-    now = bound if step.closes else [*bound, str(step.dst)]
-    if not step.closes:
-        out = out.where(_apart(step.dst, bound))
+    new = None if step.closes else step.src if step.back else step.dst
+    now = bound if new is None else [*bound, str(new)]
+    if new is not None:
+        out = out.where(_apart(new, bound))
     if "filter" in step.options:
         out = out.where(step.options["filter"](F.col(dst), F.col(src), F.col(name), {b: F.col(f"n_{b}") for b in now}))
     if "subqueries" in step.options:
         parts = []
         for sub in step.options["subqueries"]:
             part, have = out, list(now)
-            for inner in plan(sub)[1]:
+            for inner in plan(sub, bound=[n for n in sub if str(n) in now])[1]:
                 part, have = _step(part, have, graph, inner)
             parts.append(part)
         out = parts[0]

@@ -94,11 +94,12 @@ def seq_revcomp(s, d):
     return v.seqs(s, d).select("doc_id", sq.reverse_complement(C("seq")).alias("rc"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN substr(seq, 3, 8) ELSE reverse(translate(substr(seq, 3, 8), 'acgt', 'tgca')) END AS part FROM seqs WHERE length(seq) >= 10")
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN substr(seq, length(seq) // 5 + 1, length(seq) - length(seq) // 5) ELSE reverse(translate(substr(seq, length(seq) // 5 + 1, length(seq) - length(seq) // 5), 'acgt', 'tgca')) END AS part FROM seqs")
 def seq_substring_strand(s, d):
-    even = C("doc_id") % 2 == 0
-    part = sq.substring(C("seq"), F.when(even, 2).otherwise(-10), F.when(even, 10).otherwise(-2))
-    return v.seqs(s, d).where("length(seq) >= 10").select("doc_id", part.alias("part"))
+    """All but the first fifth of each sequence, of odd ids on the reverse strand."""
+    even, n = C("doc_id") % 2 == 0, F.length("seq")
+    low = F.floor(n / 5)
+    return v.seqs(s, d).select("doc_id", sq.substring(C("seq"), F.when(even, low).otherwise(-n), F.when(even, n).otherwise(-low)).alias("part"))
 
 
 _CODONS = "MAP {" + ", ".join(f"'{k}': '{a}'" for k, a in sq.CODONS.items()) + "}"
@@ -126,10 +127,9 @@ def seq_letter_edges(s, d):
     return v.seqs(s, d).where("length(seq) > 1").select("seq", i).groupBy(F.expr("substring(seq, i, 2)").alias("edge")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, list_sum(list_transform(range(1, n + 1), lambda i: CASE WHEN substr(seq, i, 1) = substr(seq, length(seq) - i + 1, 1) THEN 1 ELSE 0 END))::INTEGER AS same FROM (SELECT *, least(length(seq), 200) AS n FROM seqs)")
+@query("SELECT doc_id, list_sum(list_transform(range(1, n + 1), lambda i: CASE WHEN substr(seq, i, 1) = substr(seq, length(seq) - i + 1, 1) THEN 1 ELSE 0 END))::INTEGER AS same FROM (SELECT *, length(seq) AS n FROM seqs)")
 def seq_identity(s, d):
-    n = F.least(F.length("seq"), F.lit(200))
-    return v.seqs(s, d).select("doc_id", sq.identity(F.substring(C("seq"), F.lit(1), n), F.substring(F.reverse("seq"), F.lit(1), n)).alias("same"))
+    return v.seqs(s, d).select("doc_id", sq.identity(C("seq"), F.reverse("seq")).alias("same"))
 
 
 # --- joins
@@ -159,14 +159,14 @@ def jn_overlap_two_tables(s, d):
     return overlap.overlap_join(o, v.iv_events(s, d)).select("l_id", "r_id", "hit_start", "hit_stop")
 
 
-_TWO = "SELECT a.src, b.src AS tgt, a.start + greatest(a.tgt_start, b.tgt_start) - a.tgt_start AS start, b.start + greatest(a.tgt_start, b.tgt_start) - b.tgt_start AS tgt_start, least(a.tgt_stop, b.tgt_stop) - greatest(a.tgt_start, b.tgt_start) AS size FROM (SELECT * FROM aln WHERE src % 10 = 1) a JOIN aln b ON a.tgt = b.tgt AND a.tgt_start < b.tgt_stop AND b.tgt_start < a.tgt_stop WHERE NOT (a.src = b.src AND a.start + greatest(a.tgt_start, b.tgt_start) - a.tgt_start = b.start + greatest(a.tgt_start, b.tgt_start) - b.tgt_start)"
+_TWO = "SELECT a.src, b.src AS tgt, a.start + greatest(a.tgt_start, b.tgt_start) - a.tgt_start AS start, b.start + greatest(a.tgt_start, b.tgt_start) - b.tgt_start AS tgt_start, least(a.tgt_stop, b.tgt_stop) - greatest(a.tgt_start, b.tgt_start) AS size FROM aln a JOIN aln b ON a.tgt = b.tgt AND a.tgt_start < b.tgt_stop AND b.tgt_start < a.tgt_stop WHERE NOT (a.src = b.src AND a.start + greatest(a.tgt_start, b.tgt_start) - a.tgt_start = b.start + greatest(a.tgt_start, b.tgt_start) - b.tgt_start)"
 
 
 @query(_TWO)
 def jn_two_hop(s, d):
     """Sources over the targets that they share; an interval does not meet itself."""
     a = v.aln(s, d).select("src", "start", C("tgt").alias("axis"), C("tgt_start").alias("low"), C("tgt_stop").alias("high"))
-    x = overlap.overlap_join(a.where("src % 10 = 1"), a, "axis", "low", "high").where((C("l_low") >= 0) == (C("r_low") >= 0))
+    x = overlap.overlap_join(a, a, "axis", "low", "high").where((C("l_low") >= 0) == (C("r_low") >= 0))
     c = iv.intersect(C("l_low"), C("l_high"), C("r_low"), C("r_high"))
     x = x.select(C("l_src").alias("src"), C("r_src").alias("tgt"), (C("l_start") + c["start"] - C("l_low")).alias("start"), (C("r_start") + c["start"] - C("r_low")).alias("tgt_start"), (c["stop"] - c["start"]).alias("size"))
     return x.where("not (src = tgt and start = tgt_start)")
@@ -362,22 +362,22 @@ def gr_inverse(s, d):
     return _sp(s, d).inverse().edges
 
 
-@query("SELECT src, dst, edge + 100 AS edge FROM g_nation WHERE src < 10 UNION ALL SELECT src, dst, edge FROM g_nation WHERE src >= 10")
+@query("SELECT src, dst, edge + 100 AS edge FROM g_ring WHERE src < 10 UNION ALL SELECT src, dst, edge FROM g_ring WHERE src >= 10")
 def gr_merge(s, d):
-    g = Graph.of(v.g_nation(s, d), "edge")
+    g = Graph.of(v.g_ring(s, d), "edge")
     other = Graph.of(g.edges.where("src < 10").withColumn("edge", C("edge") + 100), "edge")
     return g.merged(other).edges.select("src", "dst", "edge")
 
 
-@query("SELECT src, dst, edge FROM g_nation WHERE src % 5 <> 0")
+@query("SELECT src, dst, edge FROM g_ring WHERE src % 5 <> 0")
 def gr_delete_node(s, d):
-    g = Graph.of(v.g_nation(s, d), "edge")
+    g = Graph.of(v.g_ring(s, d), "edge")
     return g.without_nodes(g.nodes.where("id % 5 = 0")).edges
 
 
-@query("SELECT 'edge' AS what, src::VARCHAR AS a, dst::VARCHAR AS b FROM g_nation WHERE src = 3")
+@query("SELECT 'edge' AS what, src::VARCHAR AS a, dst::VARCHAR AS b FROM g_ring WHERE src = 3")
 def gr_difference(s, d):
-    g = Graph.of(v.g_nation(s, d), "edge")
+    g = Graph.of(v.g_ring(s, d), "edge")
     return g.difference(g.without_edges(g.edges.where("src = 3")))
 
 
@@ -395,10 +395,10 @@ def gr_splice_alt5(s, d):
     return splice_graph(e, e.select("cluster", C("exon").alias("splice"), "start", "stop"))[1]
 
 
-@query(f"SELECT a.exon AS src, b.exon AS dst, s.exon AS edge FROM {_EXONS} a JOIN {_EXONS} s ON a.cluster = s.cluster AND a.stop = s.start + 5 JOIN {_EXONS} b ON b.cluster = s.cluster AND b.start = s.start + 20 WHERE s.exon % 3 = 0")
+@query(f"SELECT a.exon AS src, b.exon AS dst, s.exon AS edge FROM {_EXONS} a JOIN {_EXONS} s ON a.cluster = s.cluster AND a.stop = s.start + 5 JOIN {_EXONS} b ON b.cluster = s.cluster AND b.start = s.start + 20")
 def gr_splice_next(s, d):
     e = _exons(s, d)
-    splices = e.where("exon % 3 = 0").select("cluster", C("exon").alias("splice"), C("stop").alias("start"), (C("start") + 20).alias("stop"))
+    splices = e.select("cluster", C("exon").alias("splice"), C("stop").alias("start"), (C("start") + 20).alias("stop"))
     return splice_graph(e, splices)[0]
 
 
@@ -406,15 +406,15 @@ def gr_splice_next(s, d):
 
 
 def _ng(s: SparkSession, d: str) -> Graph:
-    return Graph.of(v.g_nation(s, d), "edge")
+    return Graph.of(v.g_ring(s, d), "edge")
 
 
-@query("SELECT a.src AS n_0, a.dst AS n_1, b.dst AS n_2, a.edge AS e_0_1, b.edge AS e_1_2 FROM g_nation a JOIN g_nation b ON a.dst = b.src WHERE a.src <> a.dst AND b.dst <> a.src AND b.dst <> a.dst")
+@query("SELECT a.src AS n_0, a.dst AS n_1, b.dst AS n_2, a.edge AS e_0_1, b.edge AS e_1_2 FROM g_ring a JOIN g_ring b ON a.dst = b.src WHERE a.src <> a.dst AND b.dst <> a.src AND b.dst <> a.dst")
 def gq_path(s, d):
     return pattern.match(_ng(s, d), {0: {1: None}, 1: {2: None}, 2: {}})
 
 
-@query("SELECT a.src AS n_0, a.dst AS n_1, b.dst AS n_2 FROM g_nation a JOIN g_nation b ON a.dst = b.src JOIN g_nation c ON c.src = a.src AND c.dst = b.dst WHERE a.src <> a.dst AND b.dst <> a.src AND b.dst <> a.dst")
+@query("SELECT a.src AS n_0, a.dst AS n_1, b.dst AS n_2 FROM g_ring a JOIN g_ring b ON a.dst = b.src JOIN g_ring c ON c.src = a.src AND c.dst = b.dst WHERE a.src <> a.dst AND b.dst <> a.src AND b.dst <> a.dst")
 def gq_triangle_closure(s, d):
     return pattern.match(_ng(s, d), {0: {1: None, 2: None}, 1: {2: None}, 2: {}}, edges=False)
 
@@ -426,29 +426,29 @@ def gq_fork_injective(s, d):
     return out.select("n_0", (C("n_1") - 1_000_000).alias("n_1"), (C("n_2") - 1_000_000).alias("n_2"))
 
 
-@query("SELECT a.src AS n_0, a.dst AS n_1 FROM g_nation a WHERE a.src <> a.dst AND a.dst % 3 = 1 AND a.edge < 7")
+@query("SELECT a.src AS n_0, a.dst AS n_1 FROM g_ring a WHERE a.src <> a.dst AND a.dst % 3 = 1 AND a.edge < 7")
 def gq_filter(s, d):
     return pattern.match(_ng(s, d), {0: {1: {"filter": lambda to, at, edge, bound: (to % 3 == 1) & (edge < 7)}}, 1: {}}, edges=False)
 
 
-@query("SELECT n_nationkey::BIGINT AS n_0, r.dst AS n_1, b.src AS n_2 FROM nation JOIN g_nation r ON r.src = n_nationkey JOIN g_nation b ON b.dst = r.dst WHERE n_nationkey <> r.dst AND b.src <> n_nationkey AND b.src <> r.dst")
+@query("SELECT r.src AS n_0, r.dst AS n_1, b.src AS n_2 FROM g_ring r JOIN g_ring b ON b.dst = r.dst WHERE r.src <> r.dst AND b.src <> r.src AND b.src <> r.dst")
 def gq_two_graphs(s, d):
     g = _ng(s, d)
     return pattern.match(g, {0: {1: None}, 1: {2: {"graph": g.inverse()}}, 2: {}}, edges=False)
 
 
-@query("SELECT a.src AS n_0, a.dst AS n_1, b.dst AS n_2 FROM g_nation a JOIN g_nation b ON a.dst = b.src JOIN g_nation c ON c.src = b.dst AND c.dst = a.src WHERE a.src <> a.dst AND b.dst <> a.src AND b.dst <> a.dst")
+@query("SELECT a.src AS n_0, a.dst AS n_1, b.dst AS n_2 FROM g_ring a JOIN g_ring b ON a.dst = b.src JOIN g_ring c ON c.src = b.dst AND c.dst = a.src WHERE a.src <> a.dst AND b.dst <> a.src AND b.dst <> a.dst")
 def gq_headless_cycle(s, d):
     return pattern.match(_ng(s, d), {0: {1: None}, 1: {2: None}, 2: {0: None}}, edges=False)
 
 
-@query("SELECT a.src AS n_0, a.dst AS n_1, b.dst AS n_2 FROM g_nation a JOIN g_nation b ON a.dst = b.src WHERE a.src <> a.dst AND b.dst <> a.src AND b.dst <> a.dst AND b.edge = 3 UNION ALL SELECT a.src, a.dst, b.dst FROM g_nation a JOIN g_nation b ON a.dst = b.src WHERE a.src <> a.dst AND b.dst <> a.src AND b.dst <> a.dst AND b.edge <= 5")
+@query("SELECT a.src AS n_0, a.dst AS n_1, b.dst AS n_2 FROM g_ring a JOIN g_ring b ON a.dst = b.src WHERE a.src <> a.dst AND b.dst <> a.src AND b.dst <> a.dst AND b.edge = 3 UNION ALL SELECT a.src, a.dst, b.dst FROM g_ring a JOIN g_ring b ON a.dst = b.src WHERE a.src <> a.dst AND b.dst <> a.src AND b.dst <> a.dst AND b.edge <= 5")
 def gq_subqueries_or(s, d):
     only = lambda ok: {1: {2: {"filter": lambda to, at, edge, bound: ok(edge)}}, 2: {}}
     return pattern.match(_ng(s, d), {0: {1: {"subqueries": [only(lambda e: e == 3), only(lambda e: e <= 5)]}}, 1: {}}, edges=False)
 
 
-@query("SELECT src AS n_0, dst AS n_1 FROM g_nation WHERE src <> dst AND src IN (1, 2, 3)")
+@query("SELECT src AS n_0, dst AS n_1 FROM g_ring WHERE src <> dst AND src IN (1, 2, 3)")
 def gq_seed(s, d):
     seed = s.range(1, 4).select(C("id").alias("n_0"))
     return pattern.match(_ng(s, d), {0: {1: None}, 1: {}}, seed=seed, edges=False)

@@ -36,10 +36,11 @@ def g_sp(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).agg(F.count("*").alias("edge"))
 
 
-def g_nation(spark: SparkSession, d: str) -> DataFrame:
-    """A small dense graph: nation a leads to b where b's key is a's times 3, 5 or 7, plus 1, modulo 25."""
-    n = t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("src"))
-    return n.select("src", F.explode(F.array(*[F.struct(((F.col("src") * k + 1) % 25).alias("dst"), F.lit(k).cast("long").alias("edge")) for k in (3, 5, 7)])).alias("x")).select("src", "x.*").groupBy("src", "dst").agg(F.min("edge").alias("edge"))
+def g_ring(spark: SparkSession, d: str) -> DataFrame:
+    """A graph of the customers: a leads to b where b is a times 3, 5 or 7, plus 1, modulo their largest key plus 1."""
+    n = t(spark, d, "customer").select(F.col("c_custkey").alias("src"))
+    of = t(spark, d, "customer").agg(F.max("c_custkey") + 1).scalar()
+    return n.select("src", F.explode(F.array(*[F.lit(k).cast("long") for k in (3, 5, 7)])).alias("edge")).select("src", ((F.col("src") * F.col("edge") + 1) % of).alias("dst"), "edge").groupBy("src", "dst").agg(F.min("edge").alias("edge"))
 
 
 def seqs(spark: SparkSession, d: str) -> DataFrame:
@@ -73,7 +74,8 @@ SQL = {
     "iv_events": "SELECT user_id AS seq, event_id AS id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 60000000 AS start, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 60000000 + 1 + event_id % 45 AS stop FROM events",
     "aln": "SELECT src, start, start + size AS stop, tgt, CASE WHEN tgt % 3 = 0 THEN -(pos + size) ELSE pos END AS tgt_start, CASE WHEN tgt % 3 = 0 THEN -pos ELSE pos + size END AS tgt_stop FROM (SELECT *, 1 + tgt % 20 AS size, (tgt * 7 + start) % 1000 AS pos FROM (SELECT DISTINCT l_suppkey AS src, l_partkey AS tgt, date_diff('day', DATE '1992-01-01', l_shipdate::DATE) AS start FROM lineitem))",
     "g_sp": "SELECT l_suppkey AS src, l_partkey AS dst, count(*) AS edge FROM lineitem GROUP BY ALL",
-    "g_nation": "SELECT src, dst, min(edge) AS edge FROM (SELECT n_nationkey::BIGINT AS src, (n_nationkey * k + 1) % 25 AS dst, k::BIGINT AS edge FROM nation, (VALUES (3), (5), (7)) v(k)) GROUP BY src, dst",
+    "g_ring": "SELECT src, dst, min(edge) AS edge FROM (SELECT c_custkey AS src, (c_custkey * k + 1) % (SELECT max(c_custkey) + 1 FROM customer) AS dst, k::BIGINT AS edge FROM customer, (VALUES (3), (5), (7)) v(k)) GROUP BY src, dst",
+    "exons": "SELECT o_custkey % 200 AS cluster, o_orderkey AS exon, o_orderkey % 40 * 10 AS start, o_orderkey % 40 * 10 + 5 AS stop FROM orders",
     "steps": "SELECT src, k * 5 AS start, k * 5 + 5 AS stop, tgt, k * 5 + k // 50 * 30 AS tgt_start, k * 5 + k // 50 * 30 + 5 AS tgt_stop FROM (SELECT DISTINCT l_suppkey AS src, l_linenumber::BIGINT AS tgt, l_orderkey % 400 AS k FROM lineitem)",
     "seqs": "SELECT doc_id, seq FROM (SELECT doc_id, regexp_replace(text, '[^acgt]', '', 'g') AS seq FROM documents) WHERE seq <> ''",
     "blocks": "SELECT src, 30 * i AS start, 30 * i + 20 AS stop, src + 1 AS tgt, CASE WHEN src % 4 = 0 THEN -(30 * i + i % 3 + 20) ELSE 30 * i + i % 3 END AS tgt_start, CASE WHEN src % 4 = 0 THEN -(30 * i + i % 3) ELSE 30 * i + i % 3 + 20 END AS tgt_stop FROM (SELECT a.doc_id AS src, unnest(range(0, least(length(a.seq), length(b.seq)) // 30)) AS i FROM seqs a JOIN seqs b ON b.doc_id = a.doc_id + 1)",
