@@ -115,6 +115,12 @@ def guess_type(seq: Column) -> Column:
     return F.when(nucleic, F.when(_count(upper, "T") > _count(upper, "U"), DNA).otherwise(RNA)).when(F.length(seq) > 0, PROTEIN)
 
 
+def soft_masked(seq: Column, spans: Column) -> Column:
+    """The letters with repeats in lower case and all others in upper: ``spans`` is an array of structs (start, stop), forward."""
+    low = lambda acc, r: F.overlay(acc, F.lower(F.substring(acc, r["start"].cast("int") + 1, (r["stop"] - r["start"]).cast("int"))), r["start"].cast("int") + 1)
+    return F.aggregate(F.coalesce(spans, F.array().cast("array<struct<start:bigint,stop:bigint>>")), F.upper(seq), low)
+
+
 def interval_type(seq: Column, start: Column, stop: Column) -> Column:
     """:func:`guess_type` of an interval: of its first 40 letters."""
     return guess_type(substring(seq, start, F.least(stop, start + 40)))

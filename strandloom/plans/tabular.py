@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandloom.operators import tables
+from strandloom.operators import catalog, tables
 from strandloom.plans import views as v
 from strandloom.plans.base import query
+from strandloom.sources.shared import shared_folder
 
 C = F.col
 
@@ -124,3 +125,17 @@ def so_growable(s, d):
     own = lambda t, k, n: v.t(s, d, t).select(C(k).cast("string").alias("id"), C(n).alias("name"))
     members = tables.grown({"r": own("region", "r_regionkey", "r_name")}, None, own("nation", "n_nationkey", "n_name"))
     return tables.prefix_union(tables.grown(members, None, own("supplier", "s_suppkey", "s_name")), "id")
+
+
+@query("SELECT c_custkey, c_name, n_name AS nation_n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def ct_related(s, d):
+    """The nation of each customer, by a relation of a catalog that was written and is read again."""
+    links, folder = shared_folder(s, "links"), shared_folder(s, "zone")
+    v.t(s, d, "customer").select(C("c_custkey").alias("src"), C("c_nationkey").alias("dst"), F.lit(None).cast("string").alias("edge")).write.parquet(links)
+    zone = catalog.Zone(s, folder)
+    for name, path in (("Trade.customer", f"{d}/customer.parquet"), ("Trade.nation", f"{d}/nation.parquet"), ("Trade.lives", links)):
+        zone.add(catalog.Resource(name, "a table", "parquet", path))
+    zone.relate(catalog.Relation("lives", "Trade.lives", "Trade.customer", "c_custkey", "Trade.nation", "n_nationkey", "nation", "customers", cardinality=catalog.MANY_TO_ONE))
+    zone.commit()
+    every = catalog.Catalog(catalog.Zone(s, folder, writable=False))
+    return every.related(every("Trade.customer"), "Trade.customer", "nation").select("c_custkey", "c_name", "nation_n_name")
