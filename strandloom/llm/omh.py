@@ -1,11 +1,13 @@
 """Order MinHash, by DataFrame functions alone.
 
 A text's k-mers are runs of ``k`` words, each numbered by how often it has occurred
-before, so that repeats are told apart.  Their hashes are dealt into ``bins`` ranges of
-one permutation (one-permutation hashing); in each the ``tuple_size`` smallest are
-selected and put back into the order of the text, and the sequence is hashed.  Two
-texts agree in a bin if the same k-mers stand in it in the same order, which edits
-that move text change as well as edits that replace it.
+before, so that repeats are told apart.  Their hashes stand for a permutation, of which
+``bins`` places are taken (one-permutation hashing); from each on, around the end, the next
+``tuple_size`` k-mers are selected and put back into the order of the text, and the
+sequence is hashed.  So every selection has as many k-mers, however few the text has (a
+range with too few goes on into the next, which is densification by rotation).  Two texts
+agree in a selection if it is of the same k-mers in the same order, which edits that move
+text change as well as edits that replace it.
 
 Within a row, a k-mer is one long: 33 bits of hash above 30 bits of place, which is
 more words than a string can hold, so sorting is a sort of primitive longs.
@@ -31,7 +33,7 @@ def _let(value: Column, body) -> Column:
 
 
 def signature(text: Column, k: int = 3, bins: int = 32, tuple_size: int = 2) -> Column:
-    """The ``bins`` tuple hashes of a whole text, as an array of longs; null in a bin that no k-mer falls into.
+    """The ``bins`` tuple hashes of a whole text, as an array of longs; all null where there is no k-mer.
 
     Words are parted by ASCII white space.  A text of fewer than ``k`` words has one k-mer,
     all its words; null, empty and blank texts have none.
@@ -57,10 +59,10 @@ def signature(text: Column, k: int = 3, bins: int = 32, tuple_size: int = 2) ->
 
     def tuples(p: Column) -> Column:
         def one(b: Column) -> Column:
-            mine = F.filter(p, lambda x: F.shiftrightunsigned(x, _PLACE + shift) == b)
+            on = F.filter(p, lambda x: F.shiftrightunsigned(x, _PLACE + shift) >= b)
+            mine = F.slice(F.concat(on, p), F.lit(1), F.least(F.size(p), F.lit(tuple_size)))
             ordered = F.sort_array(F.transform(mine, lambda x: F.shiftleft(x.bitwiseAND(F.lit(_MASK)), 33).bitwiseOR(F.shiftrightunsigned(x, _PLACE))))
-            hashes = F.transform(ordered, lambda x: x.bitwiseAND(F.lit((1 << 33) - 1)))
-            return F.when(F.size(mine) > 0, F.xxhash64(hashes))
+            return F.xxhash64(F.transform(ordered, lambda x: x.bitwiseAND(F.lit((1 << 33) - 1))))
 
         return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: one(b.cast("long")))
 
@@ -71,12 +73,12 @@ def signature(text: Column, k: int = 3, bins: int = 32, tuple_size: int = 2) ->
 
 
 def as_text(signature_: Column) -> Column:
-    """A signature as hexadecimal digits, 16 for each bin and dashes for an empty one."""
+    """A signature as hexadecimal digits, 16 for each bin and dashes for a null."""
     return F.array_join(F.transform(signature_, lambda h: F.coalesce(F.lower(F.lpad(F.hex(h), 16, "0")), F.lit("-" * 16))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The share of bins, of those that either fills, in which two signatures agree; 1 where neither has any."""
+    """The share of selections in which two signatures agree; 1 where neither text has a k-mer."""
     either = F.size(F.filter(F.zip_with(a, b, lambda x, y: x.isNotNull() | y.isNotNull()), lambda f: f))
     same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda f: f))
     return F.when(either == 0, 1.0).otherwise(same / either)
@@ -104,31 +106,35 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     the next document by id (after the last: the first; ids that repeat: by text).  Null
     texts are empty, null ids come first, other columns are not read.
 
-    The next row is found within buckets of ids, by a window; the first row of each
-    bucket is also sent to the bucket before it, so texts are shuffled once and no
-    bucket but a repeated id's grows with the input.
+    The next row is found within buckets of ids, by a window; the last row of each takes the
+    first of the next bucket, which is a row a bucket.  Texts are shuffled once.  Buckets
+    have about ``bucket_rows`` rows, however many there are; one grows with the input only
+    where a single id (or null) is repeated, or where ids that are no numbers begin with
+    the same seven bytes.  An empty table gives no rows.
     """
+    number = docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
     row = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    key = F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63)))
+    key = F.col("id").cast("long") if number else F.conv(F.substring(F.hex(F.rpad(F.col("id").cast("string"), 7, "\0")), 1, 14), 16, 10).cast("long")  # in the ids' order
     keyed = row.select(key.alias("key"))
-    found = keyed.where("key > -9223372036854775808").agg(F.percentile_approx("key", [i / 256 for i in range(257)], 10_000), F.count("*")).first()
+    found = keyed.where("key is not null").agg(F.percentile_approx("key", [i / 256 for i in range(257)], 10_000), F.count("*")).first()
     cuts = sorted(set(found[0] or [0]))
     cuts = cuts if len(cuts) > 1 else [cuts[0], cuts[0] + 1]
-    parts = min(400, max(1, -(-(found[1] or 0) // (bucket_rows * (len(cuts) - 1)))))  # so there are 102,400 buckets at most
-    bucket = _bucket(F.col("key"), cuts, parts)
-    firsts = keyed.select("key", bucket.alias("bucket")).groupBy("bucket").agg(F.min("key").alias("key"))
-    order = firsts.select("bucket", "key", F.lag("bucket").over(Window.orderBy("bucket")).alias("before"), F.max("bucket").over(Window.partitionBy()).alias("last"))
-    heads = F.broadcast(order.select("key", F.coalesce("before", "last").alias("to")))  # a row for each bucket
-    own = row.select("id", "text", key.alias("key")).withColumn("bucket", bucket).withColumn("signature", signature(F.col("text"), k, bins, tuple_size))
-    here = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("late"))
-    there = F.struct(F.col("to").alias("bucket"), F.lit(1).alias("late"))
-    places = F.when(F.col("to").isNull(), F.array(here)).otherwise(F.array(here, there))
-    placed = own.join(heads, "key", "left").select("id", "text", "key", "signature", F.explode(places).alias("at")).select("id", "text", "key", "signature", "at.*")
-    line = Window.partitionBy("bucket").orderBy("late", "key", "text")
-    both = placed.withColumn("next", F.lead(F.struct("text", "signature")).over(line)).where("late = 0")
+    parts = max(1, -(-(found[1] or 0) // (bucket_rows * (len(cuts) - 1))))
+    bucket = F.when(F.col("key").isNull(), F.lit(-1).cast("long")).otherwise(_bucket(F.col("key"), cuts, parts))
+    own = row.select("id", "text", key.alias("key")).withColumn("bucket", bucket).drop("key").withColumn("signature", signature(F.col("text"), k, bins, tuple_size)).repartition("bucket")  # once, for both uses
+    # Each bucket's first row is what follows the last of the bucket before it: of a row for
+    # each bucket, the one before is sought among those of its stretch, and of the stretches.
+    firsts = own.groupBy("bucket").agg(F.min_by(F.struct("text", "signature"), F.struct("id", "text")).alias("first"))
+    named = keyed.select(bucket.alias("bucket")).distinct().withColumn("stretch", F.floor(F.col("bucket") / parts))
+    ends = named.groupBy("stretch").agg(F.max("bucket").alias("end"))  # 258 rows at most
+    whole = Window.orderBy("stretch")
+    ends = ends.select("stretch", F.coalesce(F.lag("end").over(whole), F.max("end").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("end"))
+    before = named.join(ends, "stretch").select("bucket", F.coalesce(F.lag("bucket").over(Window.partitionBy("stretch").orderBy("bucket")), "end").alias("to"))
+    heads = firsts.join(before, "bucket").select(F.col("to").alias("bucket"), "first")
+    line = Window.partitionBy("bucket").orderBy("id", "text")
+    both = own.withColumn("own_next", F.lead(F.struct("text", "signature")).over(line)).join(heads, "bucket").withColumn("next", F.coalesce("own_next", "first"))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     both = both.select("id", "signature", n.cast("long").alias("n_chars"), F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half)).alias("edited_text"), F.col("next.signature").alias("after"))
     both = both.withColumn("edited", signature(F.col("edited_text"), k, bins, tuple_size))
     return both.select(F.col("id").alias(id_col), "n_chars", "edited_text", as_text(F.col("signature")).alias("fingerprint"), as_text(F.col("edited")).alias("edited_fingerprint"), likeness(F.col("signature"), F.col("edited")).alias("near_edited"), likeness(F.col("signature"), F.col("after")).alias("near_next"))
-

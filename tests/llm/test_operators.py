@@ -431,10 +431,26 @@ def test_order_minhash_signature_is_as_defined(spark):
             seen[k] += 1
         g = sorted((h >> 31, i) for i, h in enumerate(hashes(numbered, ["long", "int"])))
         for b in range(4):
-            mine = sorted([x for x in g if x[0] >> 31 == b][:2], key=lambda x: x[1])
-            want = hashes([[[x[0] for x in mine]]], ["array<long>"])[0] if mine else None
-            got = sig[body][b]
-            assert (None if got is None else got & (2**64 - 1)) == want
+            on = [x for x in g if x[0] >> 31 >= b]
+            mine = sorted((on + g)[: min(2, len(g))], key=lambda x: x[1])
+            assert sig[body][b] & (2**64 - 1) == hashes([[[x[0] for x in mine]]], ["array<long>"])[0]
+
+
+def test_order_minhash_likeness_by_brute_force(spark):
+    """What ``near_edited`` and ``near_next`` are, from the signatures of both texts; and ids that are no numbers."""
+    r = random.Random(3)
+    rows = [(f"k{i // 3}-{i}é", " ".join(r.choice("abcdefgh") for _ in range(r.randrange(30)))) for i in range(40)] + [(None, "x y z w"), ("k1-3é", "tie")]
+    frame = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    line = sorted(rows, key=lambda x: (x[0] is not None, (x[0] or "").encode(), x[1]))
+    next_ = [line[(n + 1) % len(line)][1] for n in range(len(line))]
+    edited = [t[: len(t) - len(t) // 2] + a[: len(t) // 2] for (_, t), a in zip(line, next_)]
+    every = spark.createDataFrame([(t,) for t in {*(t for _, t in rows), *edited}], "text string")
+    sig = {x.text: x.s for x in every.select("text", omh.signature(F.col("text")).alias("s")).collect()}
+    like = lambda a, b: sum(x == y for x, y in zip(sig[a], sig[b])) / 32 if any(x is not None for x in sig[a] + sig[b]) else 1.0
+    want = Counter((i, e, like(t, e), like(t, a)) for (i, t), e, a in zip(line, edited, next_))
+    for bucket in (2000, 3):
+        got = omh.edited_fingerprints(frame, bucket_rows=bucket).collect()
+        assert Counter((x.doc_id, x.edited_text, x.near_edited, x.near_next) for x in got) == want
 
 
 def test_warc_round_trip(spark):
