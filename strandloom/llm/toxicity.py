@@ -196,12 +196,12 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, str]]:
             yield at + i, t.decode()
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, max_terms: int = 400) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, max_terms: int = 2_000, max_stem: int = 64) -> Model:
     """A model from labelled rows, of which a sample of about ``max_rows`` is used, chosen by a hash of the id.
 
     ``labels``: one row for each labelled id; null labels and ids are left out, and of an id
     with several labels the largest counts.  The lexicon has ``max_terms`` terms at most, the
-    best first.  Counts are made where the rows are; the driver gets the lexicon and sums.
+    best first: whole words of any length, and stems of up to ``max_stem`` letters.  Counts are made where the rows are; the driver gets the lexicon and sums.
     Without a labelled row of either kind the lexicon is empty and every score is below 0.5.
     """
     labels = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
@@ -230,9 +230,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not totals or not totals.toxic or not totals.clean:
         return Model([])
     ratio = totals.clean / totals.toxic
-    begun = counts.where("word <> ''").select("word", "clean", "toxic", F.explode(F.sequence(F.lit(3), F.greatest(F.lit(3), F.least(F.char_length("word"), F.lit(14))))).alias("n"))
+    begun = counts.where("word <> ''").select("word", "clean", "toxic", F.explode(F.array_union(F.sequence(F.lit(3), F.greatest(F.lit(3), F.least(F.char_length("word"), F.lit(max_stem)))), F.array(F.char_length("word")))).alias("n"))
     stems = (
-        begun.where(F.char_length("word") >= F.col("n"))
+        begun.where((F.char_length("word") >= F.col("n")) & (F.col("n") >= 3))
         .groupBy(F.expr("left(word, n)").alias("stem"))
         .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.max(F.when(F.char_length("word") == F.col("n"), F.col("toxic")).otherwise(0)).alias("word_toxic"), F.max(F.when(F.char_length("word") == F.col("n"), F.col("clean")).otherwise(0)).alias("word_clean"))
     )
@@ -372,7 +372,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``docs``, all columns, without the rows that score ``threshold`` or more.  No shuffle."""
+    """``docs``, all columns, without the rows that score ``threshold`` or more.  No shuffle.
+
+    Null and empty texts have the score of texts without a match and stay; null ids do not matter.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _Found(Matcher(model.terms))
