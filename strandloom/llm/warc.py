@@ -85,12 +85,27 @@ def field(name: str, header: str = "header") -> Column:
     return F.regexp_extract(F.decode(F.col(header), "utf-8"), rf"(?m)^{name}: ([^\r\n]*)", 1)
 
 
+def parsed(records: DataFrame) -> DataFrame:
+    """(header, payload) from the bytes of each record: its block is what the header's length says, after the first empty line.
+
+    A revisit's block is empty, so its payload is the one that was joined to it.  A record
+    that is shorter than it says, or does not end as records do, raises an error.
+    """
+    text = F.decode("record", "iso-8859-1")  # a character a byte
+    cut = records.select("record", "payload", (F.instr(text, _END * 2) + 3).alias("at"), F.octet_length("record").alias("size"))
+    cut = cut.withColumn("header", F.expr("substring(record, 1, at)"))
+    length = field("Content-Length").cast("int")
+    whole = (F.col("size") == F.col("at") + length + 4) & (F.expr("substring(record, size - 3, 4)") == F.lit(b"\r\n\r\n"))
+    block = F.when(whole, F.expr("substring(record, at + 1, size - at - 4)")).otherwise(F.raise_error(F.lit("a record is not as long as it says")))
+    return cut.select("header", F.when(field("WARC-Type") == "revisit", F.coalesce(F.col("payload"), block)).otherwise(block).alias("payload"))
+
+
 def summary(records: DataFrame, id_type: str = "long") -> DataFrame:
     """(id, payload_bytes, payload_digest, record_type, refers_to) of records as :func:`read` returns them.
 
-    Length and digest are taken from the payload's bytes, all else from the header's.
+    All is taken from the records' own bytes, see :func:`parsed`; a revisit's payload from what is joined to it.
     """
-    return records.select(
+    return parsed(records).select(
         F.nullif(field("X-Record-Key"), F.lit("")).cast(id_type).alias("id"),
         F.octet_length("payload").cast("long").alias("payload_bytes"),
         F.sha2("payload", 256).alias("payload_digest"),
