@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -163,3 +163,11 @@ def splice_graph(exons: DataFrame, splices: DataFrame) -> tuple[DataFrame, DataF
         pairs = a.join(b, (F.col("a.cluster") == F.col("b.cluster")) & (F.col(f"a.{end}") == F.col(f"b.{end}")) & (F.col("a.exon") != F.col("b.exon")))
         out.append(pairs.select(F.col("a.exon").alias("src"), F.col("b.exon").alias("dst")))
     return tuple(out)
+
+
+def load_splice_graph(spark: SparkSession, exons: str, splices: str, form: str = "parquet", **options: str) -> tuple[Graph, Graph, Graph]:
+    """(next, alt5, alt3) as graphs, of two files (cluster, exon, start, stop) and (cluster, splice, start, stop); see :func:`splice_graph`."""
+    tables = [spark.read.format(form).options(**options).load(path) for path in (exons, splices)]
+    after, alt5, alt3 = splice_graph(*tables)
+    nodes = tables[0].select(F.col("exon").alias("id")).distinct()
+    return tuple(Graph.of(e, "edge" if "edge" in e.columns else None).with_nodes(nodes) for e in (after, alt5, alt3))

@@ -74,3 +74,10 @@ def clipped(joined: DataFrame, start: str = "start", stop: str = "stop") -> Data
     """With ``clip_start`` and ``clip_stop``: what of the left interval the right one covers."""
     both = iv.intersect(F.col(f"l_{start}"), F.col(f"l_{stop}"), F.col("hit_start"), F.col("hit_stop"))
     return joined.withColumn("clip_start", both["start"]).withColumn("clip_stop", both["stop"])
+
+
+def adjacent(intervals: DataFrame, keys: list[str], start: str = "start", stop: str = "stop") -> DataFrame:
+    """(keys, l_..., r_...): pairs of one sequence and strand, ``keys``, of which the right begins where the left ends."""
+    rest = [c for c in intervals.columns if c not in keys]
+    a, b = (intervals.select(*keys, *[F.col(c).alias(f"{side}{c}") for c in rest], F.col(at).alias("_at")) for side, at in (("l_", stop), ("r_", start)))
+    return a.join(b, [*keys, "_at"]).drop("_at")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.operators.graph import Graph
+from strandloom.operators.overlap import clipped, overlap_join
 
 
 @dataclass(frozen=True)
@@ -142,6 +143,21 @@ def _apart(node: object, bound: list[str]):
     return out
 
 
+def through_overlap(sources: DataFrame, targets: DataFrame, seq: str = "seq") -> Callable[[DataFrame, str], DataFrame]:
+    """An ``expand`` that goes from an interval to what overlaps it: ``sources`` and ``targets`` have (id, seq, start, stop).
+
+    The edge is a struct (start, stop): what of the source is overlapped, on its own strand.
+    """
+    own, other = (x.select("id", seq, "start", "stop") for x in (sources, targets))
+
+    def expand(rows: DataFrame, src: str) -> DataFrame:
+        wanted = own.join(rows.select(F.col(src).alias("id")).distinct(), "id", "left_semi")
+        hits = clipped(overlap_join(wanted, other, seq))
+        return rows.join(hits.select(F.col("l_id").alias(src), F.col("r_id").alias("_dst"), F.struct(F.col("clip_start").alias("start"), F.col("clip_stop").alias("stop")).alias("_edge")), src)
+
+    return expand
+
+
 def _attribute(table: DataFrame, column: str) -> Callable[[DataFrame, str], DataFrame]:
     def expand(rows: DataFrame, src: str) -> DataFrame:
         own = table.select(F.col("id").alias(src), F.col(column).alias("_value"))

@@ -172,6 +172,16 @@ def jn_two_hop(s, d):
     return x.where("not (src = tgt and start = tgt_start)")
 
 
+@query("SELECT q.src, q.start AS q_start, a.tgt, greatest(q.start, a.start) AS start, least(q.stop, a.stop) AS stop, a.tgt_start + greatest(q.start, a.start) - a.start AS tgt_start, a.tgt_stop + least(q.stop, a.stop) - a.stop AS tgt_stop FROM (SELECT s_suppkey AS src, 3000 AS start, 3100 AS stop FROM supplier UNION ALL SELECT s_suppkey, 4000, 4050 FROM supplier) q JOIN aln a ON a.src = q.src AND a.start < q.stop AND q.start < a.stop")
+def jn_pairwise(s, d):
+    """One hop: what stretches of sources are aligned to, cut to them; what an interval is aligned to is kept, itself included."""
+    spans = F.explode(F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("stop")) for a, b in ((3000, 3100), (4000, 4050))])).alias("x")
+    q = v.t(s, d, "supplier").select(C("s_suppkey").alias("src"), spans).select("src", "x.*")
+    x = overlap.clipped(overlap.overlap_join(q, v.aln(s, d), "src"))
+    low, high = C("clip_start"), C("clip_stop")
+    return x.select(C("l_src").alias("src"), C("l_start").alias("q_start"), C("r_tgt").alias("tgt"), low.alias("start"), high.alias("stop"), (C("r_tgt_start") + low - C("r_start")).alias("tgt_start"), (C("r_tgt_stop") + high - C("r_stop")).alias("tgt_stop"))
+
+
 @query("SELECT * FROM aln UNION ALL SELECT tgt, abs(CASE WHEN tgt_start >= 0 THEN tgt_start ELSE tgt_stop END), abs(CASE WHEN tgt_start >= 0 THEN tgt_stop ELSE tgt_start END), src, CASE WHEN tgt_start < 0 THEN -stop ELSE start END, CASE WHEN tgt_start < 0 THEN -start ELSE stop END FROM aln")
 def jn_bidirectional(s, d):
     return al.bidirectional(v.aln(s, d))
@@ -211,11 +221,10 @@ def jn_id_rescue(s, d):
     return tables.rescued_ids(v.t(s, d, "part").select(F.concat("p_name", F.lit("|"), "p_brand", F.lit("|p"), C("p_partkey").cast("string")).alias("id")))
 
 
-@query("SELECT a.id AS l_id, b.id AS r_id FROM iv_events a JOIN iv_events b ON a.seq = b.seq AND a.stop = b.start")
+@query("SELECT a.id AS l_id, b.id AS r_id FROM iv_events a JOIN iv_events b ON a.seq = b.seq AND a.stop = b.start AND a.id % 2 = b.id % 2")
 def jn_adjacent(s, d):
-    e = v.iv_events(s, d)
-    a, b = e.select("seq", C("id").alias("l_id"), C("stop").alias("at")), e.select("seq", C("id").alias("r_id"), C("start").alias("at"))
-    return a.join(b, ["seq", "at"]).select("l_id", "r_id")
+    """Intervals of one strand, here of odd or of even ids, that begin where another ends."""
+    return overlap.adjacent(v.iv_events(s, d).withColumn("strand", C("id") % 2), ["seq", "strand"]).select("l_id", "r_id")
 
 
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
@@ -454,13 +463,15 @@ def gq_seed(s, d):
     return pattern.match(_ng(s, d), {0: {1: None}, 1: {}}, seed=seed, edges=False)
 
 
-@query("SELECT o.id AS n_0, e.id AS n_1 FROM iv_orders o JOIN iv_events e ON o.seq = e.seq AND o.start < e.stop AND e.start < o.stop")
+@query("SELECT o.id AS n_0, e.id + 10000000 AS n_1, greatest(o.start, e.start) AS low, least(o.stop, e.stop) AS high, 20000000 + e.id % 5 AS n_2 FROM iv_orders o JOIN iv_events e ON o.seq = e.seq AND o.start < e.stop AND e.start < o.stop")
 def gq_alignment_edge(s, d):
-    """An edge that an overlap join makes: from an interval to what overlaps it."""
-    o = v.iv_orders(s, d)
-    hits = overlap.overlap_join(o, v.iv_events(s, d)).select(C("l_id").alias("src"), (C("r_id") + 10_000_000).alias("dst"))
-    out = pattern.match(Graph.of(hits), {0: {1: None}, 1: {}}, edges=False)
-    return out.select("n_0", (C("n_1") - 10_000_000).alias("n_1"))
+    """A pattern that goes through an overlap: from an interval to what overlaps it, and on to what that is of."""
+    o, e = v.iv_orders(s, d), v.iv_events(s, d).withColumn("id", C("id") + 10_000_000)
+    kinds = Graph.of(e.select(C("id").alias("src"), (20_000_000 + C("id") % 5).alias("dst")))
+    step = pattern.through_overlap(o, e)
+    seed = o.select(C("id").alias("n_0"))
+    out = pattern.match(kinds, {0: {1: {"expand": step}}, 1: {2: None}, 2: {}}, seed=seed)
+    return out.select("n_0", "n_1", C("e_0_1.start").alias("low"), C("e_0_1.stop").alias("high"), "n_2")
 
 
 # --- unions and annotations

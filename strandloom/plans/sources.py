@@ -129,3 +129,42 @@ def src_shelf(s, d):
     shelf.put(o.withColumn("value", C("value") - 1))
     shelf.put(o)
     return shelf.all()
+
+
+@query("SELECT doc_id::VARCHAR AS seq_id, length(seq)::INTEGER AS length FROM seqs")
+def src_lengths(s, d):
+    """Lengths alone, of compressed files."""
+    folder = shared_folder(s, "fasta")
+    records = v.seqs(s, d).select(F.concat(F.lit(">"), C("doc_id").cast("string"), F.lit(" a title\n"), F.regexp_replace("seq", "(.{50})(?=.)", "$1\n")).alias("value"))
+    records.write.option("compression", "gzip").text(folder)
+    return fasta.read(s, folder).select("seq_id", "length")
+
+
+@query("SELECT seq, count(*) AS n FROM seqs GROUP BY seq")
+def src_automatic_ids(s, d):
+    """Sequences written without ids get different ones."""
+    folder = shared_folder(s, "fasta")
+    fasta.write(v.seqs(s, d).select(F.lit(None).cast("string").alias("seq_id"), "seq"), folder)
+    back = fasta.read(s, folder)
+    return back.groupBy("seq").agg(F.countDistinct("seq_id").alias("n"))
+
+
+@query("SELECT src, count(*) AS n, sum(stop - start)::BIGINT AS letters FROM aln GROUP BY src")
+def src_table(s, d):
+    """A table of the catalog, bucketed by what it is grouped by: the second reading needs no shuffle."""
+    folder = shared_folder(s, "table")
+    name = f"aln_{folder.rsplit('-', 1)[-1]}"
+    tabular.save_table(v.aln(s, d), name, ["src"], path=folder)
+    return s.table(name).groupBy("src").agg(F.count("*").alias("n"), F.sum(C("stop") - C("start")).alias("letters"))
+
+
+@query("SELECT a.exon AS src, b.exon AS dst FROM exons a JOIN exons b ON a.cluster = b.cluster AND b.start = a.start + 20 WHERE a.exon <> b.exon")
+def src_splice_graph(s, d):
+    """Exons and splices from files, as a graph."""
+    from strandloom.operators.graph import load_splice_graph
+
+    folder, at = shared_folder(s, "splices"), C("o_orderkey") % 40 * 10
+    e = v.t(s, d, "orders").select((C("o_custkey") % 200).alias("cluster"), C("o_orderkey").alias("exon"), at.alias("start"), (at + 5).alias("stop"))
+    e.write.parquet(f"{folder}/exons")
+    e.select("cluster", "start", "stop").distinct().select("cluster", F.xxhash64("cluster", "start").alias("splice"), C("stop").alias("start"), (C("start") + 20).alias("stop")).write.parquet(f"{folder}/splices")
+    return load_splice_graph(s, f"{folder}/exons", f"{folder}/splices")[0].edges.where("src <> dst").select("src", "dst")

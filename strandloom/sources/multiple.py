@@ -94,3 +94,9 @@ def read_axt(spark: SparkSession, path: str, lengths: DataFrame, source: str = "
     found = found.join(lengths.select(F.col("seq_id").alias("src")), "src", "left_semi").join(known, "tgt")
     back = F.when(F.col("minus"), F.col("length")).otherwise(0)
     return found.select("src", "start", "stop", "tgt", (F.col("tgt_start") - back).alias("tgt_start"), (F.col("tgt_stop") - back).alias("tgt_stop"))
+
+
+def save_relational(runs: DataFrame, path: str) -> None:
+    """Runs of :func:`read_maf` as two tables: ``blocks``, one row for each block as a sequence of its own, and ``runs`` against it."""
+    runs.groupBy("block").agg(F.max("col_stop").alias("length"), F.countDistinct("seq_id").alias("rows")).write.parquet(f"{path}/blocks")
+    runs.select(F.col("block").alias("src"), F.col("col_start").alias("start"), F.col("col_stop").alias("stop"), F.col("seq_id").alias("tgt"), F.col("start").alias("tgt_start"), F.col("stop").alias("tgt_stop")).write.parquet(f"{path}/runs")

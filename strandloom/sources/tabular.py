@@ -46,10 +46,14 @@ def write_sorted(aln: DataFrame, path: str, partitions: int | None = None) -> No
     ranged.sortWithinPartitions("src", "start", F.desc("stop")).write.parquet(path)
 
 
-def save_table(rows: DataFrame, name: str, index: list[str] | None = None, buckets: int = 8) -> None:
-    """Rows as a table of the catalog; those of ``index``, or else all columns that end in ``_id``, are what it is bucketed by."""
+def save_table(rows: DataFrame, name: str, index: list[str] | None = None, buckets: int = 8, path: str | None = None) -> None:
+    """Rows as a table of the catalog; those of ``index``, or else all columns that end in ``_id``, are what it is bucketed by.
+
+    With ``path`` the files are there and not in the warehouse.
+    """
     keys = [c for c in rows.columns if c.endswith("_id")] if index is None else index
     writer = rows.write.mode("overwrite")
+    writer = writer.option("path", path) if path else writer
     (writer.bucketBy(buckets, *keys).sortBy(*keys) if keys else writer).saveAsTable(name)
 
 

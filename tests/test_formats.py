@@ -257,3 +257,25 @@ def test_catalog(spark, tmp_path):
     zone.commit()
     with pytest.raises(KeyError):
         every("Home.pets")
+
+
+def test_databases(spark):
+    """A table of a database, written and read in ranges of its key; the database is the one that Spark brings along."""
+    url, driver = "jdbc:derby:memory:strandloom;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    rows = spark.range(100).selectExpr("cast(id as int) as k", "concat('n', id) as name")
+    try:
+        rows.write.format("jdbc").options(url=url, dbtable="people", driver=driver).save()
+    except Exception as e:
+        if "ClassNotFound" not in str(e) and "No suitable driver" not in str(e):
+            raise
+        pytest.skip("no database in this installation of Spark")
+    back = tabular.jdbc(spark, url, "people", "k", (0, 100), 4, driver=driver)
+    assert back.rdd.getNumPartitions() == 4 and {(r.k, r.name) for r in back.collect()} == {(i, f"n{i}") for i in range(100)}
+    assert tabular.jdbc(spark, url, "people", driver=driver).count() == 100
+
+
+def test_relational_dump_of_blocks(spark, tmp_path):
+    (tmp_path / "m").write_text("##maf version=1\n\na score=1\ns x.1 10 6 + 100 ac--gtta\ns y.2 5 8 - 50 acacgtta\n")
+    multiple.save_relational(multiple.read_maf(spark, str(tmp_path / "m")), str(tmp_path / "out"))
+    assert [(r["length"], r["rows"]) for r in spark.read.parquet(str(tmp_path / "out/blocks")).collect()] == [(8, 2)]
+    assert {(r.start, r.stop, r.tgt, r.tgt_start) for r in spark.read.parquet(str(tmp_path / "out/runs")).collect()} == {(0, 2, "x.1", 10), (4, 8, "x.1", 12), (0, 8, "y.2", -45)}
