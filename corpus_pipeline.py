@@ -2,6 +2,11 @@
 
 Every stage reads what the one before it wrote.  The first three drop rows and keep
 the columns of ``documents``; the last returns the token ids of what is left.
+
+Null and empty texts are kept by the first three stages, though of empty texts, which are
+equal to each other, one stays.  Repeated rows count as copies; an id with several texts
+keeps those that are no copies of others.  Rows without an id are judged by the first and
+third stage only.  An empty table goes through as such.
 """
 
 from __future__ import annotations
@@ -23,7 +28,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of SimHash near-duplicates."""
+    """Keeps the smallest id of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more.
+
+    Texts meet under keys of least shingle hashes, SimHash fingerprints are compared bit-sliced where they meet, and the
+    whole texts decide; fingerprints alone cannot find such pairs (see :func:`strandloom.llm.simhash.similar_groups`).
+    """
     return simhash.keep_one(docs)
 
 
