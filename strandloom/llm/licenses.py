@@ -12,6 +12,7 @@ No shuffle: a row's detections are arrays in the row.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # of lower-cased text
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++"  # of raw text
+_BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # of raw text
 _MARK = "\x01"
 _CHUNK = 256
 
@@ -285,10 +286,21 @@ def rules() -> list[Rule]:
 
 
 def _gate(all_rules: list[Rule]) -> str:
-    """A pattern over raw text that every text with a detection matches: a word piece of each rule."""
-    pieces = {max((p for k in r.keys[-1:] for p in k.split()), key=len) for r in all_rules}
-    pieces = {p for p in pieces if not any(q != p and q in p for q in pieces)}
-    return "(?i)" + "|".join(sorted(pieces))
+    """A pattern over raw text that every text with a detection matches: few pieces of words, one of which each rule needs.
+
+    Pieces are taken that most rules still without one need; a rule needs the words of its
+    keys and, if it is plain, all of its own.
+    """
+    need = [{w for k in r.keys for w in k.split()} | (set(r.pattern.split()) if re.fullmatch("[a-z0-9 ]+", r.pattern) else set()) for r in all_rules]
+    words = sorted({w for n in need for w in n if len(w) > 3 or any(n == {w} for n in need)})
+    named, left, pieces = {w for r in all_rules for k in r.keys for w in k.split()}, need, []
+    while left:
+        held = {p: [any(p in w for w in n) for n in left] for p in words}
+        best = max(words, key=lambda p: (sum(held[p]) / 2.0 ** max(0, 6 - len(p)), p in named, len(p), p))  # short pieces are in many texts
+        pieces.append(best)
+        left = [n for n, h in zip(left, held[best]) if not h]
+    by = {c: [p[1:] for p in pieces if p[0] == c] for c in sorted({p[0] for p in pieces})}
+    return "(?i)" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by.items())  # a letter, then what can follow it
 
 
 def _normal(text: Column) -> Column:
@@ -360,7 +372,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", all_ru
     all_rules = rules() if all_rules is None else all_rules
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    rows = rows.select("id", F.regexp_count("text", F.lit(_WORD)).cast("long").alias("n_words"), F.when(F.col("text").rlike(_gate(all_rules)), _normal(F.col("text"))).otherwise(" ").alias("normal"))
+    rows = rows.select("id", F.size(F.array_remove(F.split("text", _BETWEEN), "")).cast("long").alias("n_words"), F.when(F.col("text").rlike(_gate(all_rules)), _normal(F.col("text"))).otherwise(" ").alias("normal"))
     rows = rows.select("id", "n_words", F.when(F.col("normal") != " ", _detections(F.col("normal"), all_rules)).otherwise(F.slice(_detections(F.lit(" "), all_rules[:1]), 1, 0)).alias("found"))
     highest = max((r.priority for r in all_rules), default=1)
     return rows.select(F.col("id").alias(id_col), "n_words", "found", _unsuppressed(F.col("found"), highest).alias("kept"))
