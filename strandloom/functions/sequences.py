@@ -98,10 +98,9 @@ def spliced(seq: Column, starts: Column, stops: Column) -> Column:
 
 def letters(seq: Column) -> Column:
     """Structs (pos, letter, next): the sequence as a chain of letters; the last has no next."""
-    n = F.length(seq)
-    at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    letter = lambda i: F.nullif(F.substring(seq, i + 1, F.lit(1)), F.lit(""))
-    return F.transform(at, lambda i: F.struct(i.alias("pos"), letter(i).alias("letter"), letter(i + 1).alias("next")))
+    each = F.filter(F.split(seq, ""), lambda c: c != "")
+    pairs = F.zip_with(each, F.slice(each, F.lit(2), F.greatest(F.size(each) - 1, F.lit(1))), lambda a, b: F.struct(a.alias("letter"), b.alias("next")))
+    return F.transform(pairs, lambda x, i: F.struct(i.alias("pos"), x["letter"].alias("letter"), x["next"].alias("next")))
 
 
 def _count(seq: Column, letters: str) -> Column:

@@ -33,6 +33,23 @@ def bidirectional(aln: DataFrame, genome: Callable[[Column], Column] | None = No
     return aln.select(back.columns).union(back)
 
 
+def target_count(aln: DataFrame) -> DataFrame:
+    """(src, n): how many targets, by strand, each source is aligned to."""
+    return aln.groupBy("src").agg(F.countDistinct("tgt", F.col("tgt_start") < 0).alias("n"))
+
+
+def two_hop(aln: DataFrame, axis: DataFrame) -> DataFrame:
+    """(src, tgt, start, tgt_start, size): sources over the stretches of the axis that they share.
+
+    Both have rows (src, start, axis, low, high), where low and high are signed; one strand
+    of the axis meets the other not.  An interval does not meet itself.
+    """
+    x = overlap_join(aln, axis, "axis", "low", "high").where((F.col("l_low") >= 0) == (F.col("r_low") >= 0))
+    low, high = F.greatest("l_low", "r_low"), F.least("l_high", "r_high")
+    x = x.select(F.col("l_src").alias("src"), F.col("r_src").alias("tgt"), (F.col("l_start") + low - F.col("l_low")).alias("start"), (F.col("r_start") + low - F.col("r_low")).alias("tgt_start"), (high - low).alias("size"))
+    return x.where("not (src = tgt and start = tgt_start)")
+
+
 def covers(aln: DataFrame) -> DataFrame:
     """One row for each source, target and strand: the covering target interval, and the source at its ends."""
     first, last = F.struct("tgt_start", "tgt_stop", "start", "stop"), F.struct("tgt_stop", "tgt_start", "start", "stop")

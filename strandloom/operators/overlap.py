@@ -81,3 +81,17 @@ def adjacent(intervals: DataFrame, keys: list[str], start: str = "start", stop:
     rest = [c for c in intervals.columns if c not in keys]
     a, b = (intervals.select(*keys, *[F.col(c).alias(f"{side}{c}") for c in rest], F.col(at).alias("_at")) for side, at in (("l_", stop), ("r_", start)))
     return a.join(b, [*keys, "_at"]).drop("_at")
+
+
+def covering(intervals: DataFrame, seq: str = "seq", start: str = "start", stop: str = "stop") -> DataFrame:
+    """(seq, start, stop): for each sequence the one interval that covers all, what lies between them included."""
+    return intervals.groupBy(seq).agg(F.min(start).alias(start), F.max(stop).alias(stop))
+
+
+def masked(intervals: DataFrame, masks: DataFrame, seq: str = "seq", order: str | None = None) -> DataFrame:
+    """What of each interval its sequence's mask, ``masks(seq, low, high)``, lets through; a sequence has one mask, the last by ``order`` or the one with the largest ends."""
+    span = F.struct("low", "high")
+    one = masks.groupBy(seq).agg((F.max_by(span, order) if order else F.max(span)).alias("_m"))
+    x = iv.intersect(F.col("start"), F.col("stop"), F.col("_m.low"), F.col("_m.high"))
+    found = intervals.join(one, seq).withColumn("_x", x).where("_x is not null")
+    return found.withColumns({"start": F.col("_x.start"), "stop": F.col("_x.stop")}).select(intervals.columns)

@@ -128,6 +128,42 @@ def graph_view(source: DataFrame, target: DataFrame, on: str, source_key: str, t
     return pairs.withColumn("ordinal", F.row_number().over(Window.partitionBy(source_key).orderBy(target_key)))
 
 
+def foreign_key(parents: DataFrame, children: DataFrame, key: str, refers: str) -> DataFrame:
+    """Each parent with each row whose ``refers`` is its ``key``."""
+    return parents.join(children, parents[key] == children[refers])
+
+
+def parents_of(children: DataFrame, parents: DataFrame, refers: str, key: str) -> DataFrame:
+    """Each row with its parent, with nulls where it refers to none."""
+    return children.join(parents, children[refers] == parents[key], "left")
+
+
+def cluster_pairs(df: DataFrame, cluster_key: str, key: str, other: str = "other") -> DataFrame:
+    """(cluster_key, key, other): each row with all of its cluster, itself included."""
+    own = df.select(cluster_key, key)
+    return own.join(own.withColumnRenamed(key, other), cluster_key)
+
+
+def existing(df: DataFrame, key: str, other: DataFrame, refers: str) -> DataFrame:
+    """Rows that some row of ``other`` refers to."""
+    return df.join(other.select(F.col(refers).alias(key)), key, "left_semi").select(df.columns)
+
+
+def ranged(left: DataFrame, right: DataFrame, key: str, other_key: str, value: str, low: Column, high: Column) -> DataFrame:
+    """Pairs of equal keys of which the right's ``value`` is from ``low`` to ``high``, columns of the left's."""
+    return left.join(right, (left[key] == right[other_key]) & right[value].between(low, high))
+
+
+def top(df: DataFrame, by: str, order: str | Column, n: int) -> DataFrame:
+    """The first ``n`` rows of each ``by``."""
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("_n") <= n).drop("_n")
+
+
+def aliased(df: DataFrame, **names: str) -> DataFrame:
+    """Further columns, each an SQL expression of the others."""
+    return df.withColumns({name: F.expr(text) for name, text in names.items()})
+
+
 def prefix_union(members: dict[str, DataFrame], key: str, separator: str = ".") -> DataFrame:
     """All members' rows, with ``prefix<separator>key`` as the key."""
     parts = [df.withColumn(key, F.concat(F.lit(prefix + separator), F.col(key).cast("string"))) for prefix, df in members.items()]

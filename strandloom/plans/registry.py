@@ -44,7 +44,7 @@ def iv_span_union(s, d):
 
 @query("SELECT seq, min(start) AS start, max(stop) AS stop FROM iv_orders GROUP BY seq")
 def iv_list_union(s, d):
-    return v.iv_orders(s, d).groupBy("seq").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return overlap.covering(v.iv_orders(s, d).select("seq", "start", "stop"))
 
 
 @query("SELECT src, tgt, -tgt_stop AS start, -tgt_start AS stop, CASE WHEN tgt_start >= 0 THEN 1 ELSE -1 END AS ori, abs(CASE WHEN tgt_start >= 0 THEN tgt_start ELSE tgt_stop END) AS low FROM aln")
@@ -82,8 +82,8 @@ def iv_slice(s, d):
 @query("SELECT o.id, greatest(o.start, m.lo) AS start, least(o.stop, m.hi) AS stop FROM iv_orders o JOIN (SELECT c_custkey AS seq, c_custkey % 1000 AS lo, c_custkey % 1000 + 900 AS hi FROM customer) m USING (seq) WHERE greatest(o.start, m.lo) < least(o.stop, m.hi)")
 def iv_filter_mask(s, d):
     m = v.t(s, d, "customer").select(C("c_custkey").alias("seq"), (C("c_custkey") % 1000).alias("lo"), (C("c_custkey") % 1000 + 900).alias("hi"))
-    x = v.iv_orders(s, d).join(m, "seq").select("id", iv.intersect(C("start"), C("stop"), C("lo"), C("hi")).alias("x"))
-    return x.where("x is not null").select("id", "x.*")
+    twice = m.unionByName(m.withColumn("lo", C("lo") - 50)).withColumnsRenamed({"lo": "low", "hi": "high"})  # of two masks the last stands
+    return overlap.masked(v.iv_orders(s, d), twice, order="low").select("id", "start", "stop")
 
 
 # --- sequences
@@ -123,8 +123,8 @@ def seq_six_frames(s, d):
 
 @query("SELECT edge, count(*) AS n FROM (SELECT substr(seq, i, 2) AS edge FROM (SELECT seq, unnest(range(1, length(seq))) AS i FROM seqs)) GROUP BY edge")
 def seq_letter_edges(s, d):
-    i = F.explode(F.sequence(F.lit(1), F.length("seq") - 1)).alias("i")
-    return v.seqs(s, d).where("length(seq) > 1").select("seq", i).groupBy(F.expr("substring(seq, i, 2)").alias("edge")).agg(F.count("*").alias("n"))
+    pairs = v.seqs(s, d).select(F.explode(sq.letters(C("seq"))).alias("x")).where("x.next is not null")
+    return pairs.groupBy(F.concat("x.letter", "x.next").alias("edge")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, list_sum(list_transform(range(1, n + 1), lambda i: CASE WHEN substr(seq, i, 1) = substr(seq, length(seq) - i + 1, 1) THEN 1 ELSE 0 END))::INTEGER AS same FROM (SELECT *, length(seq) AS n FROM seqs)")
@@ -166,10 +166,7 @@ _TWO = "SELECT a.src, b.src AS tgt, a.start + greatest(a.tgt_start, b.tgt_start)
 def jn_two_hop(s, d):
     """Sources over the targets that they share; an interval does not meet itself."""
     a = v.aln(s, d).select("src", "start", C("tgt").alias("axis"), C("tgt_start").alias("low"), C("tgt_stop").alias("high"))
-    x = overlap.overlap_join(a, a, "axis", "low", "high").where((C("l_low") >= 0) == (C("r_low") >= 0))
-    c = iv.intersect(C("l_low"), C("l_high"), C("r_low"), C("r_high"))
-    x = x.select(C("l_src").alias("src"), C("r_src").alias("tgt"), (C("l_start") + c["start"] - C("l_low")).alias("start"), (C("r_start") + c["start"] - C("r_low")).alias("tgt_start"), (c["stop"] - c["start"]).alias("size"))
-    return x.where("not (src = tgt and start = tgt_start)")
+    return al.two_hop(a, a)
 
 
 @query("SELECT q.src, q.start AS q_start, a.tgt, greatest(q.start, a.start) AS start, least(q.stop, a.stop) AS stop, a.tgt_start + greatest(q.start, a.start) - a.start AS tgt_start, a.tgt_stop + least(q.stop, a.stop) - a.stop AS tgt_stop FROM (SELECT s_suppkey AS src, 3000 AS start, 3100 AS stop FROM supplier UNION ALL SELECT s_suppkey, 4000, 4050 FROM supplier) q JOIN aln a ON a.src = q.src AND a.start < q.stop AND q.start < a.stop")
@@ -201,19 +198,18 @@ def jn_graph_view(s, d):
 
 @query("SELECT r_name, n_name FROM region JOIN nation ON r_regionkey = n_regionkey")
 def jn_foreign_key(s, d):
-    return v.t(s, d, "region").join(v.t(s, d, "nation"), C("r_regionkey") == C("n_regionkey")).select("r_name", "n_name")
+    return tables.foreign_key(v.t(s, d, "region"), v.t(s, d, "nation"), "r_regionkey", "n_regionkey").select("r_name", "n_name")
 
 
 @query("SELECT c_custkey, n_name FROM (SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer) LEFT JOIN nation ON k = n_nationkey")
 def jn_foreign_key_inverse(s, d):
     c = v.t(s, d, "customer").select("c_custkey", F.nullif(C("c_nationkey"), F.lit(3)).alias("k"))
-    return c.join(v.t(s, d, "nation"), C("k") == C("n_nationkey"), "left").select("c_custkey", "n_name")
+    return tables.parents_of(c, v.t(s, d, "nation"), "k", "n_nationkey").select("c_custkey", "n_name")
 
 
 @query("SELECT a.s_suppkey, b.s_suppkey AS other FROM supplier a JOIN supplier b USING (s_nationkey)")
 def jn_cluster(s, d):
-    x = v.t(s, d, "supplier").select("s_nationkey", "s_suppkey")
-    return x.join(x.withColumnRenamed("s_suppkey", "other"), "s_nationkey").select("s_suppkey", "other")
+    return tables.cluster_pairs(v.t(s, d, "supplier"), "s_nationkey", "s_suppkey").select("s_suppkey", "other")
 
 
 @query("SELECT part, min(id) AS id FROM (SELECT DISTINCT id, upper(unnest(string_split(id, '|'))) AS part FROM (SELECT p_name || '|' || p_brand || '|p' || p_partkey AS id FROM part)) WHERE part <> '' GROUP BY part HAVING count(*) = 1")
@@ -229,13 +225,13 @@ def jn_adjacent(s, d):
 
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 def jn_semi_exists(s, d):
-    return v.t(s, d, "customer").join(v.t(s, d, "orders"), C("c_custkey") == C("o_custkey"), "left_semi").select("c_custkey")
+    return tables.existing(v.t(s, d, "customer").select("c_custkey"), "c_custkey", v.t(s, d, "orders"), "o_custkey")
 
 
 @query("SELECT o_orderkey, l_linenumber FROM orders JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) ON o_orderkey = l_orderkey AND l_linenumber >= 2 AND l_linenumber <= 2 + o_orderkey % 3")
 def jn_range_in_sql(s, d):
     lines = v.t(s, d, "lineitem").select("l_orderkey", "l_linenumber").distinct()
-    return v.t(s, d, "orders").join(lines, (C("o_orderkey") == C("l_orderkey")) & C("l_linenumber").between(2, 2 + C("o_orderkey") % 3)).select("o_orderkey", "l_linenumber")
+    return tables.ranged(v.t(s, d, "orders"), lines, "o_orderkey", "l_orderkey", "l_linenumber", F.lit(2), 2 + C("o_orderkey") % 3).select("o_orderkey", "l_linenumber")
 
 
 @query("SELECT o.id, e.id AS ann_id, greatest(e.start, o.start) - e.start AS ann_start, least(e.stop, o.stop) - e.start AS ann_stop FROM iv_orders o JOIN iv_events e ON o.seq = e.seq AND o.start < e.stop AND e.start < o.stop")
@@ -250,7 +246,7 @@ def jn_annotation(s, d):
 
 @query("SELECT src, count(DISTINCT (tgt, tgt_start < 0)) AS n FROM aln GROUP BY src")
 def ag_distinct_targets(s, d):
-    return v.aln(s, d).groupBy("src").agg(F.countDistinct("tgt", C("tgt_start") < 0).alias("n"))
+    return al.target_count(v.aln(s, d))
 
 
 _ORDERED = "FROM (SELECT *, row_number() OVER w AS up, row_number() OVER z AS down, count(*) OVER (PARTITION BY src, tgt) AS n FROM aln WINDOW w AS (PARTITION BY src, tgt ORDER BY start, stop DESC, tgt_start, tgt_stop), z AS (PARTITION BY src, tgt ORDER BY start DESC, stop, tgt_start DESC, tgt_stop DESC))"
@@ -321,8 +317,7 @@ def ra_page(s, d):
 
 @query("SELECT c_custkey, n FROM (SELECT o_custkey AS c_custkey, o_orderkey AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) WHERE k <= 3")
 def ra_top_hits(s, d):
-    line = Window.partitionBy("c_custkey").orderBy("n")
-    return v.t(s, d, "orders").select(C("o_custkey").alias("c_custkey"), C("o_orderkey").alias("n")).withColumn("k", F.row_number().over(line)).where("k <= 3").drop("k")
+    return tables.top(v.t(s, d, "orders").select(C("o_custkey").alias("c_custkey"), C("o_orderkey").alias("n")), "c_custkey", "n", 3)
 
 
 @query("SELECT c_custkey FROM (SELECT c_custkey, nullif(c_nationkey, 3) AS k, c_mktsegment FROM customer) WHERE k IS NULL AND c_mktsegment = 'BUILDING'")
@@ -345,7 +340,7 @@ def tb_update_delete(s, d):
 
 @query("SELECT p_partkey, upper(p_brand) || '/' || p_size AS label FROM part")
 def tb_alias(s, d):
-    return v.t(s, d, "part").withColumn("label", F.expr("concat(upper(p_brand), '/', p_size)")).select("p_partkey", "label")
+    return tables.aliased(v.t(s, d, "part"), label="concat(upper(p_brand), '/', p_size)").select("p_partkey", "label")
 
 
 @query("SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey")
