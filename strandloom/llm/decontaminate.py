@@ -179,6 +179,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     its words; items without words match nothing.  One result row for each document row
     and item, with the most similar window, the first of equals; repeated document rows and
     repeated items are all returned.  Null texts are empty; null ids are carried along.
+    Empty tables on either side give no rows; other columns are not read.
     The benchmark may be of any size: it is searched for in blocks of ``block_bytes``.
     """
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType
@@ -204,7 +205,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 23, block_bytes: int = 8 << 20) -> DataFrame:
-    """``docs``, all columns, without the rows that :func:`leaks` reports.  No shuffle."""
+    """``docs``, all columns, without the rows that :func:`leaks` reports.  No shuffle.
+
+    Rows are judged by their texts alone, so ids may be null or repeated; an empty benchmark drops nothing.
+    """
     out = docs
     for index in _indexes(benchmark, item_col, item_text, shingle, similarity, radius, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(index)

@@ -425,7 +425,7 @@ def _digest(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 23, bands: int = 20, rows: int = 5, slab: int = 1024) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 23, bands: int = 20, rows: int = 5, slab: int = 256) -> DataFrame:
     """(id, digest, least, least_digest) for every distinct id and text: the smallest of its group of near-duplicates.
 
     Texts are linked if the Jaccard similarity of their sets of ``shingle``-word shingles is
