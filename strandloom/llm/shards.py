@@ -1,7 +1,8 @@
 """Token ids in training order: fixed-stride binary shards.
 
 Texts are encoded by byte-level BPE, here by the tiktoken library, whose ids the encoder of
-:mod:`strandloom.llm.bpe` equals at several times the cost.  An id after the vocabulary's last ends a document and
+:mod:`strandloom.llm.bpe` equals at several times the cost; texts that it cannot match go
+to that encoder.  An id after the vocabulary's last ends a document and
 one more fills the last sequence of a partition.  A partition's documents are one stream,
 cut into sequences of equal length, which are kept in a table, numbered within the
 partition.  When all are there, their number is known; they are numbered densely,
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from strandloom.llm.bpe import read_ranks
+from strandloom.llm.bpe import codec, read_ranks
 from strandloom.llm.common import Scratch
 from strandloom.llm.textkernel import slices
 
@@ -132,10 +133,16 @@ def write(docs: DataFrame, folder: str, key: int, vocabulary: str, pattern: str,
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, first, pack = _encoding(shared.value, pattern), TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=3)
 
+        def encode(text: str) -> np.ndarray:
+            try:
+                return own.encode_to_numpy(text, disallowed_special=())
+            except ValueError:  # the library's pattern matching gives up, as at very much white space; the ids are the same
+                return np.frombuffer(codec(shared.value, pattern).encode(text), "<u4")
+
         def encoded() -> Iterator[tuple[list, list[np.ndarray]]]:
             for batch in batches:
                 for at, texts in slices(batch, "text"):
-                    tokens = [np.append(own.encode_to_numpy(t.decode(), disallowed_special=()), eos).astype(dtype) for t in texts]
+                    tokens = [np.append(encode(t.decode()), eos).astype(dtype) for t in texts]
                     yield batch.column(0).slice(at, len(texts)).to_pylist(), tokens
 
         for block, within in _cut(encoded(), length, pad, dtype):
