@@ -32,6 +32,11 @@ def build(rows: DataFrame, seqs: DataFrame | None = None, strict: bool = True) -
     return out.select(rows.columns)
 
 
+def contains(annotations: DataFrame, ids: DataFrame) -> DataFrame:
+    """``ids(id)`` with ``known``: whether there is an annotation of that id."""
+    return ids.join(annotations.select("id", F.lit(True).alias("known")).distinct(), "id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
 def slice_of(start: Column, stop: Column, low: Column, high: Column) -> Column:
     """Where ``[low:high]`` of an annotation, in its own direction, lies on its sequence."""
     return iv.pair(start + low, F.least(start + high, stop))

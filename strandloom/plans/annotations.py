@@ -115,3 +115,20 @@ def an_frame_proteins(s, d):
     q = _seqs(s, d)
     own = an.frames(q).join(q, "seq_id")
     return own.select(C("seq_id").alias("doc_id"), "frame", F.length("seq").cast("long").alias("letters"), F.length(sq.translated_slice(C("seq"), C("start"), C("stop"))).cast("long").alias("codons"))
+
+
+@query(f"SELECT id, id IN (SELECT id FROM {_SIGNED}) AS known FROM (SELECT o_orderkey AS id FROM orders UNION ALL SELECT -1)")
+def an_contains(s, d):
+    """Which ids have an annotation, and which not."""
+    found = an.build(_given(s, d), _seqs(s, d), strict=False)
+    ids = v.t(s, d, "orders").select(C("o_orderkey").alias("id")).union(s.createDataFrame([(-1,)], "id long"))
+    return an.contains(found, ids)
+
+
+@query(f"WITH {_WORDS}, met AS (SELECT a.doc_id AS src, b.doc_id AS tgt, a.pos, b.pos - a.pos AS diagonal FROM w a JOIN w b ON a.word = b.word AND a.doc_id <> b.doc_id WHERE a.doc_id % 20 = 0 AND a.pos >= 100 AND a.word IN (SELECT word FROM w GROUP BY word HAVING count(*) <= 50)) SELECT src, min(pos) AS start, max(pos) + 14 AS stop, tgt, min(pos) + diagonal AS tgt_start, max(pos) + 14 + diagonal AS tgt_stop FROM (SELECT *, pos - row_number() OVER (PARTITION BY src, tgt, diagonal ORDER BY pos) AS run FROM met) GROUP BY src, tgt, diagonal, run")
+def hm_masked_seeds(s, d):
+    """The same search with the first hundred letters of each query masked as repeats."""
+    q = _seqs(s, d)
+    span = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.least(F.length("seq"), F.lit(100)).cast("long").alias("stop")))
+    queries = q.where("seq_id % 20 = 0").withColumn("seq", sq.soft_masked(C("seq"), span))
+    return blast.seeds(queries, q, 14, 50, masked=True).where("src <> tgt")

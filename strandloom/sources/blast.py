@@ -136,11 +136,13 @@ def program(query_type: Column, database_type: Column) -> Column:
     return F.when(query & database, "blastp").when(query, "tblastn").when(database, "blastx").otherwise("blastn")
 
 
-def seeds(queries: DataFrame, targets: DataFrame, k: int = 12, most: int = 1000) -> DataFrame:
+def seeds(queries: DataFrame, targets: DataFrame, k: int = 12, most: int = 1000, masked: bool = False) -> DataFrame:
     """(src, start, stop, tgt, tgt_start, tgt_stop): the longest stretches in which ``queries(seq_id, seq)`` and ``targets`` have the same ``k`` letters after each other.
 
     A search without gaps and on one strand, in place of an external program.  Words that
-    the targets have more than ``most`` times are repeats and start no stretch.
+    the targets have more than ``most`` times are repeats and start no stretch.  With
+    ``masked`` so are words with a lower-case letter in the query, as
+    :func:`strandloom.functions.sequences.soft_masked` leaves them; case does not count else.
     """
 
     def words(seqs: DataFrame, name: str) -> DataFrame:
@@ -148,6 +150,8 @@ def seeds(queries: DataFrame, targets: DataFrame, k: int = 12, most: int = 1000)
         return seqs.where(F.length("seq") >= k).select(F.col("seq_id").alias(name), "seq", at).select(name, F.expr(f"substring(seq, i, {k})").alias("word"), (F.col("i") - 1).cast("long").alias(f"{name}_at"))
 
     own, other = words(queries, "src"), words(targets, "tgt")
+    own = own.where(F.col("word") == F.upper("word")) if masked else own
+    own, other = (x.withColumn("word", F.upper("word")) for x in (own, other))
     rare = other.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("word")
     both = own.join(other.join(rare, "word", "left_semi"), "word").select("src", "tgt", "src_at", (F.col("tgt_at") - F.col("src_at")).alias("diagonal"))
     line = F.row_number().over(Window.partitionBy("src", "tgt", "diagonal").orderBy("src_at"))
