@@ -467,7 +467,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pairs = pairs.where(near).select("a", "b", F.col("weight_b").alias("weight"), _agreement(F.col("sketch_a"), F.col("sketch_b")).alias("alike")).where(F.col("alike") >= agree)
     likest = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("alike"), "a"))  # of as many as there are bands at most
     pairs = scratch.save(pairs.withColumn("k", likest).where("k <= 2").select("a", "b", "weight"))
-    edges = scratch.save(_starred(pairs, texts, shingle, similarity, slab))
+    edges = scratch.save(_starred(pairs, texts, shingle, similarity, max(1, slab // 4)))
     scratch.drop(pairs)
     roots = components(edges, scratch)
     more = scratch.save(_across(met.select("key", "node", "weight"), nodes, texts, roots, radius, agree, shingle, similarity, slab, scratch))
