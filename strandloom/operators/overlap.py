@@ -35,11 +35,6 @@ def _level(size: Column, width: int, step: int, levels: int) -> Column:
     return reduce(Column.__add__, [(size > width * step**k).cast("int") for k in range(levels - 1)], F.lit(0))
 
 
-def _bins(side: str, size: Column) -> Column:
-    low, high = F.col(f"{side}_abs_low"), F.col(f"{side}_abs_high")
-    return F.sequence(F.floor(low / size), F.floor((high - 1) / size))
-
-
 def overlap_join(left: DataFrame, right: DataFrame, seq: str = "seq", start: str = "start", stop: str = "stop", width: int = 64, step: int = 16, levels: int = 7) -> DataFrame:
     """Every pair of rows whose intervals overlap on the forward strand; columns are prefixed ``l_`` and ``r_``.
 
@@ -47,27 +42,31 @@ def overlap_join(left: DataFrame, right: DataFrame, seq: str = "seq", start: str
     strand of the left one, as ``hit_start`` and ``hit_stop``.  Null sequences and bounds
     and empty intervals meet nothing.
     """
-    a, b = _sided(left, "l_", seq, start, stop), _sided(right, "r_", seq, start, stop)
-    a, b = (x.withColumn(f"{s}_level", _level(F.col(f"{s}_abs_high") - F.col(f"{s}_abs_low"), width, step, levels)) for x, s in ((a, "l_"), (b, "r_")))
-    widths = F.array(*[F.lit(width * step**k) for k in range(levels)])
-    found = [x.agg(F.coalesce(F.bit_or(F.call_function("shiftleft", F.lit(1), f"{s}_level")), F.lit(0))).scalar() for x, s in ((a, "l_"), (b, "r_"))]  # a bit for each level
-    has = lambda mask, k: mask.bitwiseAND(F.call_function("shiftleft", F.lit(1), k)) != 0
-    keep = [f"l_{c}" for c in left.columns] + [f"r_{c}" for c in right.columns]
+    sides = {"l_": _sided(left, "l_", seq, start, stop), "r_": _sided(right, "r_", seq, start, stop)}
+    widths, shift = F.array(*[F.lit(width * step**k) for k in range(levels)]), lambda n: F.call_function("shiftleft", F.lit(1), n)
+    levelled = {s: x.withColumn(f"{s}_level", _level(F.col(f"{s}_abs_high") - F.col(f"{s}_abs_low"), width, step, levels)) for s, x in sides.items()}
+    found = {s: x.agg(F.coalesce(F.bit_or(shift(F.col(f"{s}_level"))), F.lit(0))).scalar() for s, x in levelled.items()}  # a bit for each level
+    placed = {}
+    for own, other in (("l_", "r_"), ("r_", "l_")):
+        mine, level, code = F.col(f"{own}_level"), F.col(f"{own}_at"), f"{own}_code"
+        asked = found[other].bitwiseAND(shift(level)) != 0
+        rows = levelled[own].withColumn(f"{own}_at", F.explode(F.sequence(mine, F.lit(levels - 1)))).where((level == mine) | asked)
+        if own == "l_":  # which of the two meetings a row is in: the left is stored (0), or the right (1)
+            rows = rows.withColumn("_turn", (level > mine).cast("int"))
+        else:
+            narrower = found[other].bitwiseAND(shift(mine) - 1) != 0
+            rows = rows.withColumn("_turn", F.explode(F.when((level == mine) & narrower, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+        size = F.element_at(widths, level + 1)
+        low, high = F.col(f"{own}_abs_low"), F.col(f"{own}_abs_high")
+        rows = rows.withColumn("_bin", F.explode(F.sequence(F.floor(low / size), F.floor((high - 1) / size))))
+        placed[own] = rows.withColumn(code, F.col("_bin") * (2 * levels) + level * 2 + F.col("_turn")).drop("_turn", "_bin", f"{own}_level")
+    x, y = placed["l_"], placed["r_"].drop("r__at")
+    first = F.floor(F.greatest("l__abs_low", "r__abs_low") / F.element_at(widths, F.col("l__at") + 1)) == F.floor(F.col("l__code") / (2 * levels))
     meet = iv.overlaps(F.col("l__abs_low"), F.col("l__abs_high"), F.col("r__abs_low"), F.col("r__abs_high"))
-    parts = []
-    for own, other, of, ask, have, seeks, wider in (("l_", "r_", a, b, found[0], found[1], False), ("r_", "l_", b, a, found[1], found[0], True)):
-        mine, theirs = F.col(f"{own}_level"), F.col(f"{other}_level")
-        # Rows that no level of the other side can answer go no further.
-        below = F.call_function("shiftleft", F.lit(1 if wider else 2), mine) - 1
-        stored = of.where(seeks.bitwiseAND(below) != 0).withColumn("level", mine).withColumn("bin", F.explode(_bins(own, F.element_at(widths, mine + 1))))
-        asking = ask.withColumn("level2", F.explode(F.sequence(theirs + int(wider), F.lit(levels)))).where((F.col("level2") < levels) & has(have, F.col("level2")))
-        asking = asking.withColumn("bin2", F.explode(_bins(other, F.element_at(widths, F.col("level2") + 1))))
-        keys = (F.col(f"l_{seq}") == F.col(f"r_{seq}")) & (F.col("level") == F.col("level2")) & (F.col("bin") == F.col("bin2"))
-        owner = F.floor(F.greatest("l__abs_low", "r__abs_low") / F.element_at(widths, F.col("level") + 1)) == F.col("bin")
-        both = (stored, asking) if own == "l_" else (asking, stored)
-        parts.append(both[0].join(both[1], keys & owner & meet).select(*keep))
+    out = x.join(y, (F.col(f"l_{seq}") == F.col(f"r_{seq}")) & (F.col("l__code") == F.col("r__code")) & first & meet)
     hit = iv.oriented(F.col(f"r_{start}"), F.col(f"r_{stop}"), F.col(f"l_{start}"))
-    return parts[0].union(parts[1]).select(*keep, hit["start"].alias("hit_start"), hit["stop"].alias("hit_stop"))
+    keep = [f"l_{c}" for c in left.columns] + [f"r_{c}" for c in right.columns]
+    return out.select(*keep, hit["start"].alias("hit_start"), hit["stop"].alias("hit_stop"))
 
 
 def clipped(joined: DataFrame, start: str = "start", stop: str = "stop") -> DataFrame:
