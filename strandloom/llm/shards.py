@@ -131,7 +131,7 @@ def write(docs: DataFrame, folder: str, key: int, vocabulary: str, pattern: str,
     batch_type = to_arrow_type(docs.schema[id_col].dataType)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, first, pack = _encoding(shared.value, pattern), TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=3)
+        own, part, first, pack = _encoding(shared.value, pattern), TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=7)
 
         def encode(text: str) -> np.ndarray:
             try:
@@ -160,7 +160,7 @@ def write(docs: DataFrame, folder: str, key: int, vocabulary: str, pattern: str,
     starts = spark.sparkContext.broadcast(begin)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
+        pack = zstandard.ZstdCompressor(level=7)
         for batch in batches:
             for part, first, ids, data in zip(*(c.to_pylist() for c in batch.columns)):
                 block = np.frombuffer(zstandard.decompress(data), dtype).reshape(-1, length)
