@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.textkernel import slices
 
-_CACHE, _CACHED_BYTES, _PAIRS = 200_000, 64, 200_000
+_CACHE, _CACHED_BYTES, _PAIRS = 400_000, 64, 200_000
 _GAPS = regex.compile(r"\s{2,}")
 
 
