@@ -32,7 +32,7 @@ _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SKETCH = 256  # places of a sketch, two bits each
 _PAIRS = 0x5555555555555555  # the lower bit of each place
-_RUN_ROWS, _RUN_BYTES = 50_000, 24 << 20
+_RUN_ROWS, _RUN_BYTES = 50_000, 6 << 20
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
