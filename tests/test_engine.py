@@ -73,6 +73,13 @@ def test_overlap_join_is_all_pairs(spark):
     assert sorted((x.l_id, x.r_id) for x in got.collect()) == want
 
 
+def test_overlap_join_of_one_long_sequence(spark):
+    """Many intervals that each meet only themselves, and a few long ones: no key is met by all."""
+    d = spark.range(60_000).select(F.lit("s").alias("seq"), "id", (F.col("id") * 100).alias("start"), (F.col("id") * 100 + F.when(F.col("id") % 20_000 == 7, 250_000).otherwise(60)).alias("stop"))
+    long = overlap.overlap_join(d, d).where("l_id % 20000 = 7").groupBy("l_id").count().collect()
+    assert overlap.overlap_join(d, d).count() == 60_000 + 2 * 3 * 2499 and {r["count"] for r in long} == {2500}
+
+
 def test_merging_by_gaps(spark):
     aln = spark.createDataFrame([("s", 0, 5, "t", 0, 5), ("s", 6, 9, "t", 6, 9), ("s", 40, 50, "t", 40, 50), ("s", 41, 43, "t", 41, 43)], "src string, start long, stop long, tgt string, tgt_start long, tgt_stop long")
     got = sorted((r.start, r.stop, r.n) for r in alignment.merged(aln, 2, 2, -10).collect())
