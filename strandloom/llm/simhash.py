@@ -27,7 +27,7 @@ from strandloom.llm.common import Scratch
 from strandloom.llm.components import components
 from strandloom.llm.textkernel import NONSPACE, Words, payloads, simhash, slices, xxh64
 
-_CHUNK = 1 << 17
+_CHUNK, _BLOCKS = 1 << 17, 1 << 14
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SKETCH = 256  # places of a sketch, two bits each
@@ -56,8 +56,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fingerprint long").withColumnRenamed("id", id_col)
 
 
-def close_pairs(prints: np.ndarray, run: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs ``i < j`` of the same ``run`` (ids in order) whose prints differ in ``radius`` bits at most."""
+def close_pairs(prints: np.ndarray, run: np.ndarray, radius: int, asks: np.ndarray | bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs ``i < j`` of the same ``run`` (ids in order) whose prints differ in ``radius`` bits at most, and of which ``i`` is one that ``asks``."""
     n = len(prints)
     if n < 2:
         return
@@ -65,7 +65,7 @@ def close_pairs(prints: np.ndarray, run: np.ndarray, radius: int) -> Iterator[tu
     bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     planes = np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
     stop = np.searchsorted(run, run, "right")
-    probe = np.flatnonzero(stop > np.arange(n) + 1)
+    probe = np.flatnonzero((stop > np.arange(n) + 1) & asks)
     words = (stop[probe] - 1) // 64 - (probe + 1) // 64 + 1
     ends = np.cumsum(words)
     at = 0
@@ -89,8 +89,9 @@ def close_pairs(prints: np.ndarray, run: np.ndarray, radius: int) -> Iterator[tu
                     break
                 if 4 * len(live) < 3 * len(i):
                     i, w, open_, counters = i[live], w[live], open_[live], [c[live] for c in counters]
-        live = np.flatnonzero(open_)
-        if len(live):
+        found = np.flatnonzero(open_)
+        for piece in range(0, len(found), _BLOCKS):
+            live = found[piece : piece + _BLOCKS]
             block, lane = np.nonzero(np.unpackbits(open_[live].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
             a, b = i[live][block], 64 * w[live][block] + lane
             near = np.bitwise_count(prints[a] ^ prints[b]) <= radius
@@ -247,10 +248,10 @@ def _minima(hashes: np.ndarray, first: np.ndarray, bands: int, rows: int) -> tup
 
 
 def _features(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """(id, digest, same, same2, weight, fingerprint, bands, sketch) of ``docs(id, digest, text)``.
+    """(id, digest, same, same2, weight, size, fingerprint, bands, sketch) of ``docs(id, digest, text)``.
 
     ``same`` and ``same2`` are two hashes of the words of the text, ``weight`` grows with
-    their number; the fingerprint is that of the distinct shingles.  Texts without words
+    their number; ``size`` is the number of distinct shingles, the fingerprint is that of the distinct shingles.  Texts without words
     have no band keys and no sketch.
     """
 
@@ -269,10 +270,10 @@ def _features(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame
                 lists = [pa.ListArray.from_arrays(pa.array(ends * np.int32(x.shape[1])), pa.array(x.view(np.int64).ravel())) for x in (keys, sketches)]
                 weight = pa.array((1 + np.diff(words.first) // 512).astype(np.int64))
                 numbers = [pa.array(x.view(np.int64)) for x in same]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), *numbers, weight, pa.array(simhash(hashes, first).view(np.int64)), *lists], ["id", "digest", "same", "same2", "weight", "fingerprint", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), *numbers, weight, pa.array(np.diff(first).astype(np.int64)), pa.array(simhash(hashes, first).view(np.int64)), *lists], ["id", "digest", "same", "same2", "weight", "size", "fingerprint", "bands", "sketch"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "digest", "text").mapInArrow(run, f"id {kind}, digest binary, same long, same2 long, weight long, fingerprint long, bands array<long>, sketch array<long>")
+    return docs.select("id", "digest", "text").mapInArrow(run, f"id {kind}, digest binary, same long, same2 long, weight long, size long, fingerprint long, bands array<long>, sketch array<long>")
 
 
 def _agreement(a: Column, b: Column) -> Column:
@@ -336,25 +337,25 @@ def _starred(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
     return _grouped(rows).mapInArrow(lambda batches: _runs(batches, compare), "a long, b long")
 
 
-def _grouped(rows: DataFrame) -> DataFrame:
-    return rows.repartition("key", "s", "t").sortWithinPartitions("key", "s", "t")
+def _grouped(rows: DataFrame, *order: Column) -> DataFrame:
+    return rows.repartition("key", "s", "t").sortWithinPartitions("key", "s", "t", *order)
 
 
 def _candidates(table: pa.Table, run: np.ndarray, radius: int, agree: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(i, j, agreement, root of each row): pairs of one group within ``radius``, of different roots, whose sketches agree in ``agree`` places.
 
-    The root that most of a key's rows have is asked from outside only: every pair of
-    different roots has an end that is not of it.  A pair is given in the first band that
-    it shares, and there in one group of slabs.
+    Only rows from outside ask, which come first in a group: every pair of different roots
+    has an end that is not of the root that most of a key's rows have.  A pair is given in
+    the first band that it shares, and there in one group of slabs.
     """
     prints = table["fingerprint"].to_numpy().view(np.uint64)
     root = np.unique(table["root"].to_numpy(), return_inverse=True)[1]
-    outside, key, mine = (table[c].to_numpy() for c in ("outside", "key", "mine"))
+    outside, key, mine, size, cap = (table[c].to_numpy() for c in ("outside", "key", "mine", "size", "cap"))
     one = table["s"].to_numpy() == table["t"].to_numpy()
     bands, sketches = (pa.compute.list_flatten(table[c].combine_chunks()).to_numpy().reshape(len(key), -1) for c in ("bands", "sketch"))
     sketches = sketches.view(np.uint64)
-    for i, j in close_pairs(prints, run, radius):
-        asked = (root[i] != root[j]) & (outside[i] | outside[j]) & (one[i] | (mine[i] != mine[j]))
+    for i, j in close_pairs(prints, run, radius, outside):
+        asked = (root[i] != root[j]) & (one[i] | (mine[i] != mine[j])) & (size[j] <= cap[i]) & (size[i] <= cap[j])
         i, j = i[asked], j[asked]
         for at in range(0, len(i), 1 << 14):
             a, b = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
@@ -365,20 +366,77 @@ def _candidates(table: pa.Table, run: np.ndarray, radius: int, agree: int) -> It
             yield a[here], b[here], alike[here], root
 
 
+def _apart(rows: DataFrame) -> DataFrame:
+    """The rows of every ``key`` whose rows have several ``root``."""
+    ends = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    return rows.join(ends.where("low < high").select("key"), "key")
+
+
+def _own(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, own): how many shingles of a text are in no other of ``texts(node, text)``; none: no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, part in slices(batch, "text"):
+                words = Words(part, NONSPACE)
+                start, size, first = words.shingles(shingle)
+                hashes, first = _distinct(xxh64(words.norm, start, size), first)
+                node = np.repeat(batch.column(0).slice(at, len(part)).to_numpy(), np.diff(first))
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(hashes.view(np.int64))], ["node", "hash"])
+
+    hashes = texts.select("node", "text").mapInArrow(run, "node long, hash long")
+    return hashes.groupBy("hash").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count("*").alias("own"))
+
+
+def _able(open_: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``open_`` with ``size`` and ``cap``, without rows that nothing of their key can be similar to.
+
+    What a text shares with another is at most what it shares with all others together.
+    So only texts of up to ``cap`` shingles can be similar to it, and a text with enough
+    shingles of its own has no partner, of however many its key holds.
+    """
+    asked = open_.select("node").distinct()
+    own = _own(texts.join(asked, "node", "left_semi"), shingle)
+    shared = F.col("size") - F.coalesce("own", F.lit(0))
+    cap = F.floor(shared * ((1 + similarity) / similarity) + 1e-6) - F.col("size")
+    caps = nodes.select("node", "size").join(asked, "node", "left_semi").join(own, "node", "left").select("node", "size", cap.alias("cap"))
+    sized = open_.join(caps, "node")
+    least = sized.groupBy("key").agg(F.min("size").alias("least"))
+    return _apart(sized.join(least, "key").where("cap >= least").drop("least"))
+
+
+def _outside_first(rows: DataFrame, cost: Column, slab: int) -> DataFrame:
+    """The rows of every ``key`` in groups (key, s, t) in which each from ``outside`` meets every other of its key.
+
+    Outside are those that have not the root that most of a key's rows have.  They are dealt over slabs of ``slab``
+    by ``cost``, and so are the others, which go to the slabs from outside alone: where these are one slab, once.  A key
+    of up to ``slab`` is one group.
+    """
+    per = rows.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum(cost).alias("cost"))
+    split = per.groupBy("key").agg(F.max(F.struct("n", "root", "cost")).alias("main"), F.sum("cost").alias("cost"), F.count("*").alias("several")).where("several > 1")
+    inner, outer = F.ceil(F.col("main.cost") / slab).cast("int"), F.ceil((F.col("cost") - F.col("main.cost")) / slab).cast("int")
+    split = split.select("key", F.col("main.root").alias("main"), F.when(F.col("cost") > slab, inner).otherwise(0).alias("inner"), outer.alias("outer"))
+    at = F.xxhash64("node")
+    mine = F.when(F.col("outside") | (F.col("inner") == 0), F.pmod(at, "outer")).otherwise(F.col("outer") + F.pmod(at, "inner")).cast("int")
+    last = F.col("outer") - 1 + F.when(F.col("outside"), F.col("inner")).otherwise(0)
+    dealt = rows.join(split, "key").withColumn("outside", F.col("root") != F.col("main")).withColumn("mine", mine)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return dealt.select(*rows.columns, "outside", "mine", F.least("mine", "other").alias("s"), F.greatest("mine", "other").alias("t"))
+
+
 def _across(met: DataFrame, nodes: DataFrame, texts: DataFrame, roots: DataFrame, radius: int, agree: int, shingle: int, similarity: float, slab: int, scratch: Scratch) -> DataFrame:
     """(a, b): links between nodes of one key of ``met(key, node, weight)`` and of different ``roots``, a forest in each group.
 
-    Keys whose nodes have one root are done.  Of the others, groups of slabs first tell
-    which of their nodes have a candidate at all; only these have their texts sent.  No
-    pair leaves a group but a link that the group has not made before.
+    Keys whose nodes have one root are done, and so are nodes that share too few shingles
+    (see :func:`_able`).  Of the others, groups of slabs, of ``16 * slab`` rows without texts,
+    first tell which have a candidate at all; only these have their texts sent.  No pair
+    leaves a group but a link that the group has not made before.
     """
     rooted = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    per = rooted.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
-    split = per.groupBy("key").agg(F.max_by("root", "n").alias("main"), F.count("*").alias("several"), F.ceil(F.sum("weight") / slab).cast("int").alias("slabs")).where("several > 1").drop("several")
-    open_ = rooted.join(split, "key").select("key", "node", "root", (F.col("root") != F.col("main")).alias("outside"), "slabs")
-    dealt = open_.withColumn("mine", F.pmod(F.xxhash64("node"), "slabs").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slabs") - 1)))
-    dealt = dealt.select("key", F.least("mine", "other").alias("s"), F.greatest("mine", "other").alias("t"), "node", "root", "outside", "mine")
-    columns = dealt.columns
+    open_ = scratch.save(_apart(rooted))
+    able = scratch.save(_able(open_, nodes, texts, shingle, similarity))
+    scratch.drop(open_)
+    columns, kinds = able.columns, able.schema
 
     def ask(table: pa.Table, run: np.ndarray) -> Iterator[pa.RecordBatch]:
         wanted = np.zeros(len(run), bool)
@@ -387,7 +445,7 @@ def _across(met: DataFrame, nodes: DataFrame, texts: DataFrame, roots: DataFrame
         yield from table.select(columns).filter(pa.array(wanted)).combine_chunks().to_batches()
 
     def decide(table: pa.Table, run: np.ndarray) -> Iterator[pa.RecordBatch]:
-        sets, outside = _Sets(payloads(table["text"]), shingle, similarity), table["outside"].to_numpy()
+        sets = _Sets(payloads(table["text"]), shingle, similarity)
         up, found = np.arange(len(run)), []
 
         def find(x: int) -> int:
@@ -397,8 +455,6 @@ def _across(met: DataFrame, nodes: DataFrame, texts: DataFrame, roots: DataFrame
             return x
 
         for i, j, alike, root in _candidates(table, run, radius, agree):
-            turned = ~outside[i]
-            i, j = np.where(turned, j, i), np.where(turned, i, j)
             order = np.lexsort((-alike, i))
             i, j = i[order], j[order]
             cuts = np.append(np.flatnonzero(np.diff(i, prepend=-1)), len(i))
@@ -416,9 +472,11 @@ def _across(met: DataFrame, nodes: DataFrame, texts: DataFrame, roots: DataFrame
         yield _edges(table, found)
 
     features = nodes.select("node", "fingerprint", "bands", "sketch")
-    wanted = scratch.save(_grouped(dealt.join(features, "node")).mapInArrow(lambda batches: _runs(batches, ask), dealt.schema))
-    rows = wanted.join(features, "node").join(texts, "node")
-    return _grouped(rows).mapInArrow(lambda batches: _runs(batches, decide), "a long, b long")
+    asked = _grouped(_outside_first(able, F.lit(1), 16 * slab).join(features, "node"), F.desc("outside"))
+    wanted = scratch.save(asked.mapInArrow(lambda batches: _runs(batches, ask), kinds).dropDuplicates(["key", "node"]))
+    scratch.drop(able)
+    rows = _outside_first(wanted, F.col("weight"), slab).join(features, "node").join(texts, "node")
+    return _grouped(rows, F.desc("outside")).mapInArrow(lambda batches: _runs(batches, decide), "a long, b long")
 
 
 def _digest(text: Column) -> Column:
@@ -438,7 +496,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     First each text is held against the two likest of the first texts of its keys, a number
     of pairs linear in the texts.  Keys that are then not in one group have their texts
-    compared in slabs, all that are still apart.  Equal texts fall together first; an id
+    compared in slabs, all that are still apart and share enough shingles.  Equal texts fall together first; an id
     with several texts stands in the group of each.  Texts without words are equal to
     each other.  Null ids are left out.  ``digest`` is the MD5 of the text.
     """
@@ -446,7 +504,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), _digest(F.col(text_col)).alias("digest"), F.col(text_col).alias("text"))
     found = scratch.save(_features(named, shingle, bands, rows))
     least = F.struct("id", "digest")
-    classes = found.groupBy("same", "same2").agg(F.min(least).alias("least"), *(F.first(c).alias(c) for c in ("weight", "fingerprint", "bands", "sketch")))
+    classes = found.groupBy("same", "same2").agg(F.min(least).alias("least"), *(F.first(c).alias(c) for c in ("weight", "size", "fingerprint", "bands", "sketch")))
     nodes = scratch.save(classes.withColumn("node", F.monotonically_increasing_id()))  # written, so they stay
     found, every = scratch.save(found.select("id", "digest", "same", "same2")), found
     scratch.drop(every)

@@ -115,6 +115,37 @@ def test_similar_texts_keep_one_of_each_group(docs, none):
     assert simhash.keep_one(none).count() == 0
 
 
+def test_rows_of_the_similarity_join_grow_with_a_group(spark, monkeypatch):
+    """A group of near copies: linked ones, ones with many words of their own, some that are just apart, and copies of copies."""
+    grouped, counts = simhash._grouped, []
+
+    def counted(rows, *order):
+        counts[-1] += rows.count()
+        return grouped(rows, *order)
+
+    monkeypatch.setattr(simhash, "_grouped", counted)
+    for n in (100, 200):
+        r = random.Random(n)
+        base = [f"w{i}" for i in range(300)]
+
+        def copy(words, changes, low=150):
+            words = list(words)
+            for at in r.sample(range(low, low + 144, 6), changes):
+                words[at] = f"c{r.randrange(10**9)}"
+            return words
+
+        rows = [copy(base, 2, 6) for _ in range(n)] + [copy(base, 7) for _ in range(n)] + [copy(base, 5) for _ in range(10)]
+        rows += [copy(rows[n + i], 1) for i in range(5)]
+        r.shuffle(rows)
+        texts = [" ".join(x) for x in rows]
+        want = linked([shingles_of(t) for t in texts], similar)
+        assert len(set(want)) == n + 11
+        counts.append(0)
+        found = {x.id: x.least for x in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), slab=16).collect()}
+        assert found == dict(enumerate(want))
+    assert counts[1] <= 2.5 * counts[0], counts
+
+
 @pytest.mark.parametrize("radius", [1, 3, 5, 6])
 def test_bit_sliced_comparison(radius):
     r = np.random.default_rng(radius)
