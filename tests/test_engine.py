@@ -192,3 +192,16 @@ def test_queries_return_what_their_sql_does(spark):
         columns = sorted(out.columns)
         want = con.sql(registry.oracle_sql()[name]).project(", ".join(f'"{c}"' for c in columns)).fetchall()
         assert sorted(map(repr, (tuple(r[c] for c in columns) for r in out.collect()))) == sorted(map(repr, want)), name
+
+
+def test_twins_are_matched_as_nodes(spark):
+    """Patterns over classes against the same over nodes, with loops, a class of several slabs and an id in no class's edges."""
+    r = random.Random(5)
+    twin = {i: r.randrange(5) for i in range(70)}
+    links = {(a, b) for a in range(4) for b in range(5) if r.random() < 0.4} | {(0, 0)}
+    members = spark.createDataFrame([*twin.items(), (None, 1), (3, twin[3])], "id long, twin long")
+    edges = spark.createDataFrame(sorted(links), "src long, dst long")
+    whole = Graph.of(spark.createDataFrame([(a, b) for a in twin for b in twin if (twin[a], twin[b]) in links], "src long, dst long"))
+    for query in ({0: {1: None, 2: None}, 1: {2: None}, 2: {}}, {0: {1: None}, 1: {0: None}}):
+        got, want = pattern.match_twins(members, edges, query), pattern.match(whole, query, edges=False)
+        assert got.count() == want.count() > 0 and not got.select(sorted(got.columns)).exceptAll(want.select(sorted(want.columns))).head(1)
