@@ -205,3 +205,20 @@ def test_twins_are_matched_as_nodes(spark):
     for query in ({0: {1: None, 2: None}, 1: {2: None}, 2: {}}, {0: {1: None}, 1: {0: None}}):
         got, want = pattern.match_twins(members, edges, query), pattern.match(whole, query, edges=False)
         assert got.count() == want.count() > 0 and not got.select(sorted(got.columns)).exceptAll(want.select(sorted(want.columns))).head(1)
+
+
+def test_splices_are_shuffled_as_groups(spark):
+    """Every exon to every other over every splice, nulls and repeats included; what is shuffled does not grow as the rows do."""
+    from strandloom.operators.graph import splice_graph
+
+    rows = [("c", i if i else None, 0, 5) for i in range(50)] + [("c", 100 + i, 20, 25) for i in range(45)] + [("c", 100, 20, 25), (None, 7, 0, 5)]
+    exons = spark.createDataFrame(rows, "cluster string, exon long, start long, stop long")
+    splices = spark.createDataFrame([("c", n, 5, 20) for n in (1, 2, 2, None)], "cluster string, splice long, start long, stop long")
+    after, alt5, alt3 = splice_graph(exons, splices)
+    want = sorted(map(repr, ((a[1], b[1], s) for a in rows[:50] for b in rows[50:96] for s in (1, 2, 2, None))))
+    assert sorted(map(repr, map(tuple, after.collect()))) == want
+    pairs = sorted((a[1], b[1]) for x in (rows[:50], rows[50:96]) for a in x for b in x if a[1] and b[1] and a[1] != b[1])
+    assert sorted(map(tuple, alt5.collect())) == pairs == sorted(map(tuple, alt3.collect()))
+    for found in (after, alt5, alt3):
+        top = found._jdf.queryExecution().optimizedPlan().toString()
+        assert top.index("Generate explode") < top.index("Join")  # the groups meet before they are taken apart
