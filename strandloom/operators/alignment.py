@@ -7,12 +7,15 @@ has negative coordinates.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from strandloom.functions import intervals as iv
 from strandloom.functions import sequences as sq
@@ -138,6 +141,23 @@ def merged_all(aln: DataFrame) -> DataFrame:
     return out.select("src", "tgt", F.col("a.start").alias("start"), (-F.col("b.z")).alias("stop"), F.col("a.tgt_start").alias("tgt_start"), F.col("b.tgt_stop").alias("tgt_stop"), "n")
 
 
+def _events(intervals: DataFrame, seq: list[str], member: str, start: str, stop: str, width: int) -> DataFrame:
+    """(seq, bin, pos, up, down, real): where members begin and end, each member's own overlaps as one; not ``real`` where only a bin's edge cuts.
+
+    One sort and no aggregate: an island is told at its last row.
+    """
+    told = intervals.where(F.col(start).isNotNull() & F.col(stop).isNotNull()).select(*seq, member, F.col(start).alias("start"), F.col(stop).alias("stop"))
+    own = Window.partitionBy(*seq, member).orderBy("start", "stop")
+    told = told.withColumns({"far": F.max("stop").over(own.rowsBetween(Window.unboundedPreceding, -1)), "next": F.lead("start").over(own)})
+    reach, new = F.greatest("far", "stop"), F.col("far").isNull() | (F.col("start") >= F.col("far"))
+    first = F.last(F.when(new, F.col("start")), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0))
+    flat = told.select(*seq, first.alias("start"), reach.alias("stop"), (F.col("next").isNull() | (F.col("next") >= reach)).alias("last")).where("last").drop("last")
+    cut = flat.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("stop") - 1) / width))))
+    low, high = F.greatest("start", F.col("bin") * width), F.least("stop", (F.col("bin") + 1) * width)
+    event = lambda pos, up, real: F.struct(pos.alias("pos"), F.lit(up).alias("up"), F.lit(1 - up).alias("down"), real.cast("int").alias("real"))
+    return cut.select(*seq, "bin", F.explode(F.array(event(low, 1, low == F.col("start")), event(high, 0, high == F.col("stop")))).alias("e")).select(*seq, "bin", "e.*")
+
+
 def _swept(intervals: DataFrame, seq: list[str], member: str, start: str, stop: str, width: int) -> DataFrame:
     """(seq, start, stop, depth, dip): stretches between neighbouring ends, with the members open there.
 
@@ -145,14 +165,7 @@ def _swept(intervals: DataFrame, seq: list[str], member: str, start: str, stop:
     sequence is swept in bins of ``width``, each with what is open where it begins, so a
     long one is many tasks; stretches that only a bin's edge parts are joined after.
     """
-    own = Window.partitionBy(*seq, member).orderBy(start, stop)
-    far = F.max(stop).over(own.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.coalesce((F.col(start) >= far).cast("int"), F.lit(1))).over(own)
-    flat = intervals.withColumn("island", island).groupBy(*seq, member, "island").agg(F.min(start).alias("start"), F.max(stop).alias("stop"))
-    cut = flat.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("stop") - 1) / width))))
-    low, high = F.greatest("start", F.col("bin") * width), F.least("stop", (F.col("bin") + 1) * width)
-    event = lambda pos, up, real: F.struct(pos.alias("pos"), F.lit(up).alias("up"), F.lit(1 - up).alias("down"), real.cast("int").alias("real"))
-    events = cut.select(*seq, "bin", F.explode(F.array(event(low, 1, low == F.col("start")), event(high, 0, high == F.col("stop")))).alias("e")).select(*seq, "bin", "e.*")
+    events = _events(intervals, seq, member, start, stop, width)
     steps = events.groupBy(*seq, "bin", "pos").agg(F.sum("up").alias("up"), F.sum("down").alias("down"), F.sum(F.col("real") * F.col("up")).alias("real_up"), F.sum(F.col("real") * F.col("down")).alias("real_down"))
     line = Window.partitionBy(*seq, "bin").orderBy("pos")
     swept = steps.withColumn("depth", F.sum(F.col("up") - F.col("down")).over(line)).withColumns({"stop": F.lead("pos").over(line), "end_down": F.lead("real_down").over(line)}).where("stop is not null")
@@ -182,22 +195,76 @@ def regions(intervals: DataFrame, seq: list[str], member: str, least: int | Colu
     ``least`` may be a column of ``intervals`` that is the same throughout a sequence.
     Where ends at a position leave fewer before others start there, a stretch ends.
     """
-    limit = least if isinstance(least, Column) else F.lit(least)
-    bound = intervals.groupBy(*seq).agg(F.max(limit).alias("bound")) if isinstance(least, Column) else None
-    swept = _swept(intervals, seq, member, start, stop, width)
-    swept = swept.join(bound, seq) if bound is not None else swept.withColumn("bound", limit)
-    deep = swept.where(F.col("depth") >= F.greatest("bound", F.lit(1))).withColumns({"bin": F.floor(F.col("start") / width), "holds": F.col("dip") >= F.greatest("bound", F.lit(1))})
-
-    def chained(rows: DataFrame, keys: list[str]) -> DataFrame:
-        line = Window.partitionBy(*keys).orderBy("start")
-        on = F.coalesce(F.col("holds") & (F.lag("stop").over(line) == F.col("start")), F.lit(False))
-        return rows.withColumn("chain", F.sum((~on).cast("int")).over(line)).groupBy(*keys, "chain").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min_by("holds", "start").alias("holds"))
-
-    pieces = chained(deep, [*seq, "bin"])
-    ends = Window.partitionBy(*seq, "bin")
-    pieces = pieces.withColumn("edge", (F.col("chain") == F.min("chain").over(ends)) | (F.col("chain") == F.max("chain").over(ends)))
+    keys, limit = list(seq), least
+    if isinstance(least, Column):
+        intervals, keys, limit = intervals.withColumn("bound", F.greatest(least, F.lit(1)).cast("long")), [*seq, "bound"], None
+    events = _events(intervals, keys, member, start, stop, width).select(*keys, "bin", "pos", (F.col("up") * 2 + F.col("real")).alias("kind"))
+    kinds = {f.name: f.dataType for f in events.schema}
+    schema = StructType([*[StructField(k, kinds[k]) for k in (*keys, "bin")], *[StructField(k, LongType()) for k in ("start", "stop", "rest")]])
+    pieces = events.repartition(*seq, "bin").sortWithinPartitions(*keys, "bin", "pos").mapInArrow(_deep(keys, limit), schema)
+    head, tail = F.col("start") == F.col("bin") * width, F.col("stop") == (F.col("bin") + 1) * width
     columns = [*seq, "start", "stop"]
-    return pieces.where("not edge").select(columns).union(chained(pieces.where("edge"), seq).select(columns))
+    line = Window.partitionBy(*seq).orderBy("start")  # of what is at the bins' edges: two a bin at most
+    bound = F.col("bound") if limit is None else F.lit(max(limit, 1))
+    on = F.coalesce(head & (F.lag("stop").over(line) == F.col("start")) & (F.lag("rest").over(line) >= bound), F.lit(False))
+    edges = pieces.where(head | tail).withColumn("chain", F.sum((~on).cast("int")).over(line)).groupBy(*seq, "chain").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return pieces.where(~(head | tail)).select(columns).union(edges.select(columns))
+
+
+def _deep(keys: list[str], least: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From sorted events (keys, bin, pos, kind) to (keys, bin, start, stop, rest): stretches of a bin throughout which enough members are open.
+
+    ``kind`` is two for a beginning, and one more where it is not a bin's edge that cuts;
+    ``rest`` is how many are still open when the ends at ``stop`` are past.  Without
+    ``least`` a key ``bound`` has it.  A stream: of what is behind, one position is kept.
+    """
+
+    def differs(column: pa.Array) -> np.ndarray:
+        a, b = column[:-1], column[1:]
+        try:
+            same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+        except pa.ArrowNotImplementedError:  # nested
+            return np.array([x != y for x, y in zip(a.to_pylist(), b.to_pylist())], bool)
+        return ~same.to_numpy(zero_copy_only=False)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, sums = None, np.zeros((3, 1), np.int64)  # the last position's key, and what begins, ends and really ends there
+        before, was, begun = 0, False, 0  # how many are open before it, whether these are enough, and since where
+        for batch in chain(batches, [None]):
+            if batch is not None and not batch.num_rows:
+                continue
+            if batch is None and kept is None:
+                return
+            table = pa.Table.from_batches([x for x in (kept, batch) if x is not None]).combine_chunks().to_batches()[0]
+            new, at = np.ones(table.num_rows, bool), table.column("pos").to_numpy()
+            group = new.copy()
+            group[1:] = np.any([differs(table.column(k)) for k in (*keys, "bin")], axis=0)
+            new[1:] = group[1:] | (np.diff(at) != 0)
+            step, kind = np.flatnonzero(new), table.column("kind").to_numpy()
+            up = kind >> 1
+            each = np.stack([up, 1 - up, kind == 1]).astype(np.int64)
+            if kept is not None:
+                each[:, :1] = sums
+                group[0] = opened
+            up, down, ended = np.add.reduceat(each, step, axis=1)
+            done = len(step) if batch is None else len(step) - 1  # at the last position more may follow
+            depth = before + np.cumsum(up - down)[:done]  # none is open where a bin ends, so the sums need not begin anew
+            at, first = at[step], group[step]
+            bound = np.maximum(table.column("bound").to_numpy(zero_copy_only=False)[step] if least is None else np.full(len(step), least), 1)[:done]
+            deep, past = depth >= bound, np.append(before, depth)[:done]
+            gone = np.append(was, deep)[:done]
+            linked = deep & gone & ~first[:done] & (depth - up[:done] >= bound)
+            begins, ends = np.append([begun] * was, at[:done][deep & ~linked]).astype(np.int64), np.flatnonzero(gone & ~linked)
+            if len(ends):
+                rows = table.select([*keys, "bin"]).take(pa.array(step[ends]))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(begins[: len(ends)]), pa.array(at[ends]), pa.array(past[ends] - ended[ends])], [*keys, "bin", "start", "stop", "rest"])
+            if done:
+                before, was = int(depth[-1]), bool(deep[-1])
+                begun = int(begins[-1]) if was else 0
+            if batch is not None:
+                kept, sums, opened = table.slice(step[-1], 1), np.array([[up[-1]], [down[-1]], [ended[-1]]]), first[-1]
+
+    return fold
 
 
 def clipped_to(aln: DataFrame, spans: DataFrame, keys: tuple[str, ...] = ("src",)) -> DataFrame:
@@ -215,15 +282,14 @@ def grouped_by_sequences(aln: DataFrame, least: int = 1, share: float = 0.0, gro
     ``groups(tgt, grp)``: each group is looked at by itself and targets of none are left
     out; without it all targets are one.  With ``source_only`` the regions themselves.
     """
-    keys, rows = ("src",), aln
+    keys, rows, limit = ("src",), aln.where("src is not null"), least
     if groups is not None:
-        keys, rows = ("src", "grp"), aln.join(groups.select("tgt", "grp"), "tgt")
-        sizes = groups.groupBy("grp").agg(F.countDistinct("tgt").alias("members"))
-        rows = rows.join(sizes, "grp")
-    else:
-        rows = rows.join(rows.groupBy("src").agg(F.countDistinct("tgt").alias("members")), "src")
-    limit = F.greatest(F.lit(least), F.ceil(F.col("members") * share - 1e-9).cast("int"))
-    spans = regions(rows.withColumn("limit", limit), list(keys), "tgt", F.col("limit"))
+        keys, rows = ("src", "grp"), aln.join(groups.select("tgt", "grp"), "tgt").where("grp is not null")
+    if share > 0:
+        sizes = rows.groupBy("src") if groups is None else groups.groupBy("grp")
+        rows = rows.join(sizes.agg(F.countDistinct("tgt").alias("members")), keys[-1])
+        limit = F.greatest(F.lit(least), F.ceil(F.col("members") * share - 1e-9).cast("int"))
+    spans = regions(rows, list(keys), "tgt", limit)
     return spans if source_only else clipped_to(rows.select(*keys[1:], *aln.columns), spans, keys)
 
 

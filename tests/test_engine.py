@@ -222,3 +222,40 @@ def test_splices_are_shuffled_as_groups(spark):
     for found in (after, alt5, alt3):
         top = found._jdf.queryExecution().optimizedPlan().toString()
         assert top.index("Generate explode") < top.index("Join")  # the groups meet before they are taken apart
+
+
+def test_regions_are_a_stream(spark):
+    """Against every letter counted, over bins and batches of a few rows; each event is sorted once and grouped in no table."""
+    r, rows = random.Random(7), []
+    for _ in range(900):
+        start = r.randrange(400)
+        rows.append((r.choice("ab") if r.random() < 0.9 else "c", r.choice("mnopq"), start, start + r.choice([1, 3, 8, 8, 30])))
+    df = spark.createDataFrame(rows, "seq string, m string, start long, stop long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = {(n, w): sorted(map(tuple, alignment.regions(df, ["seq"], "m", least, width=w).collect())) for n, least in ((2, 2), (4, F.lit(4))) for w in (16, 1 << 16)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for (n, _), got in found.items():
+        want = []
+        for seq in "abc":
+            flat = set()
+            for m in "mnopq":
+                far, first = -1, None
+                for start, stop in sorted(x[2:] for x in rows if x[:2] == (seq, m)):
+                    if start >= far:
+                        flat |= {(m, first, far)} if first is not None else set()
+                        first = start
+                    far = max(far, stop)
+                flat |= {(m, first, far)} if first is not None else set()
+            depth = [sum(a <= i < z for _, a, z in flat) for i in range(450)]
+            on = [False] + [depth[i] - sum(a == i for _, a, _ in flat) >= n for i in range(1, 450)]
+            for i in range(450):
+                if depth[i] >= n:
+                    if i and depth[i - 1] >= n and on[i]:
+                        want[-1] = (seq, want[-1][1], i + 1)
+                    else:
+                        want.append((seq, i, i + 1))
+        assert got == sorted(want)
+    top = alignment.regions(df, ["seq"], "m", 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert top.count("Aggregate") == 1 and top.count("MapInArrow") == 2
