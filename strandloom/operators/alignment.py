@@ -74,27 +74,30 @@ def merged(aln: DataFrame, max_gap: int, max_insert: int, min_insert: int, max_s
     one-to-one intervals as an array of structs, those that touch on both sides as one;
     null where there is one only.
     """
-    order = Window.partitionBy(*keys).orderBy(*_order())
-    gap, insert = F.col("start") - F.lag("stop").over(order), F.col("tgt_start") - F.lag("tgt_stop").over(order)
-    cut = F.coalesce(((gap > max_gap) | (insert > max_insert) | (insert < min_insert)).cast("int"), F.lit(1))
-    runs = aln.withColumn("cut", cut).withColumn("run", F.sum("cut").over(order)).drop("cut")
-    keys = (*keys, "run")
+    own, line = keys, Window.partitionBy(*keys).orderBy(*_order())
+    gap, insert = F.col("start") - F.lag("stop").over(line), F.col("tgt_start") - F.lag("tgt_stop").over(line)
+    cut = F.coalesce((gap > max_gap) | (insert > max_insert) | (insert < min_insert), F.lit(True))
     if max_size is not None:
-        runs, keys = _sized(runs, keys, max_size), (*keys, "piece")
-    at = F.struct("start", (-F.col("stop")).alias("z"), "tgt_start", "tgt_stop")
-    ends = [F.min(at).alias("a"), F.max(at).alias("b"), F.count("*").alias("n")]
-    if blocks:
+        runs = aln.withColumn("cut", cut.cast("int")).withColumn("run", F.sum("cut").over(line)).drop("cut")
+        keys = (*keys, "run")
+        aln, keys = _sized(runs, keys, max_size), (*keys, "piece")
         line = Window.partitionBy(*keys).orderBy(*_order())
-        touch = (F.lag("stop").over(line) == F.col("start")) & (F.lag("tgt_stop").over(line) == F.col("tgt_start"))
-        fused = runs.withColumn("cut", (~F.coalesce(touch, F.lit(False))).cast("int")).withColumn("block", F.sum("cut").over(line))
-        fused = fused.groupBy(*keys, "block").agg(*ends)
-        one = F.struct(F.col("a.start").alias("start"), (-F.col("b.z")).alias("stop"), F.col("a.tgt_start").alias("tgt_start"), F.col("b.tgt_stop").alias("tgt_stop"))
-        out = fused.groupBy(*keys).agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("n").alias("n"), F.sort_array(F.collect_list(one)).alias("blocks"))
-        extra = [F.when(F.size("blocks") > 1, F.col("blocks")).alias("blocks")]
-    else:
-        out, extra = runs.groupBy(*keys).agg(*ends), []
-    own = [k for k in keys if k not in ("run", "piece")]
-    return out.select(*own, F.col("a.start").alias("start"), (-F.col("b.z")).alias("stop"), F.col("a.tgt_start").alias("tgt_start"), F.col("b.tgt_stop").alias("tgt_stop"), "n", *extra)
+        cut = F.row_number().over(line) == 1
+    # in order a run is told at its last row, by what its first one was; neither needs an aggregate or a sort of its own
+    up_to, at = line.rowsBetween(Window.unboundedPreceding, 0), F.struct("start", "tgt_start", "k")
+    touch = (F.lag("stop").over(line) == F.col("start")) & (F.lag("tgt_stop").over(line) == F.col("tgt_start")) if blocks else F.lit(True)
+    rows = aln.select(*keys, "start", "stop", "tgt_start", "tgt_stop", cut.alias("cut"), F.row_number().over(line).cast("long").alias("k"), F.coalesce(touch, F.lit(False)).alias("touch"))
+    rows = rows.withColumn("new", F.col("cut") | ~F.col("touch"))
+    rows = rows.withColumns({"a": F.last(F.when(F.col("new"), at), ignorenulls=True).over(up_to), "last": F.coalesce(F.lead("new").over(line), F.lit(True)), "run_": F.sum(F.col("cut").cast("int")).over(up_to)}).where("last")
+    ends = [F.col("a.start").alias("start"), "stop", F.col("a.tgt_start").alias("tgt_start"), "tgt_stop"]
+    if not blocks:
+        return rows.select(*own, *ends, (F.col("k") - F.col("a.k") + 1).alias("n"))
+    each = Window.partitionBy(*keys, "run_").orderBy("k")
+    every = each.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    fused = rows.select(*keys, "run_", "k", F.struct(*ends).alias("one"), (F.col("k") - F.col("a.k") + 1).alias("n"))
+    out = fused.select(*keys, "one", F.row_number().over(each).alias("place"), F.last("one").over(every).alias("b"), F.sum("n").over(every).alias("n"), F.collect_list("one").over(every).alias("blocks")).where("place = 1")
+    shown = F.when(F.size("blocks") > 1, F.sort_array("blocks")).alias("blocks")
+    return out.select(*own, F.col("one.start").alias("start"), F.col("b.stop").alias("stop"), F.col("one.tgt_start").alias("tgt_start"), F.col("b.tgt_stop").alias("tgt_stop"), "n", shown)
 
 
 def _sized(runs: DataFrame, keys: tuple[str, ...], most: int) -> DataFrame:

@@ -259,3 +259,27 @@ def test_regions_are_a_stream(spark):
         assert got == sorted(want)
     top = alignment.regions(df, ["seq"], "m", 2)._jdf.queryExecution().optimizedPlan().toString()
     assert top.count("Aggregate") == 1 and top.count("MapInArrow") == 2
+
+
+def test_merging_needs_no_aggregate(spark):
+    """Runs and their blocks are told from one order of the rows, of which a task holds no table."""
+    r = random.Random(9)
+    rows = [(r.choice("st"), k * 5, k * 5 + 5, "u", k * 5 + k // 9 * 30, k * 5 + k // 9 * 30 + 5) for k in sorted(r.sample(range(200), 120))]
+    aln = spark.createDataFrame(rows, "src string, start long, stop long, tgt string, tgt_start long, tgt_stop long")
+    want = []
+    for src in "st":
+        last = None
+        for _, a, z, _, b, y in sorted(x for x in rows if x[0] == src):
+            if last is None or a - last[1] > 15 or not 0 <= b - last[3] <= 60:
+                want.append((src, []))
+            elif (a, b) == (last[1], last[3]):
+                a, _, b, _ = want[-1][1].pop()
+            last = (a, z, b, y)
+            want[-1][1].append(last)
+    want = sorted((src, x[0][0], x[-1][1], x[0][2], x[-1][3], x if len(x) > 1 else None) for src, x in want)
+    for size in (None, 10_000):
+        got = alignment.merged(aln, 15, 60, 0, size, blocks=True)
+        assert sorted((x.src, x.start, x.stop, x.tgt_start, x.tgt_stop, x.blocks and [tuple(b) for b in x.blocks]) for x in got.collect()) == want
+        assert sum(x.n for x in got.collect()) == len(rows)
+    for blocks in (False, True):
+        assert "Aggregate" not in alignment.merged(aln, 15, 60, 0, blocks=blocks)._jdf.queryExecution().optimizedPlan().toString()
