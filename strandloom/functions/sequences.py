@@ -54,16 +54,33 @@ for _n, _letters in enumerate(("TtUu", "Cc", "Aa", "Gg", "Nn", "Rr", "Yy")):
 _CODES = _codes()
 
 
+# fixed value: letters translated at once, beyond which one sequence alone may go
+_AT_ONCE = 1 << 20
+
+
+def _proteins(texts: list[str | None]) -> list[str | None]:
+    """All sequences at once, each padded to whole codons."""
+    coded = [None if s is None else s.encode("utf-32-le") for s in texts]
+    sizes = np.array([len(t) // 4 if t else 0 for t in coded])
+    codons = -(-sizes // 3)
+    letters = np.frombuffer(b"".join(t + b"\0" * (4 * (3 * c - n)) for t, c, n in zip(coded, codons.tolist(), sizes.tolist()) if t), "<u4")
+    place = _PLACE[np.minimum(letters, 255)].reshape(-1, 3).astype(np.int16)
+    place[letters.reshape(-1, 3) > 255] = 7
+    out, ends = _CODES[place[:, 0] * 64 + place[:, 1] * 8 + place[:, 2]].tobytes().decode("ascii"), np.cumsum(codons).tolist()
+    return [None if t is None else out[e - c : e] for t, c, e in zip(coded, codons.tolist(), ends)]
+
+
 @F.pandas_udf(StringType())
 def _translated(seqs: pd.Series) -> pd.Series:
-    """All sequences of a batch at once, each padded to whole codons."""
-    texts = [None if s is None else s.encode("utf-32-le") for s in seqs]
-    sizes = np.array([len(t) // 4 if t else 0 for t in texts])
-    codons = -(-sizes // 3)
-    letters = np.frombuffer(b"".join(t + b"\0" * (4 * (3 * c - n)) for t, c, n in zip(texts, codons.tolist(), sizes.tolist()) if t), "<u4")
-    place = np.where(letters < 256, _PLACE[np.minimum(letters, 255)], 7).reshape(-1, 3).astype(np.int64)
-    out, ends = _CODES[place @ np.array([64, 8, 1])].tobytes().decode("ascii"), np.cumsum(codons).tolist()
-    return pd.Series([None if t is None else out[e - c : e] for t, c, e in zip(texts, codons.tolist(), ends)])
+    """Some sequences of a batch at a time, so that memory does not grow with what a batch happens to hold."""
+    out, some, size = [], [], 0
+    for s in seqs:
+        if some and size + len(s or "") > _AT_ONCE:
+            out += _proteins(some)
+            some, size = [], 0
+        some.append(s)
+        size += len(s or "")
+    return pd.Series(out + (_proteins(some) if some else []), dtype=object)
 
 
 def translate(seq: Column) -> Column:

@@ -283,3 +283,18 @@ def test_merging_needs_no_aggregate(spark):
         assert sum(x.n for x in got.collect()) == len(rows)
     for blocks in (False, True):
         assert "Aggregate" not in alignment.merged(aln, 15, 60, 0, blocks=blocks)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_translation_is_bounded(spark):
+    """A batch is translated in parts: memory is that of a part, and the proteins are the same."""
+    import tracemalloc
+
+    import pandas as pd
+
+    seqs = pd.Series(["acgtn" * 300, None, "", "aé☃tgg", "ggn"] * 2000)
+    assert sq._translated.func(seqs[:5]).tolist() == ["TXRXV" * 100, None, "", "XW", "G"]
+    tracemalloc.start()
+    out = sq._translated.func(seqs)
+    kept, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert out.tolist() == sq._translated.func(seqs[:5]).tolist() * 2000 and peak - kept < 16_000_000
