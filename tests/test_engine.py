@@ -298,3 +298,24 @@ def test_translation_is_bounded(spark):
     kept, peak = tracemalloc.get_traced_memory()
     tracemalloc.stop()
     assert out.tolist() == sq._translated.func(seqs[:5]).tolist() * 2000 and peak - kept < 16_000_000
+
+
+def test_seeds_over_pieces(spark):
+    """Words at the edges of pieces, and repeats, against all places; targets are dealt out by word once."""
+    from strandloom.sources import blast
+
+    r = random.Random(11)
+    base = "".join(r.choice("acgt") for _ in range(200))
+    seqs = [(0, base), (1, base[60:131] + "g" + base[10:90]), (2, "a" * 80 + base[:64]), (3, base[:7])]
+    df = spark.createDataFrame(seqs, "seq_id long, seq string")
+    words = [(n, i, s[i : i + 8]) for n, s in seqs for i in range(len(s) - 7)]
+    count = {w: sum(x[2] == w for x in words) for _, _, w in words}
+    met = {(a, b, i, j - i) for a, i, x in words for b, j, y in words if x == y and count[x] <= 5}
+    want = []
+    for a, b, i, d in met:
+        if (a, b, i - 1, d) not in met:
+            stop = next(z for z in range(i, 300) if (a, b, z, d) not in met) + 7
+            want.append((a, i, stop, b, i + d, stop + d))
+    got = blast.seeds(df, df, 8, 5)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
